@@ -1,6 +1,6 @@
 """Line dedup: a segment-partition edit join over distinct lines, with DataFrame functions only.
 
-Distinct lines are split into threshold + 1 segments. Two lines within the
+A 64-bit hash stands for a line's text. Distinct lines are split into threshold + 1 segments. Two lines within the
 threshold share one of the shorter line's segments at nearly the same place,
 so its segments are indexed by (length, segment number, text) and longer lines
 probe the few substrings and lengths that can match (the multi-match-aware
@@ -120,10 +120,20 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
     return let_(F.struct(_chars(a).alias("x"), _chars(b).alias("y")), lambda s: run(s["x"], s["y"]))
 
 
-def _distinct(rows: DataFrame) -> DataFrame:
-    """h, line, keep (smallest document id), times of every distinct line."""
-    found = _lines(rows).groupBy("line").agg(F.min("_id").alias("keep"), F.count(F.lit(1)).alias("times"))
-    return found.select(F.xxhash64("line").alias("h"), "line", "keep", "times")
+def _bitmap(hashes: DataFrame) -> DataFrame:
+    """bucket, bits: a bitmap of 2^_BITMAP_BITS bits in which a bit for each hash h is set."""
+    place = hashes.select(F.pmod("h", F.lit(1 << _BITMAP_BITS)).alias("p"))
+    return place.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+
+
+def _sifted(lines: DataFrame, bitmap: DataFrame) -> DataFrame:
+    """``lines`` with ``hit``: false if the line's hash is surely not in the bitmap."""
+    bit = F.pmod(F.col("h"), F.lit(1 << _BITMAP_BITS))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = lines.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), "bucket", "left")  # 2^_BITMAP_BITS bits at most
+    hit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))) != 0
+    return joined.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("bucket", "bits")
 
 
 def candidates(lines: DataFrame, threshold: int) -> DataFrame:
@@ -134,31 +144,44 @@ def candidates(lines: DataFrame, threshold: int) -> DataFrame:
     return right.join(left, "key").where("a != b").select("a", "b").distinct()
 
 
-def _among(lines: DataFrame, hashes: DataFrame) -> DataFrame:
-    """The lines whose hash is probably one of ``hashes``: a broadcast bitmap of fixed size sifts them."""
-    bit = F.pmod(F.col("h"), F.lit(1 << _BITMAP_BITS))
-    bits = hashes.select(bit.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    place = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    sifted = lines.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bits), "bucket")  # 2^_BITMAP_BITS bits at most
-    return sifted.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))) != 0).drop("bucket", "bits")
+def _pieces_match(a: Column, b: Column, threshold: int) -> Column:
+    """A necessary condition: of 2 * threshold + 2 pieces of ``b`` all but ``threshold`` stand in ``a`` at nearly their place."""
+    n = 2 * threshold + 2
+    found = F.lit(0)
+    for i in range(n):
+        start, size = _segment(F.length(b), i, n - 1)
+        piece = F.substring(b, start, size)
+        same = F.lit(False)
+        for k in range(-threshold, threshold + 1):
+            same = same | ((start + k > 0) & (F.substring(a, F.greatest(start + k, F.lit(1)), size) == piece))
+        found = found + same.cast("int")
+    return found >= n - threshold
 
 
-def links(lines: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of hashes of distinct lines within the threshold."""
-    pairs = cut(candidates(lines, threshold))
-    ends = _among(lines, pairs.select(F.explode(F.array("a", "b")).alias("h"))).select("h", "line")
+def links(lines: DataFrame, distinct: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of hashes of distinct lines within the threshold.
+
+    ``lines`` has h and line of every line, ``distinct`` of each line once.
+    """
+    pairs = cut(candidates(distinct, threshold))
+    ends = _sifted(lines, _bitmap(pairs.select(F.explode(F.array("a", "b")).alias("h")))).where("hit").select("h", "line").dropDuplicates(["h"])
+    ends = cut(ends)
     x, y = (ends.select(F.col("h").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
     both = pairs.join(x, "a").join(y, "b").where(F.length("line_a") >= F.length("line_b"))
-    return both.where(edit_distance(F.col("line_a"), F.col("line_b"), threshold) <= threshold).select("a", "b")
+    near = both.where(_pieces_match(F.col("line_a"), F.col("line_b"), threshold))
+    return near.where(edit_distance(F.col("line_a"), F.col("line_b"), threshold) <= threshold).select("a", "b")
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, text, n_lines, n_removed): each input row as a struct, its text without repeated lines, and counts of lines."""
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).withColumn("_t", F.xxhash64("_text"))
-    lines = _distinct(rows)
-    near = cut(components(links(lines, threshold)).select(F.col("node").alias("h"), F.col("component").alias("class")))
-    known = lines.select("h", "keep", "times").join(near, "h", "left").withColumn("class", F.coalesce("class", "h"))
+    lines = _lines(rows).select("_id", F.xxhash64("line").alias("h"), "line")
+    counts = cut(lines.groupBy("h").agg(F.min("_id").alias("keep"), F.count(F.lit(1)).alias("times")))
+    # lines that surely stand nowhere else needn't be shuffled to be distinct
+    told = _sifted(lines.select("h", "line"), _bitmap(counts.where("times > 1")))
+    distinct = told.where("NOT hit").select("h", "line").union(told.where("hit").select("h", "line").dropDuplicates(["h", "line"]))
+    near = cut(components(links(lines.select("h", "line"), distinct, threshold)).select(F.col("node").alias("h"), F.col("component").alias("class")))
+    known = counts.join(near, "h", "left").withColumn("class", F.coalesce("class", "h"))
     first = known.groupBy("class").agg(F.min("keep").alias("keep"), F.sum("times").alias("times")).where("times > 1")
     repeated = known.select("h", "class").join(first.select("class", "keep"), "class")
     at = _lines(rows).select("_id", "_t", "at", F.xxhash64("line").alias("h")).join(repeated, "h")
