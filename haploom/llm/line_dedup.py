@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut
+from .common import BLANKS, cut, let
 from .components import components
 
 THRESHOLD = 1
@@ -50,9 +50,8 @@ def _segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
     return size * i + late + 1, own
 
 
-def keys(line: Column, threshold: int) -> tuple[list[Column], list[Column]]:
+def keys(line: Column, length: Column, threshold: int) -> tuple[list[Column], list[Column]]:
     """Hashed keys under which a line is indexed, and those it probes."""
-    length = F.length(line)
     index, probes = [], []
     for i in range(threshold + 1):
         start, size = _segment(length, i, threshold)
@@ -92,7 +91,7 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
                 # diagonal zero steps
                 carried = e.bitwiseAND(acc["vp"]) + acc["vp"]
                 d0 = carried.bitwiseXOR(acc["vp"]).bitwiseOR(e).bitwiseOR(acc["vn"]).bitwiseAND(F.lit(full))
-                return let_(d0, lambda z: tail(z))
+                return let(d0, lambda z: tail(z))
 
             def tail(z: Column) -> Column:
                 hp = acc["vn"].bitwiseOR(F.bitwise_not(z.bitwiseOR(acc["vp"]))).bitwiseAND(F.lit(full))
@@ -108,16 +107,13 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
                 grown = F.when(row >= low, F.lit(1) - along).otherwise(flat)
                 return F.struct(vp.alias("vp"), vn.alias("vn"), (acc["d"] + grown).alias("d"))
 
-            return let_(eq, cell)
+            return let(eq, cell)
 
         zero = F.struct(F.lit(full ^ ((1 << threshold) - 1)).alias("vp"), F.lit(0).alias("vn"), F.least(m, F.lit(threshold)).alias("d"))
         found = F.aggregate(F.sequence(F.lit(1), n), zero, step, lambda acc: acc["d"])
         return F.when(F.abs(m - n) > threshold, F.lit(threshold + 1)).when(n == 0, m).otherwise(F.least(found, F.lit(threshold + 1)))
 
-    def let_(value: Column, body) -> Column:
-        return F.transform(F.array(value), body)[0]
-
-    return let_(F.struct(_chars(a).alias("x"), _chars(b).alias("y")), lambda s: run(s["x"], s["y"]))
+    return let(F.struct(_chars(a).alias("x"), _chars(b).alias("y")), lambda s: run(s["x"], s["y"]))
 
 
 def _bitmap(hashes: DataFrame) -> DataFrame:
@@ -136,26 +132,68 @@ def _sifted(lines: DataFrame, bitmap: DataFrame) -> DataFrame:
     return joined.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("bucket", "bits")
 
 
+def _outlines(line: Column, n: Column) -> list[Column]:
+    """Of a line and of it shortened by one: four bits of a hash of each eighth, left out the last (low half) or the first character (high half)."""
+
+    def half(length: Column, skipped: int) -> Column:
+        out = F.lit(0).cast("long")
+        for i in range(8):
+            start, end = (length * i / 8).cast("int"), (length * (i + 1) / 8).cast("int")
+            out = out.bitwiseOR(F.shiftleft(F.xxhash64(F.substring(line, start + 1 + skipped, end - start)).bitwiseAND(F.lit(15)), 4 * i))
+        return out
+
+    whole = half(n, 0)
+    return [let(whole, lambda x: x.bitwiseOR(F.shiftleft(x, 32))), half(n - 1, 0).bitwiseOR(F.shiftleft(half(n - 1, 1), 32))]
+
+
+def _may_match(x: Column, y: Column) -> Column:
+    """Whether seven eighths of two lines are alike, counted from the left or from the right: one edit touches one eighth only."""
+    apart = x.bitwiseXOR(y)
+    alike = F.lit(0)
+    for i in range(8):
+        left, right = (F.shiftrightunsigned(apart, k).bitwiseAND(F.lit(15)) == 0 for k in (4 * i, 4 * i + 32))
+        alike = alike + (left | right).cast("int")
+    return alike >= 7
+
+
 def candidates(lines: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of hashes of distinct lines that share a key; a's line probed b's segment."""
-    index, probes = keys(F.col("line"), threshold)
-    left = lines.select(F.col("h").alias("b"), F.explode(F.array(*index)).alias("key"))
-    right = lines.select(F.col("h").alias("a"), F.explode(F.array(*probes)).alias("key"))
-    return right.join(left, "key").where("a != b").select("a", "b").distinct()
-
-
-def _pieces_match(a: Column, b: Column, threshold: int) -> Column:
-    """A necessary condition: of 2 * threshold + 2 pieces of ``b`` all but ``threshold`` stand in ``a`` at nearly their place."""
-    n = 2 * threshold + 2
-    found = F.lit(0)
-    for i in range(n):
-        start, size = _segment(F.length(b), i, n - 1)
-        piece = F.substring(b, start, size)
-        same = F.lit(False)
-        for k in range(-threshold, threshold + 1):
-            same = same | ((start + k > 0) & (F.substring(a, F.greatest(start + k, F.lit(1)), size) == piece))
-        found = found + same.cast("int")
-    return found >= n - threshold
+    """Pairs (a, b) of hashes of distinct lines that share a key; a's line probed b's segment.
+
+    For a threshold of one edit the pairs are sifted inside the join by outlines of the lines.
+    """
+    n = F.col("n")
+    index, probes = keys(F.col("line"), n, threshold)
+    outlines = F.array(*_outlines(F.col("line"), n) if threshold == 1 else [F.lit(0).cast("long")] * 2)
+    shorter = F.array(*[F.lit(d) for i in range(threshold + 1) for d in range(threshold + 1) for _ in range(min(i, d + threshold - i) - max(-i, d - threshold + i) + 1)])
+    sized = lines.select("h", "line", F.length("line").alias("n"))
+    told = sized.select("h", F.array(*index).alias("index"), F.array(*probes).alias("probes"), outlines.alias("outlines"))
+    left = told.select(F.col("h").alias("b"), F.col("outlines")[0].alias("y"), F.explode("index").alias("key"))
+    right = told.select("h", "outlines", F.posexplode("probes").alias("k", "key")).select(F.col("h").alias("a"), "key", F.get("outlines", F.least(F.get(shorter, F.col("k")), F.lit(1))).alias("x"))
+    alike = (right["key"] == left["key"]) & (F.col("a") != F.col("b"))
+    if threshold == 1:
+        alike = alike & _may_match(F.col("x"), F.col("y"))
+    return right.join(left, alike).select("a", "b").distinct()
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """(x, y): the strings without most of what they have in common at both ends, which leaves their distance as it is."""
+
+    def stripped(n: Column, at_end: bool, x: Column, y: Column) -> Column:
+        def part(s: Column, c: Column) -> Column:
+            return F.substring(s, F.length(s) - c + 1, c) if at_end else F.substring(s, F.lit(1), c)
+
+        cuts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: (n * i / 16).cast("int")))
+        return F.array_max(F.filter(cuts, lambda c: part(x, c) == part(y, c)))
+
+    def head(s: Column) -> Column:
+        c = stripped(F.length(s["y"]), False, s["x"], s["y"])
+        return let(c, lambda k: F.struct(F.substring(s["x"], k + 1, F.length(s["x"])).alias("x"), F.substring(s["y"], k + 1, F.length(s["y"])).alias("y")))
+
+    def tail(s: Column) -> Column:
+        c = stripped(F.length(s["y"]), True, s["x"], s["y"])
+        return let(c, lambda k: F.struct(F.substring(s["x"], F.lit(1), F.length(s["x"]) - k).alias("x"), F.substring(s["y"], F.lit(1), F.length(s["y"]) - k).alias("y")))
+
+    return let(let(F.struct(a.alias("x"), b.alias("y")), head), tail)
 
 
 def links(lines: DataFrame, distinct: DataFrame, threshold: int) -> DataFrame:
@@ -168,8 +206,8 @@ def links(lines: DataFrame, distinct: DataFrame, threshold: int) -> DataFrame:
     ends = cut(ends)
     x, y = (ends.select(F.col("h").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
     both = pairs.join(x, "a").join(y, "b").where(F.length("line_a") >= F.length("line_b"))
-    near = both.where(_pieces_match(F.col("line_a"), F.col("line_b"), threshold))
-    return near.where(edit_distance(F.col("line_a"), F.col("line_b"), threshold) <= threshold).select("a", "b")
+    apart = let(_differing(F.col("line_a"), F.col("line_b")), lambda s: edit_distance(s["x"], s["y"], threshold))
+    return both.where(apart <= threshold).select("a", "b")
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
