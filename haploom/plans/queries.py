@@ -195,12 +195,12 @@ def snp_gap_flags(spark, d):
     return alleles.gap_flags(sites, alleles.extent(_clusters(spark, d), ["unitig", "cluster"]), ["unitig", "cluster"], C.gap_limit)
 
 
-@query(f"""WITH {_CONS}, o AS (SELECT *, row_number() OVER (PARTITION BY unitig ORDER BY last, first, cluster) AS ord FROM ext),
+@query(f"""WITH {_CONS}, o AS (SELECT *, row_number() OVER (PARTITION BY unitig ORDER BY last, first, cluster) AS ord FROM ext WHERE n_reads>1),
 sh AS (SELECT x.unitig, x.cluster AS a, y.cluster AS b, count(*) AS shared, count(*) FILTER (x.base<>y.base) AS mism FROM cons x JOIN cons y ON x.unitig=y.unitig AND x.pos=y.pos AND x.alt_flag AND y.alt_flag GROUP BY ALL)
 SELECT x.unitig, x.cluster AS a, y.cluster AS b, CASE WHEN sh.shared IS NULL THEN 1.0 WHEN least(x.last,y.last)-greatest(x.first,y.first)>1000 THEN round(mism/(least(x.last,y.last)-greatest(x.first,y.first)),9) ELSE 1.0 END::DOUBLE AS d
 FROM o x JOIN o y ON x.unitig=y.unitig AND x.ord<y.ord LEFT JOIN sh ON sh.unitig=x.unitig AND sh.a=x.cluster AND sh.b=y.cluster""")
 def cluster_distance(spark, d):
-    ext = alleles.extent(_clusters(spark, d), ["unitig", "cluster"]).withColumn("ord", F.row_number().over(Window.partitionBy("unitig").orderBy("last", "first", "cluster")))
+    ext = alleles.extent(_clusters(spark, d), ["unitig", "cluster"]).where("n_reads > 1").withColumn("ord", F.row_number().over(Window.partitionBy("unitig").orderBy("last", "first", "cluster")))
     cons = _consensus(spark, d).where("alt_flag").select("unitig", "cluster", "pos", "base")
     one = lambda df, x, cols: df.select("unitig", *[F.col(c).alias(f"{x}_{c}") for c in cols])
     shared = cons.select("unitig", "pos", F.col("cluster").alias("a"), F.col("base").alias("ab")).join(cons.select("unitig", "pos", F.col("cluster").alias("b"), F.col("base").alias("bb")), ["unitig", "pos"])
