@@ -133,46 +133,35 @@ def _sifted(lines: DataFrame, bitmap: DataFrame) -> DataFrame:
     return joined.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("bucket", "bits")
 
 
-def _outlines(line: Column, n: Column) -> list[Column]:
-    """Of a line and of it shortened by one: four bits of a hash of each eighth, left out the last (low half) or the first character (high half)."""
+def _letters(line: Column) -> Column:
+    """A byte with the number of occurrences of each of six frequent letters."""
+    out = F.lit(0).cast("long")
+    for k, letter in enumerate("eatnri"):
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255)).cast("long"), 8 * k))
+    return out
 
-    def half(length: Column, skipped: int) -> Column:
-        out = F.lit(0).cast("long")
-        for i in range(8):
-            start, end = (length * i / 8).cast("int"), (length * (i + 1) / 8).cast("int")
-            out = out.bitwiseOR(F.shiftleft(F.xxhash64(F.substring(line, start + 1 + skipped, end - start)).bitwiseAND(F.lit(15)), 4 * i))
-        return out
 
-    whole = half(n, 0)
-    return [let(whole, lambda x: x.bitwiseOR(F.shiftleft(x, 32))), half(n - 1, 0).bitwiseOR(F.shiftleft(half(n - 1, 1), 32))]
-
-
-def _may_match(x: Column, y: Column) -> Column:
-    """Whether seven eighths of two lines are alike, counted from the left or from the right: one edit touches one eighth only."""
-    apart = x.bitwiseXOR(y)
-    alike = F.lit(0)
-    for i in range(8):
-        left, right = (F.shiftrightunsigned(apart, k).bitwiseAND(F.lit(15)) == 0 for k in (4 * i, 4 * i + 32))
-        alike = alike + (left | right).cast("int")
-    return alike >= 7
+def _may_match(x: Column, y: Column, threshold: int) -> Column:
+    """Whether the letters' numbers allow the threshold: an edit changes two of them by one at most."""
+    apart = F.lit(0)
+    for k in range(6):
+        one, other = (F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255)) for c in (x, y))
+        gap = F.abs(one - other)
+        apart = apart + F.least(gap, 256 - gap)
+    return apart <= 2 * threshold
 
 
 def candidates(lines: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of hashes of distinct lines that share a key; a's line probed b's segment.
 
-    For a threshold of one edit the pairs are sifted inside the join by outlines of the lines.
+    Pairs whose letters differ too much for the threshold are sifted out inside the join.
     """
-    n = F.col("n")
-    index, probes = keys(F.col("line"), n, threshold)
-    outlines = F.array(*_outlines(F.col("line"), n) if threshold == 1 else [F.lit(0).cast("long")] * 2)
-    shorter = F.array(*[F.lit(d) for i in range(threshold + 1) for d in range(threshold + 1) for _ in range(min(i, d + threshold - i) - max(-i, d - threshold + i) + 1)])
-    sized = lines.select("h", "line", F.length("line").alias("n"))
-    told = sized.select("h", F.array(*index).alias("index"), F.array(*probes).alias("probes"), outlines.alias("outlines"))
-    left = told.select(F.col("h").alias("b"), F.col("outlines")[0].alias("y"), F.explode("index").alias("key"))
-    right = told.select("h", "outlines", F.posexplode("probes").alias("k", "key")).select(F.col("h").alias("a"), "key", F.get("outlines", F.least(F.get(shorter, F.col("k")), F.lit(1))).alias("x"))
-    alike = (right["key"] == left["key"]) & (F.col("a") != F.col("b"))
-    if threshold == 1:
-        alike = alike & _may_match(F.col("x"), F.col("y"))
+    sized = lines.select("h", "line", F.length("line").alias("n"), _letters(F.col("line")).alias("letters"))
+    index, probes = keys(F.col("line"), F.col("n"), threshold)
+    left = sized.select(F.col("h").alias("b"), F.col("letters").alias("y"), F.explode(F.array(*index)).alias("key"))
+    right = sized.select(F.col("h").alias("a"), F.col("letters").alias("x"), F.explode(F.array(*probes)).alias("key"))
+    alike = (right["key"] == left["key"]) & (F.col("a") != F.col("b")) & _may_match(F.col("x"), F.col("y"), threshold)
     return right.join(left, alike).select("a", "b").distinct()
 
 
