@@ -29,10 +29,16 @@ from .common import BLANKS, cut, let
 THRESHOLD = 1
 MIN_CHARS = 24
 _BITMAP_BITS = 23
+#: Letters that are counted to sift pairs of lines; more of them cost more than they save.
+_LETTERS = "ent"
 
 
 def _line(raw: Column) -> Column:
-    return F.btrim(raw, F.lit(BLANKS))
+    """``raw`` without blanks at its ends; trimming a set of characters at the right is costly, so it is done where there are any."""
+    blank = F.lit(False)
+    for c in BLANKS:
+        blank = blank | F.endswith(raw, F.lit(c)) | F.startswith(raw, F.lit(c))
+    return F.when(blank, F.btrim(raw, F.lit(BLANKS))).otherwise(raw)
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -134,9 +140,9 @@ def _sifted(lines: DataFrame, bitmap: DataFrame) -> DataFrame:
 
 
 def _letters(line: Column) -> Column:
-    """A byte with the number of occurrences of each of six frequent letters."""
+    """A byte with the number of occurrences of each of three frequent letters."""
     out = F.lit(0).cast("long")
-    for k, letter in enumerate("eatnri"):
+    for k, letter in enumerate(_LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
         out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255)).cast("long"), 8 * k))
     return out
@@ -145,7 +151,7 @@ def _letters(line: Column) -> Column:
 def _may_match(x: Column, y: Column, threshold: int) -> Column:
     """Whether the letters' numbers allow the threshold: an edit changes two of them by one at most."""
     apart = F.lit(0)
-    for k in range(6):
+    for k in range(len(_LETTERS)):
         one, other = (F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255)) for c in (x, y))
         gap = F.abs(one - other)
         apart = apart + F.least(gap, 256 - gap)
