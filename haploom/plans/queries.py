@@ -481,3 +481,73 @@ def phased_clusters(spark, d):
     stats = alleles.extent(reads, ["unitig", "cluster"]).where(F.col("n_reads") >= C.min_final_size)
     sites = snps.groupBy("unitig").agg(F.count(F.lit(1)).alias("n_snp"))
     return stats.join(sites, "unitig", "left")
+
+
+@query(None)
+def recursive_clusters(spark, d):
+    from haploom.operators.clustering import phase
+
+    aln = alignments(spark, d)
+    obs = observations(aln)
+    seen = obs.join(_snps(obs).select("unitig", "pos"), ["unitig", "pos"], "left_semi").select("unitig", "read_id", "pos", "base")
+    return phase(aln.select("unitig", "read_id", "s", "e"), seen, C)
+
+
+@query(ORACLES["edit_distance"])
+def alignment_path(spark, d):
+    from haploom.functions.align import alignment_udf
+
+    p = table(spark, d, "part")
+    a, b = (p.select("p_brand", "p_size", "p_type", F.col("p_partkey").alias(x), F.col("p_name").alias(f"{x}_name")) for x in "ab")
+    pairs = a.join(b, ["p_brand", "p_size", "p_type"]).where("a < b")
+    track = alignment_udf()("a_name", "b_name")["track"]
+    return pairs.select("a", "b", (F.length(track) - F.length(F.replace(track, F.lit("|"), F.lit("")))).alias("same"), F.length(track).alias("n")).select("a", "b", (F.col("n") - F.col("same")).alias("dist"))
+
+
+@query(f"WITH {_EDGES} SELECT src, dst FROM edges UNION SELECT dst, src FROM edges")
+def unitig_adjacency(spark, d):
+    return graphs.symmetric(links(spark, d))
+
+
+@query(f"WITH {_EDGES} SELECT dst AS node FROM edges WHERE src%3=1 AND dst%3=1 UNION SELECT src FROM edges WHERE src%3=0 AND dst%3=0")
+def root_leaf_prune(spark, d):
+    e = links(spark, d)
+    return e.where("src % 3 = 1 AND dst % 3 = 1").select(F.col("dst").alias("node")).union(e.where("src % 3 = 0 AND dst % 3 = 0").select(F.col("src").alias("node"))).distinct()
+
+
+_WALK = ORACLES["full_paths"].rpartition("SELECT src, dst, array_to_string")[0]
+
+
+def _paths(spark, d):
+    e = links(spark, d)
+    src, dst = e.select(F.col("src").alias("node")).distinct(), e.select(F.col("dst").alias("node")).distinct()
+    return graphs.full_paths(e, src.join(dst, "node", "left_anti"), dst.join(src, "node", "left_anti"), 5)
+
+
+@query(_WALK + "SELECT DISTINCT path[i] AS src, path[i+1] AS dst, CAST(1 AS INTEGER) AS weight FROM (SELECT path, unnest(range(1,len(path))) AS i FROM w WHERE dst IN (SELECT dst FROM leafs))")
+def path_links(spark, d):
+    steps = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("src"), F.element_at("path", i + 1).alias("dst")))
+    return _paths(spark, d).select(F.inline(steps)).distinct().withColumn("weight", F.lit(1))
+
+
+@query(_WALK + "SELECT node, bool_or(src_) AS is_src, bool_or(NOT src_) AS is_sink FROM (SELECT src AS node, true AS src_ FROM w WHERE dst IN (SELECT dst FROM leafs) UNION ALL SELECT dst, false FROM w WHERE dst IN (SELECT dst FROM leafs)) GROUP BY node")
+def endpoints(spark, d):
+    ends = _paths(spark, d).select(F.inline(F.array(F.struct(F.col("src").alias("node"), F.lit(True).alias("s")), F.struct(F.col("dst").alias("node"), F.lit(False).alias("s")))))
+    return ends.groupBy("node").agg(F.bool_or("s").alias("is_src"), F.bool_or(~F.col("s")).alias("is_sink"))
+
+
+@query(f"WITH {_ALN} SELECT a.unitig AS from_unitig, a.hap AS from_cluster, b.unitig AS to_unitig, b.hap AS to_cluster, count(*) AS weight FROM aln a JOIN aln b ON a.read_id=b.read_id AND a.unitig<b.unitig WHERE (a.length-a.e<500 OR a.s<500) AND (b.length-b.e<500 OR b.s<500) GROUP BY ALL")
+def cluster_links(spark, d):
+    tips = alignments(spark, d).where("length - e < 500 OR s < 500").select("read_id", "unitig", "hap")
+    a, b = (tips.select("read_id", F.col("unitig").alias(f"{x}_unitig"), F.col("hap").alias(f"{x}_cluster")) for x in ("from", "to"))
+    return a.join(b, "read_id").where("from_unitig < to_unitig").groupBy("from_unitig", "from_cluster", "to_unitig", "to_cluster").agg(F.count(F.lit(1)).alias("weight"))
+
+
+@query(f"""WITH {_CL}, x AS (SELECT unitig, cluster, first, last FROM ext WHERE n_reads>1 AND last>first), p AS (SELECT unitig, length, substr(repeat('ACGTTGCAGGTC', 1000), 1, CAST(length AS INTEGER)) AS seq FROM unitigs)
+SELECT x.unitig, x.cluster, md5(concat(substr(seq, 1, CAST(first AS INTEGER)), reverse(substr(seq, CAST(first+1 AS INTEGER), CAST(last-first AS INTEGER))))) AS child FROM x JOIN p ON x.unitig=p.unitig""")
+def child_segments(spark, d):
+    ext = alleles.extent(_clusters(spark, d), ["unitig", "cluster"]).where("n_reads > 1 AND last > first")
+    seq = F.substring(F.repeat(F.lit("ACGTTGCAGGTC"), F.lit(1000)), F.lit(1), F.col("length").cast("int"))
+    rows = ext.join(unitigs(spark, d).select("unitig", seq.alias("seq")), "unitig")
+    first, n = F.col("first").cast("int"), (F.col("last") - F.col("first")).cast("int")
+    return rows.select("unitig", "cluster", F.md5(F.concat(F.substring("seq", F.lit(1), first), F.reverse(F.substring("seq", first + 1, n)))).alias("child"))
