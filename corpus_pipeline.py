@@ -24,9 +24,13 @@ def _documents(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without the lines that they remove."""
-    kept = quality_rules.clean(docs).where("kept").withColumn("text", F.col("clean_text"))
-    return _documents(kept, docs)
+    """Documents that the rules keep, without the lines that they remove.
+
+    A filter would be pushed below the rules and evaluate them twice; the rows come out of an array that is empty for rejected documents instead.
+    """
+    changed = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    row = F.struct(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return quality_rules.clean(docs).select(F.inline(F.filter(F.array(row), lambda _: F.col("kept"))))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
