@@ -13,7 +13,8 @@ the epochs in turn until the budget is spent; the output falls into blocks, each
 holds every source's share of the block's tokens.
 
 Running sums over a permutation are taken in two steps, inside ranges of the
-hash and over the ranges, so one source may hold any share of the rows.
+hash and over the ranges; their number grows with the source's tokens, so one
+source may hold any share of the rows. The ranges don't affect the result.
 
 Defined cases: a null source is a source of its own, the empty name; a null
 text counts as empty; a document counts one token more than it has words, so
@@ -30,8 +31,8 @@ from pyspark.sql.window import Window
 from .common import let, word_count
 
 ROUNDS = 40
-#: Ranges of the permutation hash, per source and epoch.
-RANGES = 256
+#: A source's permutation hash is dealt into ranges of about so many tokens, at least ``RANGES`` of them.
+RANGE_TOKENS, RANGES = 1 << 22, 256
 HASH = 1 << 32
 
 
@@ -101,7 +102,8 @@ def mix(docs: DataFrame, budget: int | None = None, max_repeats: float | None =
     plan = plan.withColumn("_blocks", n_blocks)
     taken = rows.join(F.broadcast(plan), "source")  # one row for each source
     epochs = taken.where("_budget > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_budget") - 1) / F.col("_total")))))
-    placed = epochs.withColumn("_h", _hash(F.col("epoch"))).withColumn("_range", F.floor(F.col("_h") * RANGES / HASH).cast("int"))
+    ranges = F.least(F.greatest(F.ceil(F.col("_total") / RANGE_TOKENS), F.lit(RANGES)), F.lit(1 << 30)).cast("long")
+    placed = epochs.withColumn("_h", _hash(F.col("epoch"))).withColumn("_range", F.floor(F.col("_h") * ranges / HASH).cast("int"))
     slim = placed.select("source", "epoch", "_range", "tokens")
     sums = slim.groupBy("source", "epoch", "_range").agg(F.sum("tokens").alias("n"))
     before = Window.partitionBy("source", "epoch").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
