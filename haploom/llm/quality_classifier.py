@@ -11,7 +11,7 @@ of each label, ``DICT_PIECES`` pieces of each, for the dictionaries, and
 id. Everything else is one pass over whole texts without a shuffle.
 
 Defined cases: null texts count as empty and get the score of an empty text;
-without labelled rows of both kinds every score is 0.5; a row that is labelled
+without labelled rows of both kinds, or of texts for them, every score is 0.5; a row that is labelled
 more than once takes its smallest label; labels other than 0 and 1 are left out.
 """
 
@@ -100,10 +100,12 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("y").alias("y")).withColumn("at", F.crc32(F.col("doc_id").cast("string").cast("binary")))
 
-    def chosen(rows: DataFrame, n: int) -> list[int]:
-        return [r[0] for r in rows.orderBy("at", "doc_id").limit(n).select("doc_id").collect()]
+    def chosen(rows: DataFrame, n: int) -> list[tuple[int, int, int]]:
+        """(doc_id, at, y) of the first n rows: every task sorts out its own n before they meet."""
+        return [tuple(r) for r in rows.orderBy("at", "doc_id").limit(n).select("doc_id", "at", "y").collect()]
 
-    first = {y: chosen(known.where(F.col("y") == y), DICT_ROWS) for y in (0, 1)}
+    dealt = {y: chosen(known.where(F.col("y") == y), 2 * DICT_ROWS + 1) for y in (0, 1)}
+    first = {y: [r[0] for r in rows[:DICT_ROWS]] for y, rows in dealt.items()}
     spark = docs.sparkSession
 
     def texts_of(ids: list[int]) -> DataFrame:
@@ -111,8 +113,9 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return docs.join(F.broadcast(rows), "doc_id")  # at most FIT_ROWS ids
 
     pieces = {y: _sample_pieces(texts_of(ids).select("text")) for y, ids in first.items()}
+    unknown = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
     if not pieces[0] or not pieces[1]:
-        return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
+        return unknown
     dictionaries = spark.sparkContext.broadcast((_dictionary(pieces[0]), _dictionary(pieces[1])))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +125,17 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in x], pa.float64()) for k in range(3))], ["doc_id", "d", "r", "s"])
 
     # rows that made the dictionaries compress too well, so others fit the curve; with few labels all of them must
-    threshold = {y: known.where((F.col("y") == y)).count() > 2 * DICT_ROWS for y in (0, 1)}
-    rest = known.where(F.col("y") == 0) if not threshold[0] else known.where(F.col("y") == 0).orderBy("at", "doc_id").offset(DICT_ROWS)
-    rest = rest.union(known.where(F.col("y") == 1) if not threshold[1] else known.where(F.col("y") == 1).orderBy("at", "doc_id").offset(DICT_ROWS))
-    ids = {r[0]: r[1] for r in rest.orderBy("at", "doc_id").limit(FIT_ROWS).select("doc_id", "y").collect()}
+    rest = known.where("false")
+    for y, rows in dealt.items():
+        own = known.where(F.col("y") == y)
+        if len(rows) > 2 * DICT_ROWS:
+            last, at, _ = rows[DICT_ROWS - 1]
+            own = own.where((F.col("at") > at) | (F.col("at") == at) & (F.col("doc_id") > last))
+        rest = rest.union(own)
+    ids = {doc: y for doc, _, y in chosen(rest, FIT_ROWS)}
     sample = sorted(tuple(r) for r in texts_of(list(ids)).mapInArrow(measure, "doc_id long, d double, r double, s double").collect())
+    if not sample:
+        return unknown
     mean, scale, weights = fit_curve(np.array([r[1:] for r in sample]), np.array([ids[r[0]] for r in sample], float))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
