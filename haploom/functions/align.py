@@ -48,6 +48,31 @@ def align(a: str, b: str, band: int = 32) -> tuple[str, str, str]:
     return q, t, track
 
 
+def lifted(gapped: str, k: int, gapped_own: str, gapped_ref: str, before: int = 0) -> int:
+    """Reference position (from 1) of column ``k`` of an alignment, -1 if the sequence ends before.
+
+    ``gapped`` is the sequence as it stands in that alignment, from its base number
+    ``before``; ``gapped_own`` and ``gapped_ref`` are the same sequence and the reference aligned with each other.
+    """
+    wanted = k - gapped[:k].count("-") + before + 1
+    seen = 0
+    for i, c in enumerate(gapped_own):
+        seen += c != "-"
+        if seen == wanted:
+            return i - gapped_ref[:i].count("-") + 1
+    return -1
+
+
+def masked(q: str, t: str, track: str, q_depth: Callable[[int], int], t_depth: Callable[[int], int], least: int) -> str:
+    """``track`` with a match for every difference at which either sequence's depth is below ``least``."""
+    out, i, j = [], 0, 0
+    for a, b, c in zip(q, t, track, strict=True):
+        out.append("|" if c != "|" and min(q_depth(i), t_depth(j)) < least else c)
+        i += a != "-"
+        j += b != "-"
+    return "".join(out)
+
+
 def score(q: str, t: str, track: str, start: int, sites: set[int], least_gap: int = 5) -> int:
     """Mismatches at ``sites`` (coordinates of q from ``start``) plus the lengths of inner gap runs of ``least_gap`` or more."""
     total, at, run, begin = 0, start, 0, 0
@@ -72,3 +97,13 @@ def alignment_udf() -> Callable:
         return pd.DataFrame([align(x, y) for x, y in zip(a, b, strict=True)], columns=["q", "t", "track"])
 
     return run
+
+
+def distance_udf(least_gap: int = 5) -> Callable:
+    """(a, b, start, sites) -> score of the alignment of a and b, whose first base is at ``start``, in Arrow batches."""
+
+    @F.pandas_udf("long")
+    def run(a: pd.Series, b: pd.Series, start: pd.Series, sites: pd.Series) -> pd.Series:
+        return pd.Series([score(*align(x, y), int(at), set(s), least_gap) for x, y, at, s in zip(a, b, start, sites, strict=True)])
+
+    return run

@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from haploom.plans.config import Config
 
-_SCHEMA = "unitig long, read_id long, cluster long"
-
-
 def _parts(linked: np.ndarray) -> list[np.ndarray]:
     """Connected parts of a boolean matrix, by smallest member."""
     free, out = np.ones(len(linked), bool), []
@@ -95,9 +92,11 @@ def cluster_reads(bases: np.ndarray, s: np.ndarray, e: np.ndarray, c: Config) ->
 def phase(reads: DataFrame, seen: DataFrame, c: Config) -> DataFrame:
     """unitig, read_id, cluster (smallest read of the cluster; null if none) of all reads.
 
-    ``reads`` has unitig, read_id, s, e; ``seen`` has unitig, read_id, pos, base at SNP positions.
+    Unitigs and reads are known by numbers or by names. ``reads`` has unitig, read_id, s, e; ``seen`` has unitig, read_id, pos, base at SNP positions.
     """
 
+    unitig, read = (reads.schema[name].dataType.simpleString() for name in ("unitig", "read_id"))
+
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("read_id").reset_index(drop=True)
         at = {p: k for k, p in enumerate(sorted(right["pos"].unique()))}
@@ -108,7 +107,7 @@ def phase(reads: DataFrame, seen: DataFrame, c: Config) -> DataFrame:
                 bases[row[r], at[p]] = ord(b)
         found = cluster_reads(bases, left["s"].to_numpy(), left["e"].to_numpy(), c) if at else np.zeros(len(left), np.int64)
         ids = left["read_id"].to_numpy()
-        return pd.DataFrame({"unitig": key[0], "read_id": ids, "cluster": pd.array([int(ids[k]) if k >= 0 else None for k in found], dtype="Int64")})
+        return pd.DataFrame({"unitig": key[0], "read_id": ids, "cluster": pd.Series([ids[k] if k >= 0 else None for k in found], dtype="Int64" if read == "bigint" else object)})
 
     sites = seen.select(F.col("unitig").alias("u"), F.col("read_id").alias("r"), "pos", "base")
-    return reads.groupBy("unitig").cogroup(sites.groupBy("u")).applyInPandas(run, _SCHEMA)
+    return reads.groupBy("unitig").cogroup(sites.groupBy("u")).applyInPandas(run, f"unitig {unitig}, read_id {read}, cluster {read}")

@@ -22,7 +22,12 @@ def paths(edges: DataFrame, hops: int, starts: DataFrame | None = None) -> DataF
     first = e if starts is None else e.join(starts.select(F.col("node").alias("src")), "src", "left_semi")
     level = first.where("src <> dst").select(F.array("src", "dst").alias("path"))
     found = [level]
-    for _ in range(hops - 1):
+    for k in range(hops - 1):
+        if k >= 2:  # later steps go on from files instead of repeating the joins of all before
+            level = cut(level)
+            found[-1] = level
+            if not level.limit(1).count():
+                break
         step = level.withColumn("src", F.element_at("path", -1)).join(e, "src").where(~F.array_contains("path", F.col("dst")))
         level = step.select(F.concat("path", F.array("dst")).alias("path"))
         found.append(level)
@@ -72,10 +77,11 @@ def nested(intervals: DataFrame, key: list[str], node: str, width: int = 2000) -
     return inner.join(outer, [*key, "_b"]).where("os < s AND oe > e").select(*key, "inner", "outer")
 
 
-def within_hops(edges: DataFrame, hops: int) -> DataFrame:
-    """src, dst, hops: fewest edges between nodes, both directions allowed, up to the limit."""
+def within_hops(edges: DataFrame, hops: int, starts: DataFrame | None = None) -> DataFrame:
+    """src, dst, hops: fewest edges between nodes, both directions allowed, up to the limit; from ``starts`` (node) or from anywhere."""
     e = symmetric(edges)
-    best = e.withColumn("hops", F.lit(1))
+    first = e if starts is None else e.join(starts.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+    best = first.select("src", "dst").withColumn("hops", F.lit(1))
     front = best
     for k in range(2, hops + 1):
         step = front.select("src", F.col("dst").alias("mid")).join(e.withColumnRenamed("src", "mid"), "mid").where("src <> dst").select("src", "dst").distinct()
@@ -161,11 +167,11 @@ def independent_set(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     A node that outranks all its free neighbours is taken and its neighbours go; that equals the sequential greedy choice.
     """
-    free = cut(nodes.select("node", F.struct(F.col("length").alias("l"), (-F.col("node")).alias("k")).alias("rank")))
+    free = cut(nodes.select("node", F.col("length").alias("l")))
     both, taken = cut(symmetric(edges)), []
     while free.limit(1).count():
-        near = both.join(free.select(F.col("node").alias("src"), F.col("rank").alias("rs")), "src").join(free.select(F.col("node").alias("dst"), F.col("rank").alias("rd")), "dst")
-        beaten = near.where("rd > rs").select(F.col("src").alias("node")).distinct()
+        near = both.join(free.select(F.col("node").alias("src"), F.col("l").alias("ls")), "src").join(free.select(F.col("node").alias("dst"), F.col("l").alias("ld")), "dst")
+        beaten = near.where("ld > ls OR (ld = ls AND dst < src)").select(F.col("src").alias("node")).distinct()
         winners = cut(free.join(beaten, "node", "left_anti").select("node"))
         taken.append(winners)
         gone = both.join(winners.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).union(winners)

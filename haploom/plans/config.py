@@ -30,3 +30,18 @@ class Config:
     gap_limit: int = 1500
     report_window: int = 100
     min_divergence: float = 1e-5
+    min_parent_depth: int = 6
+    min_cluster_share: float = 0.05
+    min_consensus_depth: int = 5
+
+    @classmethod
+    def of_mode(cls, mode: str) -> Config:
+        """Defaults for accurate ("hifi") or noisy ("nano") reads."""
+        if mode not in _MODES:
+            raise ValueError(f"no such mode: {mode}")
+        divergence, depth = _MODES[mode]
+        return cls(max_divergence=divergence, min_consensus_depth=depth)
+
+
+#: Highest divergence of an alignment and lowest depth of a consensus, by kind of read.
+_MODES = {"hifi": (0.05, 3), "nano": (0.10, 5)}

@@ -200,16 +200,9 @@ sh AS (SELECT x.unitig, x.cluster AS a, y.cluster AS b, count(*) AS shared, coun
 SELECT x.unitig, x.cluster AS a, y.cluster AS b, CASE WHEN sh.shared IS NULL THEN 1.0 WHEN least(x.last,y.last)-greatest(x.first,y.first)>1000 THEN round(mism/(least(x.last,y.last)-greatest(x.first,y.first)),9) ELSE 1.0 END::DOUBLE AS d
 FROM o x JOIN o y ON x.unitig=y.unitig AND x.ord<y.ord LEFT JOIN sh ON sh.unitig=x.unitig AND sh.a=x.cluster AND sh.b=y.cluster""")
 def cluster_distance(spark, d):
-    ext = alleles.extent(_clusters(spark, d), ["unitig", "cluster"]).where("n_reads > 1").withColumn("ord", F.row_number().over(Window.partitionBy("unitig").orderBy("last", "first", "cluster")))
+    ext = alleles.extent(_clusters(spark, d), ["unitig", "cluster"]).where("n_reads > 1")
     cons = _consensus(spark, d).where("alt_flag").select("unitig", "cluster", "pos", "base")
-    one = lambda df, x, cols: df.select("unitig", *[F.col(c).alias(f"{x}_{c}") for c in cols])
-    shared = cons.select("unitig", "pos", F.col("cluster").alias("a"), F.col("base").alias("ab")).join(cons.select("unitig", "pos", F.col("cluster").alias("b"), F.col("base").alias("bb")), ["unitig", "pos"])
-    shared = shared.groupBy("unitig", "a", "b").agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("ab") != F.col("bb")).alias("mism"))
-    cols = ["cluster", "first", "last", "ord"]
-    pairs = one(ext, "x", cols).join(one(ext, "y", cols), "unitig").where("x_ord < y_ord").withColumnsRenamed({"x_cluster": "a", "y_cluster": "b"})
-    overlap = F.least("x_last", "y_last") - F.greatest("x_first", "y_first")
-    near = F.col("shared").isNotNull() & (overlap > C.min_overlap)
-    return pairs.join(shared, ["unitig", "a", "b"], "left").select("unitig", "a", "b", F.when(near, F.round(F.try_divide(F.col("mism"), overlap), 9)).otherwise(1.0).alias("d"))
+    return distances.cluster_distances(ext, cons, C.min_overlap)
 
 
 @query(f"WITH {_ALN} SELECT i.unitig, i.read_id AS inner, o.read_id AS outer FROM aln i JOIN aln o ON i.unitig=o.unitig AND o.s<i.s AND o.e>i.e".replace("AS inner", 'AS "inner"').replace("AS outer", 'AS "outer"'))
@@ -307,9 +300,12 @@ _CHAIN = "ce AS (SELECT o_orderkey AS src, o_orderkey+1 AS dst FROM orders WHERE
 @query(f"""WITH RECURSIVE {_CHAIN}, n AS (SELECT *, count(*) OVER (PARTITION BY src) AS o, count(*) OVER (PARTITION BY dst) AS i FROM ce), k AS (SELECT src,dst FROM n WHERE o=1 AND i=1),
 w(head,node,place) AS (SELECT src,src,0 FROM k WHERE src NOT IN (SELECT dst FROM k) UNION ALL SELECT w.head,k.dst,place+1 FROM w JOIN k ON w.node=k.src) SELECT node, min(node) OVER (PARTITION BY head) AS chain, CAST(place AS BIGINT) AS place FROM w""")
 def linear_chains(spark, d):
+    return graphs.linear_chains(_chain_edges(spark, d), components).withColumnRenamed("at", "place")
+
+
+def _chain_edges(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"))
-    e = o.where("src % 7 <> 0").select("src", (F.col("src") + 1).alias("dst")).union(o.where("src % 11 = 0").select("src", (F.col("src") + 3).alias("dst")))
-    return graphs.linear_chains(e, components).withColumnRenamed("at", "place")
+    return o.where("src % 7 <> 0").select("src", (F.col("src") + 1).alias("dst")).union(o.where("src % 11 = 0").select("src", (F.col("src") + 3).alias("dst")))
 
 
 @query(None)

@@ -54,6 +54,18 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_sam(lengths: DataFrame, reads: DataFrame, path: str) -> None:
+    """SAM text sorted by unitig and position: a header from ``lengths`` (unitig, length), then ``reads`` with a YC tag where they have yc."""
+    first = reads.sparkSession.range(1).select(F.lit("@HD\tVN:1.6\tSO:coordinate").alias("value"))
+    names = lengths.orderBy("unitig").select(F.concat(F.lit("@SQ\tSN:"), "unitig", F.lit("\tLN:"), F.col("length").cast("string")).alias("value"))
+    flag = F.when(F.col("rev"), 16).otherwise(0) + F.when(F.col("supplementary"), 2048).otherwise(0)
+    tag = F.concat(F.lit("YC:Z:"), F.col("yc"))
+    body = reads.orderBy("unitig", "s", "read_id").select(
+        F.concat_ws("\t", "read_id", flag.cast("string"), "unitig", (F.col("s") + 1).cast("string"), F.col("mapq").cast("string"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), "seq", F.lit("*"), tag).alias("value")
+    )
+    first.coalesce(1).union(names).union(body).write.mode("overwrite").text(path)
+
+
 def supplementary(sa: Column) -> Column:
     """array<struct<unitig, pos, strand, cigar, mapq>> of an SA tag."""
     parts = F.filter(F.split(sa, ";"), lambda x: x != "")

@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
-from haploom.plans.queries import ORACLES, QUERIES  # noqa: E402
+from haploom.plans.catalog import ORACLES, QUERIES  # noqa: E402
 from oracle import SF, same  # noqa: E402
 
 
