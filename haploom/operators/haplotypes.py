@@ -76,19 +76,20 @@ def overlap_graph(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFr
 
     ``edges`` has src and dst in order of position, ``nodes`` node, first, last, root and leaf.
     """
-    apart = without_nested(edges.where("src <> dst").select("src", "dst").distinct(), nodes)
-    gone = subnodes(apart, nodes.where("root"), nodes.where("leaf"))
+    apart = cut(without_nested(edges.where("src <> dst").select("src", "dst").distinct(), nodes))
+    gone = cut(subnodes(apart, nodes.where("root"), nodes.where("leaf")))
     left = cut(graphs.without_segments(apart, gone).select("src", "dst"))
     detours = graphs.transitive(left, 2, first_hop=True)
-    return left.join(detours, ["src", "dst"], "left_anti"), nodes.join(gone, "node", "left_anti")
+    return cut(left.join(detours, ["src", "dst"], "left_anti")), cut(nodes.join(gone, "node", "left_anti"))
 
 
 def usable_paths(edges: DataFrame, nodes: DataFrame, hops: int) -> DataFrame:
     """path: simple paths from a root to a leaf that pass no full cluster and no leaf before their end."""
     found = graphs.full_paths(edges, nodes.where("root").select("node"), nodes.where("leaf").select("node"), hops).select("path")
+    found = cut(found.distinct())
     inner = found.select("path", F.posexplode("path").alias("at", "node")).join(nodes.select("node", "full", "leaf"), "node")
     bad = inner.where(F.col("full") | F.col("leaf") & (F.col("at") < F.size("path") - 1)).select("path").distinct()
-    return found.distinct().join(bad, "path", "left_anti")
+    return cut(found.join(bad, "path", "left_anti"))
 
 
 def _steps(paths: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from haploom.functions import sequence as fn
 from haploom.operators import alleles, coverage, distances, haplotypes, pileup
+from haploom.plans.checkpoints import cut
 from haploom.plans.projection import alignments, links, table, unitigs
 from haploom.plans.queries import _CHAIN, _CL, _UNITIGS, C, ORACLES, _clusters, _consensus, query
 
@@ -35,16 +36,22 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
     ext = alleles.extent(cl, key).where("n_reads > 1 AND last > first")
     tails = coverage.strong_tails(cl, key, C.end_gap, C.tip_reads).drop("spans")
     at = ext.join(tails, key).join(unitigs(spark, d).select("unitig", "length"), "unitig")
-    return haplotypes.roles(at, C.end_gap).withColumn("node", F.col("unitig") * 10 + F.col("cluster"))
+    return cut(haplotypes.roles(at, C.end_gap).withColumn("node", F.col("unitig") * 10 + F.col("cluster")))
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
+def _edges(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
     ext = alleles.extent(_clusters(spark, d), ["unitig", "cluster"]).where("n_reads > 1")
     cons = _consensus(spark, d).where("alt_flag").select("unitig", "cluster", "pos", "base")
     near = distances.cluster_distances(ext, cons, C.min_overlap).where(F.col("d") <= NEAR)
-    known = _nodes(spark, d).select("node")
+    known = nodes.select("node")
     e = near.select((F.col("unitig") * 10 + F.col("a")).alias("src"), (F.col("unitig") * 10 + F.col("b")).alias("dst"))
-    return e.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return cut(e.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+
+
+def _overlap_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, nodes left, all nodes)."""
+    nodes = _nodes(spark, d)
+    return *haplotypes.overlap_graph(_edges(spark, d, nodes), nodes), nodes
 
 
 @query(f'WITH {_CL}, {_ROLES} SELECT unitig, cluster, first, last, single, "full", root, leaf FROM roles')
@@ -67,12 +74,12 @@ def trimmed_ends(spark, d):
 
 @query(f"WITH {_CL}, {_GRAPH} SELECT src, dst FROM og")
 def overlap_graph(spark, d):
-    return haplotypes.overlap_graph(_edges(spark, d), _nodes(spark, d))[0]
+    return _overlap_graph(spark, d)[0]
 
 
 @query(f"WITH RECURSIVE {_CL}, {_PATHS} SELECT array_to_string(path,'>') AS path FROM paths")
 def usable_paths(spark, d):
-    graph, left = haplotypes.overlap_graph(_edges(spark, d), _nodes(spark, d))
+    graph, left, _ = _overlap_graph(spark, d)
     return haplotypes.usable_paths(graph, left, 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
@@ -84,8 +91,7 @@ own AS (SELECT a//2 AS node, max(border) FILTER (a%2=0) AS l, max(border) FILTER
 SELECT roles.node, coalesce(l, CASE WHEN root THEN first END) AS "left", coalesce(r, CASE WHEN leaf THEN length-1 END) AS "right" FROM own JOIN roles ON own.node=roles.node"""
 )
 def path_boundaries(spark, d):
-    nodes = _nodes(spark, d)
-    graph, left = haplotypes.overlap_graph(_edges(spark, d), nodes)
+    graph, left, nodes = _overlap_graph(spark, d)
     return haplotypes.boundaries(haplotypes.usable_paths(graph, left, 3), nodes)
 
 
