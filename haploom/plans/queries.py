@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from haploom.functions import sequence as fn
-from haploom.operators import alleles, coverage, distances, graphs, reports
+from haploom.operators import alleles, coverage, distances, graphs, haplotypes, reports
 from haploom.operators.components import components
 from haploom.plans.config import Config
 from haploom.plans.projection import alignments, links, observations, table, unitigs
@@ -508,7 +508,8 @@ def unitig_adjacency(spark, d):
 @query(f"WITH {_EDGES} SELECT dst AS node FROM edges WHERE src%3=1 AND dst%3=1 UNION SELECT src FROM edges WHERE src%3=0 AND dst%3=0")
 def root_leaf_prune(spark, d):
     e = links(spark, d)
-    return e.where("src % 3 = 1 AND dst % 3 = 1").select(F.col("dst").alias("node")).union(e.where("src % 3 = 0 AND dst % 3 = 0").select(F.col("src").alias("node"))).distinct()
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return haplotypes.subnodes(e, nodes.where("node % 3 = 0"), nodes.where("node % 3 = 1"))
 
 
 _WALK = ORACLES["full_paths"].rpartition("SELECT src, dst, array_to_string")[0]
@@ -522,8 +523,7 @@ def _paths(spark, d):
 
 @query(_WALK + "SELECT DISTINCT path[i] AS src, path[i+1] AS dst, CAST(1 AS INTEGER) AS weight FROM (SELECT path, unnest(range(1,len(path))) AS i FROM w WHERE dst IN (SELECT dst FROM leafs))")
 def path_links(spark, d):
-    steps = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("src"), F.element_at("path", i + 1).alias("dst")))
-    return _paths(spark, d).select(F.inline(steps)).distinct().withColumn("weight", F.lit(1))
+    return haplotypes.path_links(_paths(spark, d))
 
 
 @query(_WALK + "SELECT node, bool_or(src_) AS is_src, bool_or(NOT src_) AS is_sink FROM (SELECT src AS node, true AS src_ FROM w WHERE dst IN (SELECT dst FROM leafs) UNION ALL SELECT dst, false FROM w WHERE dst IN (SELECT dst FROM leafs)) GROUP BY node")
