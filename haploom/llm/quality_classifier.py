@@ -6,9 +6,11 @@ it resembles; a logistic curve over that difference, with the compressed share
 and the length of the text as covariates, turns it into a probability.
 
 What is fitted comes from bounded samples of labelled rows: ``DICT_ROWS`` rows
-of each label, ``DICT_PIECES`` pieces of each, for the dictionaries, and
-``FIT_ROWS`` others for the curve, the rows with the smallest crc32 of their
-id. Everything else is one pass over whole texts without a shuffle.
+of each label, ``DICT_PIECES`` pieces of each, for the dictionaries, and the
+next ``FIT_ROWS`` of each label for the curve, the rows with the smallest crc32
+of their id. The curve's rows are weighted back to the labels' true shares,
+which are counted over all labelled rows. Everything else is one pass over
+whole texts without a shuffle.
 
 Defined cases: null texts count as empty and get the score of an empty text;
 without labelled rows of both kinds, or of texts for them, every score is 0.5; a row that is labelled
@@ -76,14 +78,15 @@ def _design(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(d)), d, d * d, d**3 / 4, r, r * r, r**3 / 4, s, s * s, d * r, d * s, r * s], 1)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, scale and weights of a ridge logistic regression, by steps that a bound of the curvature makes safe."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+def fit_curve(x: np.ndarray, y: np.ndarray, share: np.ndarray, rounds: int = 200, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, scale and weights of a ridge logistic regression of rows that count by their ``share`` (in sum 1), by steps that a bound of the curvature makes safe."""
+    mean = share @ x
+    scale = np.sqrt(share @ (x - mean) ** 2) + 1e-9
     z = _design(x, mean, scale)
     w = np.zeros(z.shape[1])
-    curvature = z.T @ z / 4 / len(y) + ridge * np.eye(len(w))
+    curvature = (z.T * share) @ z / 4 + ridge * np.eye(len(w))
     for _ in range(rounds):
-        w += np.linalg.solve(curvature, z.T @ (y - _logistic(z @ w)) / len(y) - ridge * w)
+        w += np.linalg.solve(curvature, z.T @ (share * (y - _logistic(z @ w))) - ridge * w)
     return mean, scale, w
 
 
@@ -100,17 +103,17 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("y").alias("y")).withColumn("at", F.crc32(F.col("doc_id").cast("string").cast("binary")))
 
-    def chosen(rows: DataFrame, n: int) -> list[tuple[int, int, int]]:
-        """(doc_id, at, y) of the first n rows: every task sorts out its own n before they meet."""
-        return [tuple(r) for r in rows.orderBy("at", "doc_id").limit(n).select("doc_id", "at", "y").collect()]
+    def chosen(y: int, n: int) -> list[int]:
+        """The first n ids of a label: every task sorts out its own n before they meet."""
+        return [r[0] for r in known.where(F.col("y") == y).orderBy("at", "doc_id").limit(n).select("doc_id").collect()]
 
-    dealt = {y: chosen(known.where(F.col("y") == y), 2 * DICT_ROWS + 1) for y in (0, 1)}
-    first = {y: [r[0] for r in rows[:DICT_ROWS]] for y, rows in dealt.items()}
+    dealt = {y: chosen(y, DICT_ROWS + max(FIT_ROWS, DICT_ROWS + 1)) for y in (0, 1)}
+    first = {y: rows[:DICT_ROWS] for y, rows in dealt.items()}
     spark = docs.sparkSession
 
     def texts_of(ids: list[int]) -> DataFrame:
         rows = spark.sql("SELECT explode(from_json(:ids, 'array<bigint>')) AS doc_id", args={"ids": str(list(ids))})
-        return docs.join(F.broadcast(rows), "doc_id")  # at most FIT_ROWS ids
+        return docs.join(F.broadcast(rows), "doc_id")  # at most 2 * FIT_ROWS ids
 
     pieces = {y: _sample_pieces(texts_of(ids).select("text")) for y, ids in first.items()}
     unknown = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
@@ -124,19 +127,16 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             x = [sizes.features(v.as_py() or "") for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in x], pa.float64()) for k in range(3))], ["doc_id", "d", "r", "s"])
 
-    # rows that made the dictionaries compress too well, so others fit the curve; with few labels all of them must
-    rest = known.where("false")
-    for y, rows in dealt.items():
-        own = known.where(F.col("y") == y)
-        if len(rows) > 2 * DICT_ROWS:
-            last, at, _ = rows[DICT_ROWS - 1]
-            own = own.where((F.col("at") > at) | (F.col("at") == at) & (F.col("doc_id") > last))
-        rest = rest.union(own)
-    ids = {doc: y for doc, _, y in chosen(rest, FIT_ROWS)}
-    sample = sorted(tuple(r) for r in texts_of(list(ids)).mapInArrow(measure, "doc_id long, d double, r double, s double").collect())
-    if not sample:
+    # rows that made the dictionaries compress too well, so others fit the curve; with few rows of a label they must as well
+    fitting = {y: rows[DICT_ROWS : DICT_ROWS + FIT_ROWS] if len(rows) > 2 * DICT_ROWS else rows[-FIT_ROWS:] for y, rows in dealt.items()}
+    truth = {doc: y for y, rows in fitting.items() for doc in rows}
+    sample = sorted(tuple(r) for r in texts_of(list(truth)).mapInArrow(measure, "doc_id long, d double, r double, s double").collect())
+    y = np.array([truth[r[0]] for r in sample], float)
+    if len(set(y)) < 2:
         return unknown
-    mean, scale, weights = fit_curve(np.array([r[1:] for r in sample]), np.array([ids[r[0]] for r in sample], float))
+    stands_for = {r["y"]: r["count"] / len(fitting[r["y"]]) for r in known.groupBy("y").count().collect()}
+    share = np.array([stands_for[truth[r[0]]] for r in sample])
+    mean, scale, weights = fit_curve(np.array([r[1:] for r in sample]), y, share / share.sum())
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(*dictionaries.value)

@@ -201,3 +201,13 @@ def test_classifier_with_more_labels_than_the_samples_take(spark, monkeypatch):
     # labels of texts that aren't there
     strangers = labels.select((F.col("doc_id") + 10_000).alias("doc_id"), "quality")
     assert {r["score"] for r in quality_classifier.score(d, strangers).collect()} == {0.5}
+
+
+def test_classifier_with_few_bad_rows_among_many(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "DICT_ROWS", 40)
+    monkeypatch.setattr(quality_classifier, "FIT_ROWS", 60)
+    good, bad = ("The committee met again in the spring to weigh what had been learned. " * 6, "win $$$ now *** click || free || cash $$$ ### " * 8)
+    rows = [(i, (good if i % 8 else bad) + f" number {i * 7919 % 1009}") for i in range(2000)]
+    labels = spark.createDataFrame([(i, int(i % 8 > 0)) for i, _ in rows], "doc_id long, quality int")
+    out = quality_classifier.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).where("held_out").collect()
+    assert out and all(r["predicted"] == (r["doc_id"] % 8 > 0) for r in out)
