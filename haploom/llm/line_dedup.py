@@ -8,6 +8,14 @@ selection). Pairs found are verified by a banded bit-parallel edit distance.
 Lines linked so, directly or through others, are one class; of each class the
 first line in the smallest document id stays, the others are removed.
 
+With ``BY_LENGTH`` the threshold grows with the shorter line: one edit for 40
+characters up to 200, the root of an eighth of the length beyond, so that the
+number of keys is in proportion to the text for lines of any length. Lengths
+are in bands of one threshold and one size of segments. Half of a line's
+segments are placed from its beginning, the others from its end; within the
+threshold one of them is found unchanged, moved by no more places than there
+are segments before it on its side, so (threshold + 1)^2 / 2 substrings are probed.
+
 A line counts without blanks at its ends. Lines shorter than ``MIN_CHARS``
 characters (headings, blank lines) are never removed.
 
@@ -27,8 +35,12 @@ from haploom.operators.components import components
 from .common import BLANKS, cut, let
 
 THRESHOLD = 1
+#: Stands for a threshold that grows with the length.
+BY_LENGTH = None
+#: Lengths at which bands of threshold 1 begin, from MIN_CHARS on.
+_SHORT_BANDS = (32, 40, 52, 64)
 MIN_CHARS = 24
-_BITMAP_BITS = 23
+_BITMAP_BITS, _KEY_BITS = 23, 26
 #: Letters that are counted to sift pairs of lines; more of them cost more than they save.
 _LETTERS = "ent"
 
@@ -123,18 +135,18 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
     return let(F.struct(_chars(a).alias("x"), _chars(b).alias("y")), lambda s: run(s["x"], s["y"]))
 
 
-def _bitmap(hashes: DataFrame) -> DataFrame:
-    """bucket, bits: a bitmap of 2^_BITMAP_BITS bits in which a bit for each hash h is set."""
-    place = hashes.select(F.pmod("h", F.lit(1 << _BITMAP_BITS)).alias("p"))
+def _bitmap(hashes: DataFrame, size: int = _BITMAP_BITS) -> DataFrame:
+    """bucket, bits: a bitmap of 2^size bits in which a bit for each hash h is set."""
+    place = hashes.select(F.pmod("h", F.lit(1 << size)).alias("p"))
     return place.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
 
 
-def _sifted(lines: DataFrame, bitmap: DataFrame) -> DataFrame:
+def _sifted(lines: DataFrame, bitmap: DataFrame, size: int = _BITMAP_BITS) -> DataFrame:
     """``lines`` with ``hit``: false if the line's hash is surely not in the bitmap."""
-    bit = F.pmod(F.col("h"), F.lit(1 << _BITMAP_BITS))
+    bit = F.pmod(F.col("h"), F.lit(1 << size))
     place = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring(F.col("bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = lines.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), "bucket", "left")  # 2^_BITMAP_BITS bits at most
+    joined = lines.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), "bucket", "left")  # 2^size bits at most
     hit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))) != 0
     return joined.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("bucket", "bits")
 
@@ -148,7 +160,7 @@ def _letters(line: Column) -> Column:
     return out
 
 
-def _may_match(x: Column, y: Column, threshold: int) -> Column:
+def _may_match(x: Column, y: Column, threshold: int | Column) -> Column:
     """Whether the letters' numbers allow the threshold: an edit changes two of them by one at most."""
     apart = F.lit(0)
     for k in range(len(_LETTERS)):
@@ -171,6 +183,54 @@ def candidates(lines: DataFrame, threshold: int) -> DataFrame:
     return right.join(left, alike).select("a", "b").distinct()
 
 
+def allowed(n: Column) -> Column:
+    """Edits within which a line of ``n`` characters is linked to a line that isn't shorter."""
+    return F.greatest(F.lit(1), F.least((n / 40).cast("int"), F.sqrt(n / 8).cast("int")))
+
+
+def _band(n: Column) -> Column:
+    """low, t: the length from which on lines are in the band of length ``n``, and its threshold."""
+    first = F.lit(MIN_CHARS)
+    for low in _SHORT_BANDS:
+        first = F.when(n >= low, low).otherwise(first)
+    return let(allowed(n), lambda t: F.struct(F.when(t > 1, F.greatest(40 * t, 8 * t * t)).otherwise(first).alias("low"), t.alias("t")))
+
+
+def _band_keys(line: Column, n: Column, band: Column, shifts) -> Column:
+    """Hashed keys of the line's segments in a band, each at the places that ``shifts`` gives for its number from its end."""
+    low, t = band["low"], band["t"]
+    size = (low / (t + 1)).cast("int")
+
+    def key(number: Column, start: Column) -> Column:
+        return F.xxhash64(low, number, F.substring(line, start, size))
+
+    left = F.transform(F.sequence(F.lit(0), (t / 2).cast("int")), lambda i: F.transform(shifts(i), lambda k: key(i, i * size + k + 1)))
+    right = F.transform(F.sequence(F.lit(0), ((t - 1) / 2).cast("int")), lambda i: F.transform(shifts(i), lambda k: key(-1 - i, n - (i + 1) * size + k + 1)))
+    return F.flatten(F.concat(left, right))
+
+
+def candidates_by_length(lines: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of hashes of distinct lines that share a key and whose lengths and letters allow the threshold."""
+    sized = lines.select("h", "line", F.length("line").alias("n")).withColumn("own", _band(F.col("n"))).withColumn("below", _band(F.col("n") - F.col("own.t")))
+    sized = sized.withColumn("sign", F.shiftleft(F.col("n").cast("long"), 24).bitwiseOR(_letters(F.col("line"))))
+    still, moved = (lambda i: F.array(F.lit(0))), (lambda i: F.filter(F.sequence(-i, i), lambda k: k != 0))
+    everywhere = lambda i: F.sequence(-i, i)
+    line, n = F.col("line"), F.col("n")
+    index = sized.select("h", "sign", F.explode(_band_keys(line, n, F.col("own"), still)).alias("key"))
+    shorter = F.when(F.col("below.low") < F.col("own.low"), _band_keys(line, n, F.col("below"), everywhere)).otherwise(F.array().cast("array<bigint>"))
+    probes = sized.select(F.col("h").alias("a"), "sign", F.explode(F.concat(_band_keys(line, n, F.col("own"), moved), shorter)).alias("h"))
+    probes = _sifted(probes, _bitmap(index.select(F.col("key").alias("h")), _KEY_BITS), _KEY_BITS).where("hit")
+    probes = probes.select(F.col("a"), F.col("sign").alias("x"), F.col("h").alias("key"))
+    first, second = index.select(F.col("h").alias("a"), F.col("sign").alias("x"), "key"), index.select(F.col("h").alias("b"), F.col("sign").alias("y"), "key")
+    # equal places first: both sides are the index
+    m, k = F.shiftright("x", 24).cast("int"), F.shiftright("y", 24).cast("int")
+    t = allowed(F.least(m, k))
+    near = (F.abs(m - k) <= t) & _may_match(F.col("x"), F.col("y"), t)
+    level = first.join(second, "key").where((F.col("a") < F.col("b")) & near).select("a", "b")
+    apart = probes.join(second, "key").where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return level.union(apart).distinct()
+
+
 def _differing(a: Column, b: Column) -> Column:
     """(x, y): the strings without most of what they have in common at both ends, which leaves their distance as it is."""
 
@@ -192,21 +252,26 @@ def _differing(a: Column, b: Column) -> Column:
     return let(let(F.struct(a.alias("x"), b.alias("y")), head), tail)
 
 
-def links(lines: DataFrame, distinct: DataFrame, threshold: int) -> DataFrame:
+def links(lines: DataFrame, distinct: DataFrame, threshold: int | None) -> DataFrame:
     """Pairs (a, b) of hashes of distinct lines within the threshold.
 
     ``lines`` has h and line of every line, ``distinct`` of each line once.
     """
-    pairs = cut(candidates(distinct, threshold))
+    pairs = cut(candidates_by_length(distinct) if threshold is BY_LENGTH else candidates(distinct, threshold))
     ends = _sifted(lines, _bitmap(pairs.select(F.explode(F.array("a", "b")).alias("h")))).where("hit").select("h", "line").dropDuplicates(["h"])
     ends = cut(ends)
     x, y = (ends.select(F.col("h").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
-    both = pairs.join(x, "a").join(y, "b").where(F.length("line_a") >= F.length("line_b"))
+    both = pairs.join(x, "a").join(y, "b")
+    if threshold is BY_LENGTH:
+        limit = allowed(F.least(F.length("line_a"), F.length("line_b")))
+        apart = let(_differing(F.col("line_a"), F.col("line_b")), lambda s: F.call_function("levenshtein", s["x"], s["y"], limit))
+        return both.where(apart >= 0).select("a", "b")
+    both = both.where(F.length("line_a") >= F.length("line_b"))
     apart = let(_differing(F.col("line_a"), F.col("line_b")), lambda s: edit_distance(s["x"], s["y"], threshold))
     return both.where(apart <= threshold).select("a", "b")
 
 
-def dedup(docs: DataFrame, threshold: int = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, threshold: int | None = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, text, n_lines, n_removed): each input row as a struct, its text without repeated lines, and counts of lines."""
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).withColumn("_t", F.xxhash64("_text"))
     lines = _lines(rows).select("_id", F.xxhash64("line").alias("h"), "line")

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import sys
@@ -135,6 +136,26 @@ def test_line_links(spark, threshold):
     assert got == {(x, y) for x in lines for y in lines if x < y and distance(x, y) <= threshold}
 
 
+def test_line_links_by_length(spark):
+    rng = random.Random(11)
+    lines = set()
+    for size in [24, 31, 33, 63, 79, 81, 121, 161, 199, 201, 260, 289, 300, 394, 520]:
+        base = "".join(rng.choice("abc é") for _ in range(size))
+        for most in (0, 1, 2, 3, 5, 7, 9):
+            s = list(base)
+            for _ in range(most):
+                k, p = rng.random(), rng.randrange(len(s))
+                s[p : p + (k > 0.3)] = [rng.choice("xyz")] if k < 0.7 else []
+            lines.add("".join(s).strip())
+    lines = sorted(x for x in lines if len(x) >= 24)
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h"), "line")
+    name = dict(df.collect())
+    got = {tuple(sorted((name[a], name[b]))) for a, b in line_dedup.links(df, df, line_dedup.BY_LENGTH).collect()}
+    most = lambda n: max(1, min(n // 40, math.isqrt(n // 8)))
+    want = {(x, y) for x in lines for y in lines if x < y and abs(len(x) - len(y)) < 10 and distance(x, y) <= most(min(len(x), len(y)))}
+    assert got == want and any(distance(x, y) > 4 for x, y in want)
+
+
 def test_line_dedup_keeps_first(spark):
     a = "The quick brown fox jumps over the lazy dog number one."
     out = line_dedup.dedup(texts(spark, [a + "\nshort\n" + a, a.replace("lazy", "laxy") + "\nA wholly different line that stays.", " " + a + " \nshort", None]))
