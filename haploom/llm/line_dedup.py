@@ -17,7 +17,8 @@ threshold one of them is found unchanged, moved by no more places than there
 are segments before it on its side, so (threshold + 1)^2 / 2 substrings are probed.
 
 A line counts without blanks at its ends. Lines shorter than ``MIN_CHARS``
-characters (headings, blank lines) are never removed.
+characters are removed only with ``short``, and then only exact repeats; lines
+without a letter or digit in them stay there.
 
 Defined cases: a null text stays null; an empty text and one without long lines
 stay as they are; rows that share an id count as one document, each row keeping
@@ -53,10 +54,15 @@ def _line(raw: Column) -> Column:
     return F.when(blank, F.btrim(raw, F.lit(BLANKS))).otherwise(raw)
 
 
-def _lines(rows: DataFrame) -> DataFrame:
+def _lines(rows: DataFrame, short: bool) -> DataFrame:
     """_id, _t, at, line of the lines that may be removed."""
+
+    def counts(line: Column) -> Column:
+        long = F.length(line) >= MIN_CHARS
+        return long | line.rlike(r"[\p{L}\p{N}]") if short else long
+
     raw = F.transform(F.split("_text", "\n"), lambda x, i: F.struct(i.cast("int").alias("at"), _line(x).alias("line")))
-    return rows.select("_id", "_t", F.inline(F.filter(raw, lambda x: F.length(x["line"]) >= MIN_CHARS)))
+    return rows.select("_id", "_t", F.inline(F.filter(raw, lambda x: counts(x["line"]))))
 
 
 def _segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
@@ -271,19 +277,20 @@ def links(lines: DataFrame, distinct: DataFrame, threshold: int | None) -> DataF
     return both.where(apart <= threshold).select("a", "b")
 
 
-def dedup(docs: DataFrame, threshold: int | None = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, threshold: int | None = THRESHOLD, doc_id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """(row, text, n_lines, n_removed): each input row as a struct, its text without repeated lines, and counts of lines."""
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).withColumn("_t", F.xxhash64("_text"))
-    lines = _lines(rows).select("_id", F.xxhash64("line").alias("h"), "line")
+    lines = _lines(rows, short).select("_id", F.xxhash64("line").alias("h"), "line")
     counts = cut(lines.groupBy("h").agg(F.min("_id").alias("keep"), F.count(F.lit(1)).alias("times")))
     # lines that surely stand nowhere else needn't be shuffled to be distinct
-    told = _sifted(lines.select("h", "line"), _bitmap(counts.where("times > 1")))
+    long = lines.select("h", "line").where(F.length("line") >= MIN_CHARS)
+    told = _sifted(long, _bitmap(counts.where("times > 1")))
     distinct = told.where("NOT hit").select("h", "line").union(told.where("hit").select("h", "line").dropDuplicates(["h", "line"]))
-    near = cut(components(links(lines.select("h", "line"), distinct, threshold)).select(F.col("node").alias("h"), F.col("component").alias("class")))
+    near = cut(components(links(long, distinct, threshold)).select(F.col("node").alias("h"), F.col("component").alias("class")))
     known = counts.join(near, "h", "left").withColumn("class", F.coalesce("class", "h"))
     first = known.groupBy("class").agg(F.min("keep").alias("keep"), F.sum("times").alias("times")).where("times > 1")
     repeated = known.select("h", "class").join(first.select("class", "keep"), "class")
-    at = _lines(rows).select("_id", "_t", "at", F.xxhash64("line").alias("h")).join(repeated, "h")
+    at = _lines(rows, short).select("_id", "_t", "at", F.xxhash64("line").alias("h")).join(repeated, "h")
     groups = at.groupBy("_id", "_t", "class", "keep").agg(F.collect_set("at").alias("at"))
     gone = F.when(F.col("_id") == F.col("keep"), F.array_remove("at", F.array_min("at"))).otherwise(F.col("at"))
     drop = groups.select("_id", "_t", F.explode(gone).alias("at")).groupBy("_id", "_t").agg(F.collect_set("at").alias("drop"))

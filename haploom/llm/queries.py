@@ -32,7 +32,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(table(spark, sf_dir, "documents"), threshold=line_dedup.BY_LENGTH)
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"), threshold=line_dedup.BY_LENGTH, short=True)
     return out.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.md5("text").alias("text_md5"))
 
 

@@ -162,6 +162,20 @@ def test_line_dedup_keeps_first(spark):
     assert [r[0] for r in out.orderBy("row.doc_id").select("text").collect()] == [a + "\nshort", "A wholly different line that stays.", "short", None]
 
 
+def test_line_dedup_of_short_lines(spark):
+    from haploom.llm.queries import QUERIES as LLM
+
+    values = ["All rights reserved.\n---\n这是一句完整的句子。\n\nOnce", " All rights reserved. \n---\n\nAll rights reserved!", "这是一句完整的句子。\nAll rights reserved.\n---"]
+    out = line_dedup.dedup(texts(spark, values), threshold=line_dedup.BY_LENGTH, short=True).orderBy("row.doc_id").collect()
+    assert [r["text"] for r in out] == [values[0], "---\n\nAll rights reserved!", "---"]
+    docs, words = spark.read.parquet(f"{SF}/documents.parquet").select("text").collect(), re.compile(r"[^\W_]")
+    lines = [x.strip(" \t\n\x0b\f\r") for r in docs for x in (r[0] or "").split("\n")]
+    short = [x for x in lines if len(x) < line_dedup.MIN_CHARS and words.search(x)]
+    extra = LLM["op5_line_dedup"](spark, SF).agg(F.sum("n_removed")).first()[0]
+    only_long = line_dedup.dedup(spark.read.parquet(f"{SF}/documents.parquet"), threshold=line_dedup.BY_LENGTH).agg(F.sum("n_removed")).first()[0]
+    assert extra - only_long == len(short) - len(set(short)) > 0
+
+
 def test_shards_fit_and_hold_all(spark):
     values = [f"document {i} " * (i % 50) for i in range(600)]
     out = sharding.shard(texts(spark, values), limit=8000).select("row.doc_id", "n_bytes", "shard", "part").collect()
