@@ -90,21 +90,31 @@ def within_hops(edges: DataFrame, hops: int, starts: DataFrame | None = None) ->
     return best
 
 
-def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """node, label: synchronous rounds in which a node takes the heaviest label around it, the smallest of equals.
+def label_propagation(edges: DataFrame) -> DataFrame:
+    """node, label: synchronous rounds in which a node takes the heaviest label around it, the smallest of equals, until nothing changes.
 
-    A node counts its own label too, which stops two labels from swapping for ever.
+    A node counts its own label too. Where labels go round in a circle of states
+    (two nodes that swap theirs), each node goes on with its smallest label of
+    these states; a state that comes again after that ends the rounds.
     """
     both = edges.select("src", "dst", "w").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).where("src <> dst")
     both = cut(both.union(both.select("src", F.col("src").alias("dst"), F.lit(1e-6).alias("w")).distinct()))
     labels = both.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct()
-    for _ in range(rounds):
+    states, known = [], {}
+    while True:
+        at = labels.agg(F.sum(F.xxhash64("node", "label").cast("decimal(20,0)"))).first()[0]
+        if at in known:
+            circle = states[known[at] :]
+            if len(circle) < 2:
+                break
+            labels = cut(reduce(DataFrame.union, circle).groupBy("node").agg(F.min("label").alias("label")))
+            at = labels.agg(F.sum(F.xxhash64("node", "label").cast("decimal(20,0)"))).first()[0]
+            if at in known:
+                break
+        known[at] = len(states)
+        states.append(labels)
         votes = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src", "label").agg(F.round(F.sum("w"), 9).alias("w"))
-        new = cut(votes.groupBy("src").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("m")).select(F.col("src").alias("node"), (-F.col("m.l")).alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count()
-        labels = new
-        if not changed:
-            break
+        labels = cut(votes.groupBy("src").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("m")).select(F.col("src").alias("node"), (-F.col("m.l")).alias("label")))
     return labels
 
 
@@ -123,7 +133,7 @@ def linear_chains(edges: DataFrame, components) -> DataFrame:
     return placed.join(chain, "node").select("node", "chain", F.col("n").alias("at"))
 
 
-def simplified(edges: DataFrame, depths: DataFrame, ratio: float, rounds: int = 20) -> DataFrame:
+def simplified(edges: DataFrame, depths: DataFrame, ratio: float) -> DataFrame:
     """Edges after dropping, until nothing changes, what competes with a fitting only successor (or predecessor).
 
     For a node with one successor n of less than ``ratio`` times its depth, whose
@@ -141,7 +151,7 @@ def simplified(edges: DataFrame, depths: DataFrame, ratio: float, rounds: int =
 
     e = cut(edges.select("src", "dst").distinct())
     n = e.count()
-    for _ in range(rounds):
+    while n:  # edges only get fewer, so it ends
         e = cut(pass_once(pass_once(e, "src", "dst"), "dst", "src"))
         now = e.count()
         if now == n:

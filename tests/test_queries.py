@@ -46,6 +46,24 @@ def test_simplify_links(spark):
     assert {tuple(r) for r in simplified(e, depth, 1.6).collect()} == {(1, 3), (2, 4)}
 
 
+def test_simplify_links_goes_on_until_nothing_changes(spark):
+    from haploom.operators.graphs import simplified
+
+    # each drop leaves the next node with one way on: one drop a round
+    e = [(k, 100 + k + d) for k in range(26) for d in (0, 1) if k or d]
+    depth = [(n, 100 if n < 100 else 10) for n in {x for p in e for x in p}]
+    left = simplified(spark.createDataFrame(e, "src long, dst long"), spark.createDataFrame(depth, "node long, depth long"), 1.6)
+    assert {tuple(r) for r in left.collect()} == {(k, 101 + k) for k in range(26)}
+
+
+def test_label_propagation_goes_on_until_nothing_changes(spark):
+    from haploom.operators.graphs import label_propagation
+
+    # every node follows the one before it; the first two swap their labels
+    e = spark.createDataFrame([(n, n + 1, 100.0 - n) for n in range(1, 26)], "src long, dst long, w double")
+    assert dict(label_propagation(e).collect()) == dict.fromkeys(range(1, 27), 1)
+
+
 def test_phased_clusters(spark):
     rows = QUERIES["phased_clusters"](spark, SF).collect()
     assert rows and all(r["n_reads"] >= 6 and r["last"] > r["first"] for r in rows)
