@@ -1,49 +1,64 @@
 """Line dedup: a segment-partition edit join over distinct lines, with DataFrame functions only.
 
-A 64-bit hash stands for a line's text. Distinct lines are split into threshold + 1 segments. Two lines within the
-threshold share one of the shorter line's segments at nearly the same place,
-so its segments are indexed by (length, segment number, text) and longer lines
-probe the few substrings and lengths that can match (the multi-match-aware
-selection). Pairs found are verified by a banded bit-parallel edit distance.
-Lines linked so, directly or through others, are one class; of each class the
-first line in the smallest document id stays, the others are removed.
+Distinct lines are split into threshold + 1 segments. Lengths are in bands of
+one size of segments; half of a line's segments are placed from its beginning,
+the others from its end. Of two lines within the threshold, one has a segment
+that the other has unchanged, moved by no more places than there are segments
+before it on its side (the multi-match-aware selection), so segments are
+indexed by (band, segment number, text), and the few substrings that can match
+probe the index. A line near the lower end of its band also stands in the band
+below. A segment that may have moved is known by what follows its first blank,
+so that most of its places give the same key. Pairs found are verified by a
+banded bit-parallel edit distance. Lines linked so, directly or through
+others, are one class; of each class the first line in the smallest document
+id stays, the others are removed.
+
+A key of more than ``HOT`` lines isn't joined: its lines are taken without the
+segment that they share, and what is left of them is split and indexed again
+under that key, until no key is hot. Lines that share a long beginning so meet
+only those that are nearly alike in the rest. Beyond ``REFINED`` edits that
+would make more keys than pairs, and such lines are joined as they are.
 
 With ``BY_LENGTH`` the threshold grows with the shorter line: one edit for 40
 characters up to 200, the root of an eighth of the length beyond, so that the
-number of keys is in proportion to the text for lines of any length. Lengths
-are in bands of one threshold and one size of segments. Half of a line's
-segments are placed from its beginning, the others from its end; within the
-threshold one of them is found unchanged, moved by no more places than there
-are segments before it on its side, so (threshold + 1)^2 / 2 substrings are probed.
-
-A line counts without blanks at its ends. Lines shorter than ``MIN_CHARS``
-characters are removed only with ``short``, and then only exact repeats; lines
-without a letter or digit in them stay there.
-
-Defined cases: a null text stays null; an empty text and one without long lines
-stay as they are; rows that share an id count as one document, each row keeping
-its own first line of a class; extra columns are carried through, whatever
-their names.
+number of keys is in proportion to the text for lines of any length.
+
+A line counts without blanks at its ends. Only exact repeats are removed of
+lines shorter than ``MIN_CHARS`` characters, for which one edit is another word; lines
+without a letter or digit in them stay there. Equal lines are told by 96 bits
+of two hashes, linked ones by their texts.
+
+Defined cases: a null text stays null; an empty text and one without lines to
+remove stay as they are; texts and lines may be of any length; rows that share an id count as one document, each row keeping
+its own first line of a class; a null id comes after all others, and rows with
+null ids are one document if their texts are alike; an empty table gives no
+rows; extra columns are carried through, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haploom.operators.components import components
 
-from .common import BLANKS, cut, let
+from .common import BLANKS, cut, delete, let, stored
 
 THRESHOLD = 1
 #: Stands for a threshold that grows with the length.
 BY_LENGTH = None
 #: Lengths at which bands of threshold 1 begin, from MIN_CHARS on.
 _SHORT_BANDS = (32, 40, 52, 64)
+#: Shorter lines are compared for equality only.
 MIN_CHARS = 24
-_BITMAP_BITS, _KEY_BITS = 23, 26
+#: Lines of one key that are paired directly; thresholds up to which larger keys are split on.
+HOT, REFINED = 64, 3
 #: Letters that are counted to sift pairs of lines; more of them cost more than they save.
 _LETTERS = "ent"
+#: How far into a segment a blank is looked for.
+_SLACK = 10
 
 
 def _line(raw: Column) -> Column:
@@ -56,37 +71,14 @@ def _line(raw: Column) -> Column:
 
 def _lines(rows: DataFrame, short: bool) -> DataFrame:
     """_id, _t, at, line of the lines that may be removed."""
-
-    def counts(line: Column) -> Column:
-        long = F.length(line) >= MIN_CHARS
-        return long | line.rlike(r"[\p{L}\p{N}]") if short else long
-
-    raw = F.transform(F.split("_text", "\n"), lambda x, i: F.struct(i.cast("int").alias("at"), _line(x).alias("line")))
-    return rows.select("_id", "_t", F.inline(F.filter(raw, lambda x: counts(x["line"]))))
+    raw = rows.select("_id", "_t", F.posexplode(F.split("_text", "\n")).alias("at", "raw"))
+    long = F.length("line") >= MIN_CHARS
+    return raw.select("_id", "_t", "at", _line(F.col("raw")).alias("line")).where(long | F.col("line").rlike(r"[\p{L}\p{N}]") if short else long)
 
 
-def _segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
-    """Place (from 1) and size of segment ``i`` (from 0) of a line; the last ones are longer by one."""
-    parts = threshold + 1
-    size = (length / parts).cast("int")
-    longer = length - size * parts
-    late = F.greatest(longer - (parts - i), F.lit(0))
-    own = size + (longer >= parts - i).cast("int")
-    return size * i + late + 1, own
-
-
-def keys(line: Column, length: Column, threshold: int) -> tuple[list[Column], list[Column]]:
-    """Hashed keys under which a line is indexed, and those it probes."""
-    index, probes = [], []
-    for i in range(threshold + 1):
-        start, size = _segment(length, i, threshold)
-        index.append(F.xxhash64(length, F.lit(i), F.substring(line, start, size)))
-        for shorter in range(threshold + 1):
-            start, size = _segment(length - shorter, i, threshold)
-            left = max(-i, shorter - (threshold - i))
-            right = min(i, shorter + (threshold - i))
-            probes += [F.xxhash64(length - shorter, F.lit(i), F.substring(line, start + k, size)) for k in range(left, right + 1)]
-    return index, probes
+def _known(line: str = "line") -> tuple[Column, Column]:
+    """h, g: the hashes by which equal lines are told."""
+    return F.xxhash64(line).alias("h"), F.hash(line).alias("g")
 
 
 def _chars(s: Column) -> Column:
@@ -141,20 +133,24 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
     return let(F.struct(_chars(a).alias("x"), _chars(b).alias("y")), lambda s: run(s["x"], s["y"]))
 
 
-def _bitmap(hashes: DataFrame, size: int = _BITMAP_BITS) -> DataFrame:
-    """bucket, bits: a bitmap of 2^size bits in which a bit for each hash h is set."""
-    place = hashes.select(F.pmod("h", F.lit(1 << size)).alias("p"))
-    return place.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+def _marks(hashes: DataFrame) -> tuple[DataFrame, int]:
+    """(word, bits) of a bitmap in which a bit for each h is set, and the number of bits as a power of two.
+
+    There are sixteen times as many bits as hashes, 2^26 at most: what the bitmap lets through is joined exactly, so that a full one costs time only.
+    """
+    power = min(26, max(16, math.ceil(math.log2(16 * max(1, hashes.count())))))
+    at = F.col("h").bitwiseAND(F.lit((1 << power) - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    return hashes.select(F.shiftright(at, 6).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), power
 
 
-def _sifted(lines: DataFrame, bitmap: DataFrame, size: int = _BITMAP_BITS) -> DataFrame:
-    """``lines`` with ``hit``: false if the line's hash is surely not in the bitmap."""
-    bit = F.pmod(F.col("h"), F.lit(1 << size))
-    place = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = lines.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), "bucket", "left")  # 2^size bits at most
-    hit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))) != 0
-    return joined.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("bucket", "bits")
+def _sifted(lines: DataFrame, marks: tuple[DataFrame, int]) -> DataFrame:
+    """``lines`` with ``hit``: false if the line's hash is surely not among the marked ones."""
+    words, power = marks
+    at = F.col("h").bitwiseAND(F.lit((1 << power) - 1))
+    bit = F.call_function("shiftright", F.coalesce("bits", F.lit(0).cast("long")), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    joined = lines.withColumn("word", F.shiftright(at, 6)).join(F.broadcast(words), "word", "left")  # 2^20 words at most
+    return joined.withColumn("hit", bit == 1).drop("word", "bits")
 
 
 def _letters(line: Column) -> Column:
@@ -176,65 +172,90 @@ def _may_match(x: Column, y: Column, threshold: int | Column) -> Column:
     return apart <= 2 * threshold
 
 
-def candidates(lines: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of hashes of distinct lines that share a key; a's line probed b's segment.
-
-    Pairs whose letters differ too much for the threshold are sifted out inside the join.
-    """
-    sized = lines.select("h", "line", F.length("line").alias("n"), _letters(F.col("line")).alias("letters"))
-    index, probes = keys(F.col("line"), F.col("n"), threshold)
-    left = sized.select(F.col("h").alias("b"), F.col("letters").alias("y"), F.explode(F.array(*index)).alias("key"))
-    right = sized.select(F.col("h").alias("a"), F.col("letters").alias("x"), F.explode(F.array(*probes)).alias("key"))
-    alike = (right["key"] == left["key"]) & (F.col("a") != F.col("b")) & _may_match(F.col("x"), F.col("y"), threshold)
-    return right.join(left, alike).select("a", "b").distinct()
-
-
 def allowed(n: Column) -> Column:
-    """Edits within which a line of ``n`` characters is linked to a line that isn't shorter."""
+    """Edits within which a line of ``n`` characters is linked to a line that isn't shorter, by its length."""
     return F.greatest(F.lit(1), F.least((n / 40).cast("int"), F.sqrt(n / 8).cast("int")))
 
 
-def _band(n: Column) -> Column:
+def _band(n: Column, threshold: int | None) -> Column:
     """low, t: the length from which on lines are in the band of length ``n``, and its threshold."""
+    if threshold is not BY_LENGTH:
+        wide = 8 * threshold
+        return F.struct((n - n % wide).alias("low"), F.lit(threshold).alias("t"))
     first = F.lit(MIN_CHARS)
     for low in _SHORT_BANDS:
         first = F.when(n >= low, low).otherwise(first)
     return let(allowed(n), lambda t: F.struct(F.when(t > 1, F.greatest(40 * t, 8 * t * t)).otherwise(first).alias("low"), t.alias("t")))
 
 
-def _band_keys(line: Column, n: Column, band: Column, shifts) -> Column:
-    """Hashed keys of the line's segments in a band, each at the places that ``shifts`` gives for its number from its end."""
+def _rest_band(n: Column, t: Column) -> Column:
+    """low, t of what is left of a line without a segment."""
+    return F.struct((n - n % (t + 1)).alias("low"), t.alias("t"))
+
+
+def _keys(prefix: Column, line: Column, n: Column, band: Column, places: bool) -> Column:
+    """Keys of the line's segments in a band, at all places where they may be found; with ``places`` as structs of key, start, size and t.
+
+    A segment that can't have moved is known by its text. Another one is known
+    by the text from its first blank on, if that comes early, so that places
+    between two blanks have one key.
+    """
     low, t = band["low"], band["t"]
     size = (low / (t + 1)).cast("int")
+    slack = F.least(F.lit(_SLACK), (size / 4).cast("int"))
 
-    def key(number: Column, start: Column) -> Column:
-        return F.xxhash64(low, number, F.substring(line, start, size))
+    def key(number: Column, text: Column, start: Column, chars: Column) -> Column:
+        hashed = F.xxhash64(prefix, low, number, text)
+        return hashed if not places else F.struct(hashed.alias("key"), start.alias("start"), chars.alias("size"), t.alias("t"))
 
-    left = F.transform(F.sequence(F.lit(0), (t / 2).cast("int")), lambda i: F.transform(shifts(i), lambda k: key(i, i * size + k + 1)))
-    right = F.transform(F.sequence(F.lit(0), ((t - 1) / 2).cast("int")), lambda i: F.transform(shifts(i), lambda k: key(-1 - i, n - (i + 1) * size + k + 1)))
+    def segment(number: Column, i: Column, first: Column) -> Column:
+        def moved(s: Column) -> Column:
+            starts = F.transform(F.sequence(F.lit(1), 2 * i + 1), lambda k: k + F.greatest(F.instr(F.substring(s, k, slack + 1), " ") - 1, F.lit(0)))
+            return F.transform(F.array_distinct(starts), lambda p: key(number, F.substring(s, p, size - slack), first + p - 1, size - slack))
+
+        return F.when(i == 0, F.array(key(number, F.substring(line, first, size), first, size))).otherwise(let(F.substring(line, first, size + 2 * i), moved))
+
+    left = F.transform(F.sequence(F.lit(0), (t / 2).cast("int")), lambda i: segment(i, i, i * size - i + 1))
+    right = F.transform(F.sequence(F.lit(0), ((t - 1) / 2).cast("int")), lambda i: segment(-1 - i, i, n - (i + 1) * size - i + 1))
     return F.flatten(F.concat(left, right))
 
 
-def candidates_by_length(lines: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of hashes of distinct lines that share a key and whose lengths and letters allow the threshold."""
-    sized = lines.select("h", "line", F.length("line").alias("n")).withColumn("own", _band(F.col("n"))).withColumn("below", _band(F.col("n") - F.col("own.t")))
-    sized = sized.withColumn("sign", F.shiftleft(F.col("n").cast("long"), 24).bitwiseOR(_letters(F.col("line"))))
-    still, moved = (lambda i: F.array(F.lit(0))), (lambda i: F.filter(F.sequence(-i, i), lambda k: k != 0))
-    everywhere = lambda i: F.sequence(-i, i)
-    line, n = F.col("line"), F.col("n")
-    index = sized.select("h", "sign", F.explode(_band_keys(line, n, F.col("own"), still)).alias("key"))
-    shorter = F.when(F.col("below.low") < F.col("own.low"), _band_keys(line, n, F.col("below"), everywhere)).otherwise(F.array().cast("array<bigint>"))
-    probes = sized.select(F.col("h").alias("a"), "sign", F.explode(F.concat(_band_keys(line, n, F.col("own"), moved), shorter)).alias("h"))
-    probes = _sifted(probes, _bitmap(index.select(F.col("key").alias("h")), _KEY_BITS), _KEY_BITS).where("hit")
-    probes = probes.select(F.col("a"), F.col("sign").alias("x"), F.col("h").alias("key"))
-    first, second = index.select(F.col("h").alias("a"), F.col("sign").alias("x"), "key"), index.select(F.col("h").alias("b"), F.col("sign").alias("y"), "key")
-    # equal places first: both sides are the index
+def candidates(lines: DataFrame, threshold: int | None) -> DataFrame:
+    """Pairs (a, b), a < b, of hashes of distinct lines that share a key and whose lengths and letters allow the threshold; ``lines`` has h and line."""
+    n = F.length("rest")
+    sign = F.shiftleft(F.length("line").cast("long"), 24).bitwiseOR(_letters(F.col("line")))
+    state = lines.select(F.lit(0).cast("long").alias("prefix"), "h", F.lit(0).cast("long").alias("r"), F.col("line").alias("rest"), sign.alias("sign"))
+    banded = state.withColumn("own", _band(n, threshold)).withColumn("below", _band(n - F.col("own.t"), threshold))
     m, k = F.shiftright("x", 24).cast("int"), F.shiftright("y", 24).cast("int")
-    t = allowed(F.least(m, k))
-    near = (F.abs(m - k) <= t) & _may_match(F.col("x"), F.col("y"), t)
-    level = first.join(second, "key").where((F.col("a") < F.col("b")) & near).select("a", "b")
-    apart = probes.join(second, "key").where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return level.union(apart).distinct()
+    limit = allowed(F.least(m, k)) if threshold is BY_LENGTH else F.lit(threshold)
+    near = (F.col("a") < F.col("b")) & (F.abs(m - k) <= limit) & _may_match(F.col("x"), F.col("y"), limit)
+
+    def keys(places: bool) -> Column:
+        kind = "array<struct<key:bigint,start:int,size:int,t:int>>" if places else "array<bigint>"
+        lower = F.when(F.col("below.low") < F.col("own.low"), _keys(F.col("prefix"), F.col("rest"), n, F.col("below"), places)).otherwise(F.array().cast(kind))
+        return F.concat(_keys(F.col("prefix"), F.col("rest"), n, F.col("own"), places), lower)
+
+    found = []
+    while True:
+        split = banded.where(F.col("below.t") <= REFINED).select("prefix", "h", "r", F.inline(keys(True))).where((F.col("t") <= REFINED) & (F.col("size") > 0))
+        hot = cut(split.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > HOT).select("key"))
+        some = not hot.isEmpty()
+        slim = banded.select(F.explode(keys(False)).alias("key"), "h", "sign")
+        if some:
+            slim = slim.join(hot, "key", "left_anti")
+        first, second = slim.select(F.col("h").alias("a"), F.col("sign").alias("x"), "key"), slim.select(F.col("h").alias("b"), F.col("sign").alias("y"), "key")
+        found.append(cut(first.join(second, "key").where(near).select("a", "b").distinct()))
+        if not some:
+            break
+        left_over = F.concat(F.expr("substring(rest, 1, start - 1)"), F.expr("substring(rest, start + size)"))
+        on = split.join(hot, "key", "left_semi").join(state, ["prefix", "h", "r"])
+        state = cut(on.select(F.col("key").alias("prefix"), "h", left_over.alias("rest"), "sign", "t").distinct().withColumn("r", F.xxhash64("rest")))
+        banded = state.withColumn("own", _rest_band(n, F.col("t"))).withColumn("below", _rest_band(F.greatest(n - F.col("t"), F.lit(0)), F.col("t"))).drop("t")
+        state = state.drop("t")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.distinct()
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -258,47 +279,55 @@ def _differing(a: Column, b: Column) -> Column:
     return let(let(F.struct(a.alias("x"), b.alias("y")), head), tail)
 
 
-def links(lines: DataFrame, distinct: DataFrame, threshold: int | None) -> DataFrame:
-    """Pairs (a, b) of hashes of distinct lines within the threshold.
+def links(distinct: DataFrame, threshold: int | None) -> DataFrame:
+    """Pairs (a, b) of the lines within the threshold, as structs of their hashes; ``distinct`` has h, g and line of each line once."""
+    pairs = cut(candidates(distinct, threshold))
+    ends = cut(_sifted(distinct, _marks(pairs.select(F.explode(F.array("a", "b")).alias("h")))).where("hit").select("h", "g", "line"))
+    x, y = (ends.select(F.col("h").alias(k), F.struct("h", "g").alias(f"node_{k}"), F.col("line").alias(f"line_{k}")) for k in "ab")
+    longer = F.length("line_a") >= F.length("line_b")
+    long, short = F.when(longer, F.col("line_a")).otherwise(F.col("line_b")), F.when(longer, F.col("line_b")).otherwise(F.col("line_a"))
 
-    ``lines`` has h and line of every line, ``distinct`` of each line once.
-    """
-    pairs = cut(candidates_by_length(distinct) if threshold is BY_LENGTH else candidates(distinct, threshold))
-    ends = _sifted(lines, _bitmap(pairs.select(F.explode(F.array("a", "b")).alias("h")))).where("hit").select("h", "line").dropDuplicates(["h"])
-    ends = cut(ends)
-    x, y = (ends.select(F.col("h").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
-    both = pairs.join(x, "a").join(y, "b")
-    if threshold is BY_LENGTH:
-        limit = allowed(F.least(F.length("line_a"), F.length("line_b")))
-        apart = let(_differing(F.col("line_a"), F.col("line_b")), lambda s: F.call_function("levenshtein", s["x"], s["y"], limit))
-        return both.where(apart >= 0).select("a", "b")
-    both = both.where(F.length("line_a") >= F.length("line_b"))
-    apart = let(_differing(F.col("line_a"), F.col("line_b")), lambda s: edit_distance(s["x"], s["y"], threshold))
-    return both.where(apart <= threshold).select("a", "b")
-
-
-def dedup(docs: DataFrame, threshold: int | None = THRESHOLD, doc_id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
+    def apart(s: Column) -> Column:
+        if threshold is BY_LENGTH:
+            return F.call_function("levenshtein", s["x"], s["y"], s["limit"]) >= 0
+        return edit_distance(s["x"], s["y"], threshold) <= threshold
+
+    limit = allowed(F.length(short)) if threshold is BY_LENGTH else F.lit(threshold)
+    close = let(_differing(long, short), lambda s: apart({"x": s["x"], "y": s["y"], "limit": limit}))
+    return pairs.join(x, "a").join(y, "b").where(close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def _without(lines: Column, drop: Column) -> Column:
+    """The elements of an array but for those at the sorted places ``drop`` (from 0): what stands between these, in one go."""
+    ends = F.concat(F.array(F.lit(-1)), drop)
+    runs = lambda x, d: F.transform(d, lambda at, i: F.slice(x, at + 2, F.coalesce(F.get(d, i + 1), F.size(x)) - at - 1))
+    return let(F.struct(lines.alias("x"), ends.alias("d")), lambda s: F.flatten(runs(s["x"], s["d"])))
+
+
+def dedup(docs: DataFrame, threshold: int | None = THRESHOLD, doc_id: str = "doc_id", text: str = "text", short: bool = True) -> DataFrame:
     """(row, text, n_lines, n_removed): each input row as a struct, its text without repeated lines, and counts of lines."""
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).withColumn("_t", F.xxhash64("_text"))
-    lines = _lines(rows, short).select("_id", F.xxhash64("line").alias("h"), "line")
-    counts = cut(lines.groupBy("h").agg(F.min("_id").alias("keep"), F.count(F.lit(1)).alias("times")))
+    lines = _lines(rows, short)
+    nameless = F.min(F.when(F.col("_id").isNull(), F.col("_t")))  # stands for a document without an id
+    counts = cut(lines.select("_id", "_t", *_known()).groupBy("h", "g").agg(F.min("_id").alias("keep"), nameless.alias("keep_t"), F.count(F.lit(1)).alias("times")))
     # lines that surely stand nowhere else needn't be shuffled to be distinct
-    long = lines.select("h", "line").where(F.length("line") >= MIN_CHARS)
-    told = _sifted(long, _bitmap(counts.where("times > 1")))
-    distinct = told.where("NOT hit").select("h", "line").union(told.where("hit").select("h", "line").dropDuplicates(["h", "line"]))
-    near = cut(components(links(long, distinct, threshold)).select(F.col("node").alias("h"), F.col("component").alias("class")))
-    known = counts.join(near, "h", "left").withColumn("class", F.coalesce("class", "h"))
-    first = known.groupBy("class").agg(F.min("keep").alias("keep"), F.sum("times").alias("times")).where("times > 1")
-    repeated = known.select("h", "class").join(first.select("class", "keep"), "class")
-    at = _lines(rows, short).select("_id", "_t", "at", F.xxhash64("line").alias("h")).join(repeated, "h")
-    groups = at.groupBy("_id", "_t", "class", "keep").agg(F.collect_set("at").alias("at"))
-    gone = F.when(F.col("_id") == F.col("keep"), F.array_remove("at", F.array_min("at"))).otherwise(F.col("at"))
-    drop = groups.select("_id", "_t", F.explode(gone).alias("at")).groupBy("_id", "_t").agg(F.collect_set("at").alias("drop"))
+    long = lines.where(F.length("line") >= MIN_CHARS).select(F.xxhash64("line").alias("h"), "line")
+    told = _sifted(long, _marks(counts.where("times > 1").select("h")))
+    distinct = stored(told.where("NOT hit").select("line").union(told.where("hit").select("line").distinct()).select(*_known(), "line"))
+    near = cut(components(links(distinct, threshold)).select("node.*", F.col("component").alias("class")))
+    delete(distinct)
+    known = counts.join(near, ["h", "g"], "left").where("times > 1 OR class IS NOT NULL").withColumn("class", F.coalesce("class", F.struct("h", "g")))
+    first = known.groupBy("class").agg(F.min("keep").alias("keep"), F.min("keep_t").alias("keep_t"), F.sum("times").alias("times")).where("times > 1")
+    repeated = cut(known.select("h", "g", "class").join(first.drop("times"), "class").withColumn("class", F.xxhash64("class")))
+    at = _sifted(lines.select("_id", "_t", "at", *_known()), _marks(repeated.select("h"))).where("hit").join(repeated, ["h", "g"])
+    own = F.when(F.col("keep").isNull(), F.col("_id").isNull() & (F.col("_t") == F.col("keep_t"))).otherwise(F.coalesce(F.col("_id") == F.col("keep"), F.lit(False)))
+    groups = at.groupBy("_id", "_t", "class", own.alias("own")).agg(F.collect_set("at").alias("at"))
+    gone = F.when(F.col("own"), F.array_remove("at", F.array_min("at"))).otherwise(F.col("at"))
+    drop = groups.select("_id", "_t", gone.alias("at")).groupBy("_id", "_t").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("drop")).where(F.size("drop") > 0)
     merged = rows.join(drop, (rows["_id"].eqNullSafe(drop["_id"])) & (rows["_t"] == drop["_t"]), "left").select("row", "_text", "drop")
-    stay = F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains("drop", i.cast("int")))
     return merged.select(
         "row",
-        F.when(F.col("drop").isNull(), F.col("_text")).otherwise(F.concat_ws("\n", stay)).alias("text"),
+        F.when(F.col("drop").isNull(), F.col("_text")).otherwise(F.concat_ws("\n", _without(F.split("_text", "\n"), F.col("drop")))).alias("text"),
         F.coalesce(F.size(F.split("_text", "\n")), F.lit(0)).alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).alias("n_removed"),
     )

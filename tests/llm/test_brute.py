@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -78,11 +79,11 @@ def dedup(docs):
     for i, t in docs:
         for raw in t.split("\n"):
             x = line_of(raw)
-            if len(x) >= line_dedup.MIN_CHARS:
+            if len(x) >= line_dedup.MIN_CHARS or regex.search(r"[\p{L}\p{N}]", x):
                 seen[x] = min(i, seen.get(x, i))
                 times[x] += 1
     by_length = {}
-    for x in seen:
+    for x in (x for x in seen if len(x) >= line_dedup.MIN_CHARS):
         by_length.setdefault(len(x), []).append(x)
     pairs = [(x, y) for n, xs in by_length.items() for k, x in enumerate(xs) for y in xs[:k] + by_length.get(n + 1, []) if close(x, y)]
     group = components(seen, pairs)
@@ -170,10 +171,19 @@ def test_pipeline_equals_plain_python(spark):
         ids = enc.encode_ordinary(t)
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
     got = [tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
-    assert len(want) > 50 and len(first) < len(plain) <= len(kept) < len(rows)
+    assert len(want) > 50 and len(first) <= len(plain) <= len(kept) < len(rows)
     assert sorted(got) == sorted(want)
 
 
+def test_near_copies_stage_equals_plain_python(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    want = near_copies(rows, corpus_pipeline.SHINGLE, corpus_pipeline.PERCENT)
+    got = [(r["doc_id"], r["text"] or "") for r in corpus_pipeline.near_copies(spark, docs, SF).collect()]
+    assert sorted(got) == sorted(want) and 50 < len(want) < len(rows)
+
+
 def test_line_dedup_equals_plain_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {i: (t, n) for i, t, n in dedup([(r["doc_id"], r["text"] or "") for r in docs.collect()])}

@@ -2,6 +2,7 @@ import math
 import random
 import re
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -130,9 +132,9 @@ def test_line_links(spark, threshold):
                 s[p : p + (k > 0.3)] = [rng.choice("xyz")] if k < 0.7 else []
             lines.add("".join(s).strip())
     lines = sorted(x for x in lines if len(x) >= 24)
-    df = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h"), "line")
-    name = dict(df.collect())
-    got = {tuple(sorted((name[a], name[b]))) for a, b in line_dedup.links(df, df, threshold).collect()}
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "line")
+    name = {(r["h"], r["g"]): r["line"] for r in df.collect()}
+    got = {tuple(sorted((name[tuple(a)], name[tuple(b)]))) for a, b in line_dedup.links(df, threshold).collect()}
     assert got == {(x, y) for x in lines for y in lines if x < y and distance(x, y) <= threshold}
 
 
@@ -148,9 +150,9 @@ def test_line_links_by_length(spark):
                 s[p : p + (k > 0.3)] = [rng.choice("xyz")] if k < 0.7 else []
             lines.add("".join(s).strip())
     lines = sorted(x for x in lines if len(x) >= 24)
-    df = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h"), "line")
-    name = dict(df.collect())
-    got = {tuple(sorted((name[a], name[b]))) for a, b in line_dedup.links(df, df, line_dedup.BY_LENGTH).collect()}
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "line")
+    name = {(r["h"], r["g"]): r["line"] for r in df.collect()}
+    got = {tuple(sorted((name[tuple(a)], name[tuple(b)]))) for a, b in line_dedup.links(df, line_dedup.BY_LENGTH).collect()}
     most = lambda n: max(1, min(n // 40, math.isqrt(n // 8)))
     want = {(x, y) for x in lines for y in lines if x < y and abs(len(x) - len(y)) < 10 and distance(x, y) <= most(min(len(x), len(y)))}
     assert got == want and any(distance(x, y) > 4 for x, y in want)
@@ -159,7 +161,40 @@ def test_line_links_by_length(spark):
 def test_line_dedup_keeps_first(spark):
     a = "The quick brown fox jumps over the lazy dog number one."
     out = line_dedup.dedup(texts(spark, [a + "\nshort\n" + a, a.replace("lazy", "laxy") + "\nA wholly different line that stays.", " " + a + " \nshort", None]))
-    assert [r[0] for r in out.orderBy("row.doc_id").select("text").collect()] == [a + "\nshort", "A wholly different line that stays.", "short", None]
+    assert [r[0] for r in out.orderBy("row.doc_id").select("text").collect()] == [a + "\nshort", "A wholly different line that stays.", "", None]
+
+
+def test_line_dedup_without_ids(spark):
+    a, b = "A line of twenty-four letters and more.", "Another line, of letters as many as that."
+    rows = [(None, a + "\n" + b, 1), (None, a + "\n" + a, 2), (None, a + "\n" + b, 3), (7, b, 4), (7, b + "\n" + b, 5), (None, None, 6), (9, "", 7)]
+    out = {r["row"]["text2"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, text2 int")).collect()}
+    # a stands only without an id: in the text of the smaller hash, twice as rows 1 and 3 are alike; b stays in document 7, whose rows each keep it
+    assert (out[4], out[5], out[6], out[7]) == (b, b, None, "")
+    assert (out[1], out[2], out[3]) in ((a, "", a), ("", a, ""))
+
+
+@pytest.mark.parametrize("threshold", [1, line_dedup.BY_LENGTH])
+def test_line_links_of_a_family(spark, threshold):
+    # all share the beginning; each is one edit away from few others
+    n, rng = 6000, random.Random(5)
+    tails = sorted({"".join(rng.choice("abcdefgh") for _ in range(24)) for _ in range(n)})
+    near = [t[:5] + "x" + t[6:] for t in tails[:50]]
+    lines = ["The same words at the head of every line: " + t for t in tails + near]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "line")
+    name = {(r["h"], r["g"]): r["line"] for r in df.collect()}
+    began = time.time()
+    got = {tuple(sorted((name[tuple(a)], name[tuple(b)]))) for a, b in line_dedup.links(df, threshold).collect()}
+    head = lines[0][:42]
+    assert got >= {tuple(sorted((head + a, head + b))) for a, b in zip(tails, near)} and len(got) < 60
+    assert time.time() - began < 90
+
+
+def test_edges_without_lines():
+    """Runs between the places that are dropped."""
+    spark = SparkSession.getActiveSession()
+    rows = [(list("abcdef"), []), (list("abcdef"), [0]), (list("abcdef"), [5]), (list("abcdef"), [1, 2, 4]), (list("a"), [0])]
+    out = spark.createDataFrame(rows, "x array<string>, d array<int>").select(line_dedup._without(F.col("x"), F.col("d")).alias("y")).collect()
+    assert ["".join(r["y"]) for r in out] == ["abcdef", "bcdef", "abcde", "adf", ""]
 
 
 def test_line_dedup_of_short_lines(spark):
@@ -172,7 +207,7 @@ def test_line_dedup_of_short_lines(spark):
     lines = [x.strip(" \t\n\x0b\f\r") for r in docs for x in (r[0] or "").split("\n")]
     short = [x for x in lines if len(x) < line_dedup.MIN_CHARS and words.search(x)]
     extra = LLM["op5_line_dedup"](spark, SF).agg(F.sum("n_removed")).first()[0]
-    only_long = line_dedup.dedup(spark.read.parquet(f"{SF}/documents.parquet"), threshold=line_dedup.BY_LENGTH).agg(F.sum("n_removed")).first()[0]
+    only_long = line_dedup.dedup(spark.read.parquet(f"{SF}/documents.parquet"), threshold=line_dedup.BY_LENGTH, short=False).agg(F.sum("n_removed")).first()[0]
     assert extra - only_long == len(short) - len(set(short)) > 0
 
 
