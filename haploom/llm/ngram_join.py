@@ -1,7 +1,8 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-1. A fixed-size table of counts of all shingles (one hash, saturating bytes)
-   gives every shingle a rank: rare ones first, by hash among equals.
+1. A fixed-size table of counts of all shingles (one hash, 32 bits) gives
+   every shingle a rank: rare ones first, by hash among equals. Counts don't
+   saturate: where many shingles share a cell, frequent ones still stand out.
 2. A document's set of n shingles is reduced to a digest and the first
    n - ceil(t n) + 1 shingles by rank. Two sets of Jaccard similarity t or more
    share one of these (size-derived bound), whatever the ranks are, so the
@@ -21,8 +22,10 @@
 
 Defined cases: null and empty texts have the empty set, which links with
 nothing; a text of fewer words than a shingle has one shingle, the whole
-sequence; repeated ids keep a row each and are one node if their texts are
-equal; extra columns are left out. Shingles are compared by 64-bit hashes.
+sequence; texts may be of any length and are read in spans; links are between texts, so
+rows with null or repeated ids keep a row each and are linked as their texts
+are; a component of null ids only has a null id; an empty table gives no rows;
+extra columns are left out. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ from .common import cut, shuffle_partitions
 
 SKETCH_BITS = 24
 _CHUNK_BITS = 18
+_MOST = (1 << 32) - 1
 #: Bytes of text hashed at once.
 SPAN = 1 << 20
 #: A tile holds at most so many documents and about so many shingles.
@@ -144,20 +148,20 @@ def text_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def _sketch(texts: DataFrame, size: int) -> np.ndarray:
-    """Saturating counts of all distinct shingles of all texts, by the low bits of their hash.
+    """Counts of the distinct shingles of all texts, by the low bits of their hash, on a scale of logarithms.
 
     Each task sends its table in compressed chunks; chunks are added up in two
-    rounds. The result has a fixed size (2^SKETCH_BITS bytes).
+    rounds. The result has a fixed size (2^SKETCH_BITS numbers of 16 bits).
     """
     chunk, n_chunks = 1 << _CHUNK_BITS, 1 << SKETCH_BITS - _CHUNK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << SKETCH_BITS, np.uint8)
+        table = np.zeros(1 << SKETCH_BITS, np.uint32)
         pending, n, seen = [], 0, 0
 
         def flush() -> None:
             at, times = np.unique(np.concatenate(pending), return_counts=True)
-            table[at] = np.minimum(table[at] + times, 255)
+            table[at] += times.astype(np.uint32)
             pending.clear()
 
         for batch in batches:
@@ -180,9 +184,9 @@ def _sketch(texts: DataFrame, size: int) -> np.ndarray:
         d = zstandard.ZstdDecompressor()
         for batch in batches:
             for k, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                table = np.frombuffer(d.decompress(data), np.uint8)
+                table = np.frombuffer(d.decompress(data), np.uint32)
                 old = sums.get((k, part))
-                sums[k, part] = table if old is None else np.minimum(old.astype(np.uint16) + table, 255).astype(np.uint8)
+                sums[k, part] = table if old is None else np.minimum(old.astype(np.uint64) + table, _MOST).astype(np.uint32)
         z = zstandard.ZstdCompressor(level=1)
         keys = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([p for _, p in keys], pa.int32()), pa.array([z.compress(sums[k].tobytes()) for k in keys], pa.binary())], ["chunk", "part", "data"])
@@ -191,10 +195,10 @@ def _sketch(texts: DataFrame, size: int) -> np.ndarray:
     parts = min(n_chunks, shuffle_partitions(texts.sparkSession))
     first = texts.mapInArrow(count, schema).repartition(parts, "chunk", "part").mapInArrow(add, schema)
     whole = first.withColumn("part", F.lit(0)).repartition(parts, "chunk").mapInArrow(add, schema)
-    total = np.zeros(1 << SKETCH_BITS, np.uint8)
+    total = np.zeros(1 << SKETCH_BITS, np.uint16)
     d = zstandard.ZstdDecompressor()
-    for k, _, data in whole.collect():  # n_chunks rows, 2^SKETCH_BITS bytes unpacked
-        total[k * chunk : (k + 1) * chunk] = np.frombuffer(d.decompress(data), np.uint8)
+    for k, _, data in whole.collect():  # n_chunks rows, 4 * 2^SKETCH_BITS bytes unpacked
+        total[k * chunk : (k + 1) * chunk] = np.log2(1.0 + np.frombuffer(d.decompress(data), np.uint32)) * 2047
     return total
 
 
@@ -214,21 +218,21 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _signatures(docs: DataFrame, table, size: int, up: int, down: int) -> DataFrame:
-    """doc_id, n, d (digest, null for the empty set), prefix (the first shingles by rank)."""
+    """doc_id, t, n, d (digest, null for the empty set), prefix (the first shingles by rank); ``docs`` has doc_id, t and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(table.value, np.uint8)
+        counts = np.frombuffer(table.value, np.uint16)
         for batch in batches:
             n, d, prefix = [], [], []
-            for s in text_sets(batch.column(1), size):
+            for s in text_sets(batch.column(2), size):
                 n.append(len(s))
                 d.append(_digest(s) if len(s) else None)
                 keep = len(s) - (up * len(s) + down - 1) // down + 1 if len(s) else 0
                 rank = counts[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
                 prefix.append(s[np.argsort(rank, kind="stable")[:keep]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d, pa.int64()), _lists(prefix)], ["doc_id", "n", "d", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d, pa.int64()), _lists(prefix)], ["doc_id", "t", "n", "d", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d long, prefix array<bigint>")
+    return docs.mapInArrow(run, "doc_id long, t long, n long, d long, prefix array<bigint>")
 
 
 def _chain(postings: DataFrame, up: int, down: int) -> DataFrame:
@@ -370,70 +374,77 @@ def _tile_links(ids: list[int], sets: list[np.ndarray], left: int, up: int, down
 
 
 def _links(docs: DataFrame, blocks: DataFrame, size: int, up: int, down: int) -> DataFrame:
-    """Spanning forests (a, b) of the links inside each block.
+    """Spanning forests (a, b) of the links inside each block, as digests.
 
-    ``blocks`` has doc_id, d, cluster, own (tile of the document) and tiles (number of tiles).
+    ``blocks`` has rep (id) and t of a row that has the set, d, cluster, own (its tile) and tiles (number of tiles).
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(text_sets(batch.column(1), size))
-            same = pa.array([len(s) > 0 and _digest(s) == d for s, d in zip(found, batch.column(2).to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *batch.columns[3:], _lists(found)], ["doc_id", "d", "cluster", "own", "tiles", "shingles"]).filter(same)
+            found = list(text_sets(batch.column(0), size))
+            same = pa.array([len(s) > 0 and _digest(s) == d for s, d in zip(found, batch.column(1).to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], _lists(found)], ["d", "cluster", "own", "tiles", "shingles"]).filter(same)
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, digests, found, sides = None, [], [], [], []
+        key, digests, found, sides = None, [], [], []
 
         def links() -> tuple[list[int], list[int]]:
-            order = sorted(range(len(ids)), key=lambda k: sides[k])
-            return _tile_links([ids[k] for k in order], [found[k] for k in order], sum(1 for s in sides if s == 0) if max(sides) else 0, up, down)
+            order = sorted(range(len(digests)), key=lambda k: sides[k])
+            return _tile_links([digests[k] for k in order], [found[k] for k in order], sum(1 for s in sides if s == 0) if max(sides) else 0, up, down)
 
         for batch in batches:
             shingles = batch.column(batch.schema.get_field_index("shingles"))
             offsets, flat = np.asarray(shingles.offsets), np.asarray(shingles.values).view(np.uint64)
             a, b = [], []
-            for r, (c, i, j, doc, d, own) in enumerate(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("cluster", "i", "j", "doc_id", "d", "own")), strict=True)):
+            for r, (c, i, j, d, own) in enumerate(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("cluster", "i", "j", "d", "own")), strict=True)):
                 if (c, i, j) != key:
-                    if len(ids) > 1:
+                    if len(digests) > 1:
                         x, y = links()
                         a += x
                         b += y
-                    key, ids, digests, found, sides = (c, i, j), [], set(), [], []
-                if d not in digests:
-                    digests.add(d)
-                    ids.append(doc)
+                    key, digests, found, sides = (c, i, j), [], [], []
+                if not digests or digests[-1] != d:  # rows alike in id and text
+                    digests.append(d)
                     found.append(flat[offsets[r] : offsets[r + 1]].copy())
                     sides.append(int(own != i))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        if len(ids) > 1:
+        if len(digests) > 1:
             a, b = links()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    chosen = docs.join(blocks, "doc_id").select("doc_id", "text", "d", "cluster", "own", "tiles")
-    found = chosen.mapInArrow(sets, "doc_id long, d long, cluster long, own int, tiles int, shingles array<bigint>")
+    chosen = docs.join(blocks, (docs["t"] == blocks["t"]) & docs["doc_id"].eqNullSafe(blocks["rep"])).select("text", "d", "cluster", "own", "tiles")
+    found = chosen.mapInArrow(sets, "d long, cluster long, own int, tiles int, shingles array<bigint>")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    tiled = found.withColumn("other", other).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "d", "own", "shingles")
-    dealt = tiled.repartition(shuffle_partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
+    tiled = found.withColumn("other", other).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "d", "own", "shingles")
+    dealt = tiled.repartition(shuffle_partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "d")
     return dealt.mapInArrow(tiles, "a long, b long")
 
 
-def join(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row, by links of Jaccard similarity percent / 100 or more.
-
-    ``component_id`` is the smallest id reachable by links, the document's own included.
-    """
+def classes(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, t (hash of the text), n (size of the set), class of every row: rows of one class are linked, directly or through others; null without words."""
     g = math.gcd(percent, 100)
     up, down = percent // g, 100 // g
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("t"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(_sketch(docs.select("text"), size).tobytes())
     signed = cut(_signatures(docs, table, size, up, down))
-    nodes = cut(signed.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
-    edges = _chain(signed.where("n > 0").select("d", "n", "prefix"), up, down)
-    clusters = cut(components(edges).join(nodes.withColumnRenamed("d", "node"), "node").select("rep", F.col("node").alias("d"), "n", F.col("component").alias("cluster")))
-    sizes = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_DOCS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    blocks = clusters.join(sizes, "cluster").select(F.col("rep").alias("doc_id"), "d", "cluster", "tiles", F.pmod(F.xxhash64("d"), F.col("tiles")).cast("int").alias("own"))
-    reached = components(_links(docs, blocks, size, up, down)).select(F.col("node").alias("rep"), F.col("component").alias("reached"))
-    labels = nodes.select("d", "rep").join(reached, "rep", "left").select("d", F.coalesce("reached", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n", "d").join(labels, "d", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    some = signed.where("n > 0")
+    edges = cut(_chain(some.select("d", "n", "prefix"), up, down))
+    clusters = cut(components(edges).select(F.col("node").alias("d"), F.col("component").alias("cluster")))
+    # one row that has the set stands for it
+    nodes = some.join(clusters, "d").groupBy("d", "cluster").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("r"), F.max("n").alias("n"))
+    nodes = cut(nodes.select("d", "cluster", F.col("r.doc_id").alias("rep"), F.col("r.t").alias("t"), "n"))
+    sizes = nodes.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_DOCS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    blocks = nodes.join(sizes, "cluster").select("rep", "t", "d", "cluster", "tiles", F.pmod(F.xxhash64("d"), F.col("tiles")).cast("int").alias("own"))
+    reached = components(_links(docs, blocks, size, up, down)).select(F.col("node").alias("d"), "component")
+    return signed.select("doc_id", "t", "n", "d").join(reached, "d", "left").select("doc_id", "t", "n", F.coalesce("component", "d").alias("class"))
+
+
+def join(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, by links of Jaccard similarity percent / 100 or more.
+
+    ``component_id`` is the smallest id reachable by links, the document's own included.
+    """
+    found = cut(classes(docs, size, percent, doc_id, text))
+    least = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    return found.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))

@@ -6,9 +6,9 @@ model) and the pipeline; tests hold these against brute-force versions.
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality_rules, sharding
+from . import licenses, mixing, preference, quality_rules
 from .common import LOWER, UPPER
-from .queries import MAX_REPEATS
+from .queries import MAX_REPEATS, SHARD_BYTES
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _SPACED = "translate({}, chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     ')"
@@ -69,22 +69,22 @@ ps AS (SELECT list(total/b ORDER BY source) AS ps FROM tot, b),
 bi(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT i+1, CASE WHEN flat THEN (lo+hi)/2 ELSE lo END, CASE WHEN flat THEN hi ELSE (lo+hi)/2 END
  FROM (SELECT i, lo, hi, list_max(list_transform(ps, lambda p: pow(p,(lo+hi)/2)/list_sum(list_transform(ps, lambda q: pow(q,(lo+hi)/2)))/p)) > {MAX_REPEATS} AS flat FROM bi, ps WHERE i<{mixing.ROUNDS})),
 a AS (SELECT CASE WHEN list_max(list_transform(ps, lambda p: 1.0/len(ps)/p)) > {MAX_REPEATS} THEN hi ELSE 0.0 END AS a FROM bi, ps WHERE i={mixing.ROUNDS}),
-w AS (SELECT source, total, CAST(floor(round(pow(total/b,a)/(SELECT sum(pow(total/b,a)) FROM tot, b, a),9)*b) AS BIGINT) AS budget FROM tot, b, a),
+w AS (SELECT source, total, greatest(CAST(floor(pow(total/b,a)/(SELECT sum(pow(total/b,a)) FROM tot, b, a)*b) AS BIGINT),1) AS budget FROM tot, b, a),
 n AS (SELECT *, greatest(ceil(sum(budget) OVER ()/{1 << 20}),1) AS blocks FROM w),
 e AS (SELECT doc_id, source, tokens, t, total, budget, blocks, unnest(range(0, (budget-1)//total+1)) AS epoch FROM d JOIN n USING (source) WHERE budget>0),
 h AS (SELECT *, CAST('0x'||substr(md5(concat_ws('|', epoch, doc_id, t)),1,8) AS BIGINT) AS h FROM e),
 s AS (SELECT *, epoch*total+coalesce(sum(tokens) OVER (PARTITION BY source,epoch ORDER BY h,doc_id,t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS spent FROM h)
 SELECT doc_id, source, epoch, CAST(floor(CAST(spent*blocks AS DOUBLE)/budget) AS BIGINT) AS block, tokens FROM s WHERE spent<budget"""
 
-_SHARDING = f"""WITH d AS (SELECT doc_id, CAST('0x'||substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR),''), md5(coalesce(text,'')))),1,8) AS BIGINT) AS h, CAST(strlen(coalesce(text,'')) AS BIGINT) AS n_bytes FROM documents),
-l AS (SELECT d.*, bits, h>>(32-bits) AS prefix FROM d, (SELECT unnest(range(0,{sharding.MAX_BITS + 1})) AS bits)),
-s AS (SELECT bits, prefix, sum(n_bytes) AS b, count(*) AS n FROM l GROUP BY ALL), o AS (SELECT * FROM s WHERE b>{sharding.LIMIT_BYTES} AND n>1),
-m AS (SELECT s.* FROM s LEFT JOIN o ON o.bits=s.bits-1 AND o.prefix=s.prefix>>1 WHERE (s.bits=0 OR o.bits IS NOT NULL) AND (s.b<={sharding.LIMIT_BYTES} OR s.n=1 OR s.bits={sharding.MAX_BITS}))
+_SHARDING = f"""WITH d AS (SELECT doc_id, CAST('0x'||substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR),''), md5(coalesce(text,'')))),1,15) AS BIGINT) AS h, CAST(strlen(coalesce(text,'')) AS BIGINT) AS n_bytes FROM documents),
+l AS (SELECT d.*, bits, h>>(60-bits) AS prefix FROM d, (SELECT unnest(range(0,25)) AS bits)),
+s AS (SELECT bits, prefix, sum(n_bytes) AS b, count(*) AS n FROM l GROUP BY ALL), o AS (SELECT * FROM s WHERE b>{SHARD_BYTES} AND n>1),
+m AS (SELECT s.* FROM s LEFT JOIN o ON o.bits=s.bits-1 AND o.prefix=s.prefix>>1 WHERE (s.bits=0 OR o.bits IS NOT NULL) AND (s.b<={SHARD_BYTES} OR s.n=1))
 SELECT doc_id, n_bytes, CASE WHEN l.bits>0 THEN lpad(to_base(l.prefix,2), CAST(l.bits AS INTEGER), '0') ELSE '' END AS shard, CAST(0 AS BIGINT) AS part, CAST(m.b AS BIGINT) AS shard_bytes, m.n AS shard_rows FROM l JOIN m ON l.bits=m.bits AND l.prefix=m.prefix"""
 
 _TOPK = """WITH f AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-v AS (SELECT vec_id, list_transform(e, lambda x: floor(64*x)) AS v FROM f WHERE vec_id IS NOT NULL AND len(e)>0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x)))=0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id%20=0 AND q.vec_id<>c.vec_id),
+v AS (SELECT vec_id, list_transform(e, lambda x: floor(64*x)) AS v FROM f WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x)))=0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_inner_product(q.v[1:least(len(q.v),len(c.v))], c.v[1:least(len(q.v),len(c.v))]),0) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id%20=0 AND q.vec_id<>c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank<=20"""
 
 _NGRAMS = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOW.format("coalesce(text,'')"))} AS w FROM documents),
@@ -97,7 +97,7 @@ SELECT n.doc_id, n.n AS n_shingles, min(reached) AS component_id FROM n JOIN r O
 
 
 def _side(name: str, text: str) -> str:
-    return f"""{name} AS (SELECT t.pair_id, list(struct_pack(role := role, text := txt) ORDER BY turn, role, txt) AS x FROM (SELECT t.pair_id, turn, role, {text} AS txt FROM t JOIN p ON t.pair_id=p.pair_id WHERE turn<=last) t GROUP BY t.pair_id)"""
+    return f"""{name} AS (SELECT t.pair_id, list(struct_pack(role := role, text := txt) ORDER BY turn NULLS FIRST, role, txt) AS x FROM (SELECT t.pair_id, turn, role, {text} AS txt FROM t JOIN p ON t.pair_id=p.pair_id WHERE turn IS NULL OR turn<=last) t GROUP BY t.pair_id)"""
 
 
 def _rendered(turns: str) -> str:
@@ -110,9 +110,12 @@ def _mask(turns: str) -> str:
 
 
 _PREFERENCE = f"""WITH t AS (SELECT conv_id AS pair_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations WHERE conv_id IS NOT NULL),
-la AS (SELECT pair_id, turn AS last, text AS reply FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC, text DESC) AS k FROM t WHERE role='assistant') WHERE k=1),
-p AS (SELECT x.pair_id, x.last, y.reply AS other FROM la x JOIN la y ON y.pair_id=x.pair_id+1),
-{_side('a', 't.text')}, {_side('b', "CASE WHEN turn=last AND role='assistant' THEN other ELSE t.text END")},
+la AS (SELECT pair_id, turn AS last, text AS reply FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC NULLS LAST, text DESC) AS k FROM t WHERE role='assistant') WHERE k=1),
+w AS (SELECT *, md5(reply) AS rh, CAST('0x'||substr(md5(CAST(pair_id AS VARCHAR)),1,8) AS BIGINT) % (SELECT greatest(count(*)//{preference.DEAL},1) FROM la) AS b FROM la),
+i AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY rh, pair_id)-1 AS i, count(*) OVER (PARTITION BY b) AS n, count(*) OVER (PARTITION BY b, rh) AS m FROM w),
+j AS (SELECT *, min(i) OVER (PARTITION BY b, rh) AS g FROM i),
+p AS (SELECT x.pair_id, x.last, y.reply AS other FROM j x JOIN j y ON y.b=x.b AND y.i=(x.g+x.m+(x.i-x.g)%(x.n-x.m))%x.n WHERE x.n>x.m),
+{_side('a', 't.text')}, {_side('b', "CASE WHEN turn IS NOT DISTINCT FROM last AND role='assistant' THEN other ELSE t.text END")},
 n AS (SELECT a.pair_id, a.x AS a, b.x AS b, list_min(list_filter(range(0, least(len(a.x),len(b.x))+1), lambda i: NOT coalesce(a.x[i+1]=b.x[i+1],false))) AS k FROM a JOIN b ON a.pair_id=b.pair_id)
 SELECT pair_id, CAST(k AS INTEGER) AS n_common, {_rendered('a[1:k]')} AS prompt_md5, {_rendered('a[k+1:]')} AS chosen_md5, {_rendered('b[k+1:]')} AS rejected_md5, {_mask('a[k+1:]')} AS chosen_mask, {_mask('b[k+1:]')} AS rejected_mask FROM n"""
 

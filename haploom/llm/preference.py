@@ -6,7 +6,8 @@ either as its completion. Completions come with masks: runs of characters that
 are trained on (the text of assistant turns and the end mark) and that aren't.
 
 Defined cases: null roles and texts count as empty; turns are ordered by
-number, then role and text, so ties and repeated rows have one order; pairs
+number (null first), then role and text, so ties and repeated rows have one
+order; texts may be of any length; turns without a pair's id are one pair without an id on each side, which don't meet; an empty table gives no rows; pairs
 that lack one side have an empty other side; if one conversation is a prefix of the
 other, or both are alike, the prompt is that prefix and a completion is empty; extra
 columns are left out.
@@ -16,9 +17,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import cut
 
 START, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 TRAINED_ROLE = "assistant"
+#: Conversations among which replies are swapped.
+DEAL = 1024
 
 
 def _turns(turns: DataFrame, pair_id: str, side: str) -> DataFrame:
@@ -79,14 +85,28 @@ def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns made from plain conversations.
 
     Chosen is a conversation up to its last assistant turn; rejected is the same
-    with that turn's text taken from the next conversation by id (an in-batch
-    negative). Conversations without an assistant turn, or without a next one that has one, are left out.
+    with that turn's text taken from another conversation. Conversations with a
+    reply are dealt by a hash of their id into groups of about ``DEAL``; in a
+    group, ordered by their replies' digests, each takes the reply of one of
+    those that follow the replies equal to its own, in a circle. Conversations
+    without an id or an assistant turn are left out, and those of a group in
+    which all replies are equal, as there is none to reject. A turn without a
+    number comes before all others.
     """
     turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("pair_id IS NOT NULL")
     reply = F.max(F.when(F.col("role") == TRAINED_ROLE, F.struct("turn", "text")))
-    last = turns.groupBy("pair_id").agg(reply.alias("r")).where("r IS NOT NULL").select("pair_id", F.col("r.turn").alias("last"), F.col("r.text").alias("reply"))
-    next_one = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("reply").alias("other"))
-    made = turns.join(last.join(next_one, "pair_id"), "pair_id").where("turn <= last")
+    last = cut(turns.groupBy("pair_id").agg(reply.alias("r")).where("r IS NOT NULL").select("pair_id", F.col("r.turn").alias("last"), F.col("r.text").alias("reply")))
+    dealt = F.conv(F.substring(F.md5(F.col("pair_id").cast("string")), 1, 8), 16, 10).cast("long") % max(1, last.count() // DEAL)
+    slim = last.select("pair_id", dealt.alias("deal"), F.md5("reply").alias("digest"))
+    group, alike = Window.partitionBy("deal"), Window.partitionBy("deal", "digest")
+    placed = slim.withColumn("at", F.row_number().over(group.orderBy("digest", "pair_id")) - 1).withColumn("n", F.count(F.lit(1)).over(group))
+    placed = cut(placed.withColumn("m", F.count(F.lit(1)).over(alike)).withColumn("first", F.min("at").over(alike)))
+    partner = (F.col("first") + F.col("m") + (F.col("at") - F.col("first")) % (F.col("n") - F.col("m"))) % F.col("n")
+    wanted = placed.where("n > m").select("pair_id", "deal", partner.cast("int").alias("at"))
+    other = wanted.join(placed.select("deal", "at", F.col("pair_id").alias("from")), ["deal", "at"]).select("pair_id", "from")
+    replies = last.select(F.col("pair_id").alias("from"), F.col("reply").alias("other"))
+    ends = last.select("pair_id", "last").join(other, "pair_id").join(replies, "from").drop("from")
+    made = turns.join(ends, "pair_id").where("turn IS NULL OR turn <= last")
     chosen = made.select("pair_id", "turn", "role", "text")
-    swapped = F.when((F.col("turn") == F.col("last")) & (F.col("role") == TRAINED_ROLE), F.col("other")).otherwise(F.col("text"))
+    swapped = F.when(F.col("turn").eqNullSafe(F.col("last")) & (F.col("role") == TRAINED_ROLE), F.col("other")).otherwise(F.col("text"))
     return chosen, made.select("pair_id", "turn", "role", swapped.alias("text"))

@@ -6,7 +6,8 @@ too large a share of its words is rejected. Nothing is shuffled: all work is
 inside a row, on arrays.
 
 Defined cases: a null text counts as empty; an empty text has no words, so its
-base check fails and it is not kept; repeated ids are judged row by row; extra
+base check fails and it is not kept; texts may be of any length; null and
+repeated ids are judged row by row; an empty table gives no rows; extra
 columns are carried through by ``clean`` unless they bear the name of a column
 it adds, which it then replaces.
 """
@@ -127,18 +128,21 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
 
     # one value that is evaluated once; separate columns would be inlined into every line's check
     f = let(let(words_of(F.col(text)), facts), lines)
-    out = docs.withColumn("_f", f)
-    cleaned = F.col("_f.cleaned")
+    own = "_f"
+    while own in docs.columns:
+        own += "_"
+    out = docs.withColumn(own, f)
+    cleaned = F.col(f"{own}.cleaned")
     out = out.withColumns(
         {
-            "n_words": F.col("_f.n_words"),
+            "n_words": F.col(f"{own}.n_words"),
             "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
             "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": F.col("_f.n_dup_lines"),
-            "n_repeat_words": F.col("_f.n_repeat_words"),
-            "base_failed": (F.col("_f.n_words") < MIN_WORDS) | (F.col("_f.n_repeat_words") * 100 > F.col("_f.n_words") * REPEAT_PERCENT),
-            "kept_words": F.when(cleaned.isNull(), F.col("_f.n_words")).otherwise(word_count(cleaned)),
+            "n_dup_lines": F.col(f"{own}.n_dup_lines"),
+            "n_repeat_words": F.col(f"{own}.n_repeat_words"),
+            "base_failed": (F.col(f"{own}.n_words") < MIN_WORDS) | (F.col(f"{own}.n_repeat_words") * 100 > F.col(f"{own}.n_words") * REPEAT_PERCENT),
+            "kept_words": F.when(cleaned.isNull(), F.col(f"{own}.n_words")).otherwise(word_count(cleaned)),
             "clean_text": F.coalesce(cleaned, t),
         }
     )
-    return out.withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") - F.col("kept_words")) * 100 <= F.col("n_words") * MAX_LOST_PERCENT)).drop("_f")
+    return out.withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") - F.col("kept_words")) * 100 <= F.col("n_words") * MAX_LOST_PERCENT)).drop(own)

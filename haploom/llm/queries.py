@@ -12,6 +12,7 @@ from . import bpe, licenses, line_dedup, mixing, ngram_join, preference, quality
 from .common import table
 
 MAX_REPEATS = 1.25
+SHARD_BYTES = 1 << 20
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents")).select("row.doc_id", "n_bytes", "shard", "part", "shard_bytes", "shard_rows")
+    return sharding.shard(table(spark, sf_dir, "documents"), limit=SHARD_BYTES).select("row.doc_id", "n_bytes", "shard", "part", "shard_bytes", "shard_rows")
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,6 +227,142 @@ def test_repeated_rows_are_cut_into_parts(spark):
     assert len(out) == 5 and sum(r["b"] for r in out) == 5000
 
 
+def test_parts_of_alike_rows_fit(spark):
+    d = spark.createDataFrame([(1, "x" * 600, k) for k in range(50)] + [(2, "y" * 2000, 0), (3, "", 0), (None, None, 0)], "doc_id long, text string, shard int")
+    out = sharding.shard(d, limit=1300).select("row.shard", "row.doc_id", "n_bytes", F.col("shard").alias("s"), "part", "shard_bytes", "shard_rows").collect()
+    assert sorted(r["row.shard"] if "row.shard" in r else r[0] for r in out if r["doc_id"] == 1) == list(range(50))
+    parts = {}
+    for r in out:
+        parts.setdefault((r["s"], r["part"]), []).append(r)
+    assert all(sum(x["n_bytes"] for x in rows) == rows[0]["shard_bytes"] and len(rows) == rows[0]["shard_rows"] for rows in parts.values())
+    assert all(rows[0]["shard_bytes"] <= 1300 or len(rows) == 1 for rows in parts.values()) and len(parts) >= 26
+
+
+def test_mix_of_sources_far_apart_in_size(spark):
+    t = spark.createDataFrame([("big", 10**13), ("small", 1), ("mid", 10**6)], "source string, tokens long")
+    plain = {r["source"]: r for r in mixing.weights(t, None, 2.0, None).collect()}
+    assert all(r["budget"] >= r["tokens"] for r in plain.values()) and 1.9 < plain["small"]["budget"] / 1 <= 2.5
+    given = {r["source"]: r["budget"] for r in mixing.weights(t, 10**6, 2.0, None).collect()}
+    assert given["small"] == 1 and given["big"] > 900_000
+    d = spark.createDataFrame([(1, "a " * 400, "big"), (2, "b", "small")], "doc_id long, text string, source string")
+    assert {r[0] for r in mixing.mix(d, budget=100, max_repeats=1.0).select("row.doc_id").collect()} == {1, 2}
+
+
+def test_mix_meets_target_entropy(spark):
+    totals = [("a", 1000), ("b", 100), ("c", 10), ("d", 1)]
+    for target in (0.5, 0.8, 0.95, 1.0):
+        rows = mixing.weights(spark.createDataFrame(totals, "source string, tokens long"), 10_000, None, target).collect()
+        w = [r["weight"] for r in rows]
+        entropy = -sum(x * math.log(x) for x in w) / math.log(4)
+        own = -sum(x / 1111 * math.log(x / 1111) for _, x in totals) / math.log(4)
+        assert abs(sum(w) - 1) < 1e-9 and abs(entropy - max(target, own)) < 1e-6
+
+
+def test_topk_of_odd_lengths_and_large_values(spark):
+    rows = [(0, [2.0, 1.0]), (1, [1.0]), (2, [1.0, 1.0, 9.0]), (3, []), (4, [1e9, 1e9]), (4, [1e9, 1e9]), (5, [-1e9, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.search(df, F.col("vec_id") % 20 == 0, k=20).orderBy("rank").collect()]
+    v = {i: [math.floor(64 * x) for x in e] for i, e in rows}
+    want = sorted((-sum(a * b for a, b in zip(v[0], v[i])), i) for i, _ in rows if i)
+    assert got == [(0, k + 1, i, -s) for k, (s, i) in enumerate(want)]
+    huge = spark.createDataFrame([(0, [1e12 + 0.25, 1.0]), (1, [1e3, 1.0]), (2, [1e3, 2.0]), (3, [1e14, 1e14]), (20, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.search(huge, F.col("vec_id") % 20 == 0, k=20).collect()}
+    big = math.floor(64 * (1e12 + 0.25))
+    assert (got[0, 1], got[0, 2], got[0, 3], got[20, 3]) == (big * 64000 + 4096, big * 64000 + 8192, (1 << 63) - 1, 0)
+
+
+def test_topk_eliminates_candidates_of_other_groups():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 32)) * 100
+    v = np.floor(np.repeat(centres, 50, 0) + rng.normal(size=(2000, 32)) * 3)
+    radius2 = float((v * v).sum(1).max())
+    c = np.hstack([v, np.sqrt(radius2 - (v * v).sum(1))[:, None]])
+    p = topk.far_apart(c, topk.PIVOTS)
+    q = np.hstack([v[::20], np.zeros((100, 1))])
+    away = lambda x: np.sqrt(np.square(x[:, None] - p[None]).sum(2)).astype(np.float32)
+    seen, ids = [], np.arange(2000)
+    for i, found, scores in topk.best(ids[::20], v[::20], away(q), ids, v, away(c), radius2, 20, seen):
+        s = v @ v[i]
+        want = sorted((-s[j], j) for j in ids if j != i)[:20]
+        assert list(zip(-scores, found)) == want
+    assert sum(seen) < 0.5 * 100 * 2000
+
+
+def test_swapped_replies_leave_no_conversation_out(spark):
+    said = [(i, t, r, f"{r} {i % 7 if i % 3 else 'same'}") for i in range(0, 300, 2) for t, r in ((0, "user"), (1, "assistant"), (2, "user"))]
+    said += [(1001, 0, "user", "no reply"), (None, 0, "assistant", "no id"), (1003, None, "system", "first"), (1003, 1, "assistant", "last"), (0, 1, "assistant", "assistant same")]
+    c = spark.createDataFrame(said, "conv_id long, turn int, role string, text string").withColumn("extra", F.lit(1)).withColumn("reply", F.lit("x"))
+    out = {r["pair_id"]: r for r in preference.pairs(*preference.swapped_replies(c)).collect()}
+    assert sorted(out) == [*range(0, 300, 2), 1003]
+    assert all(r["chosen"] != r["rejected"] for r in out.values())
+    assert out[1003]["prompt"] == "<|system|>\nfirst<|end|>\n"
+    empty = preference.pairs(*preference.swapped_replies(c.where("false")))
+    assert empty.count() == 0
+    alone = preference.pairs(*preference.swapped_replies(c.where("conv_id = 4")))
+    assert alone.count() == 0
+
+
+def test_quality_rules_keep_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "a b", 7, 8)], "doc_id long, text string, _f int, _f_ int")
+    out = quality_rules.clean(d).collect()[0]
+    assert (out["_f"], out["_f_"], out["n_words"]) == (7, 8, 2)
+
+
+def test_ngram_join_of_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(None, a), (None, a + " end"), (None, b), (5, a), (5, c), (7, c + " end"), (9, b + " end"), (5, c), (None, None)]
+    out = [tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").withColumn("t", F.lit("x")).withColumn("class", F.lit(1))).collect()]
+    assert sorted(map(str, out)) == sorted(map(str, [(None, 58, 5), (None, 59, 5), (None, 58, 9), (5, 58, 5), (5, 58, 5), (7, 59, 5), (9, 59, 9), (5, 58, 5), (None, 0, None)]))
+
+
+def test_ngram_join_of_a_long_text(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    long = " ".join(rng.choice(words) for _ in range(400_000))
+    out = [tuple(r) for r in ngram_join.join(texts(spark, [long, long + " end", "x " * 700_000, "short one here"])).orderBy("doc_id").collect()]
+    w = long.split(" ")
+    n = len({tuple(w[i : i + 3]) for i in range(len(w) - 2)})
+    assert len(long) > ngram_join.SPAN and out == [(0, n, 0), (1, n + 1, 0), (2, 1, 2), (3, 1, 3)]
+
+
+def test_bpe_on_raw_documents(spark):
+    import hashlib
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    long = (10**6, "ab cd ! " * 200_000), (10**6 + 1, None)
+    want = []
+    for i, t in [*((r[0], r[1]) for r in docs), *long]:
+        ids = theirs.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    both = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(long, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in bpe.encode(both, path, public_tokenizers.PATTERN).collect()) == sorted(want)
+
+
+ODD_DOCUMENTS = [(None, None, 1), (None, "", 2), (1, None, 3), (2, "word " * 80 + "end.", 4), (2, "word " * 80 + "end.", 4), (3, "\n\n \t", 5), (None, "One two three four five six seven.", 6), (None, "One two three four five six seven.", 7)]
+
+
+@pytest.mark.parametrize("rows", [ODD_DOCUMENTS, []])
+def test_pipeline_stages_take_odd_rows_and_names(spark, rows):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    prose = [(10 + i, " ".join(f"w{(i * 31 + k * k) % 997}" for k in range(90)) + ".", i) for i in range(4)] if rows else []
+    names = ["kept", "n_words", "_new", "row", "_text", "_h", "h", "t", "class", "part", "at", "_f"]
+    d = spark.createDataFrame(rows + prose, "doc_id long, text string, n int").withColumn("source", F.lit(None).cast("string"))
+    d = d.select("*", *[F.lit(f"own {k}").alias(k) for k in names], F.lit("x").alias("lang"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, SF)
+        assert out.columns == d.columns
+        got = out.collect()
+        assert all(r[k] == f"own {k}" for r in got for k in names)
+        if name == "n-gram Jaccard join" and rows:
+            # no words: all stay; a repeated row and copies without id: one each
+            assert sorted((str(r["doc_id"]), r["n"]) for r in got) == sorted([("None", 1), ("None", 2), ("1", 3), ("2", 4), ("3", 5), ("None", 6), *((str(10 + i), i) for i in range(4))])
+        elif rows:
+            assert {r["doc_id"] for r in got} >= {10, 11, 12, 13}
+    assert corpus_pipeline.STAGES[-1][1](spark, d, SF).count() == len(rows + prose)
+
+
 def test_mix_meets_budget_and_repeats(spark):
     d = spark.createDataFrame([(i, "w " * (i % 30 + 1), "big" if i % 10 else "small") for i in range(500)], "doc_id long, text string, source string")
     out = mixing.mix(d, max_repeats=1.5, whole_budget=True).select("row.doc_id", "source", "epoch", "tokens").collect()
