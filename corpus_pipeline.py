@@ -2,58 +2,80 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haploom.llm import bpe, line_dedup, mixing, ngram_join, quality_rules
-from haploom.llm.common import shared_folder
+from haploom.llm.common import cut, delete, stored
 
 #: No source repeats more than this; at least once each document is taken.
 MAX_REPEATS = 2.0
 SHINGLE, PERCENT = 5, 80
 
 
-def _documents(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """``df``'s rows with ``docs``' columns; n_chars follows the text."""
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length("text").cast("long"))
-    return df.select(docs.columns)
+def _rows(columns: list[str], text: Column) -> list[Column]:
+    """The fields of ``row``, with another text and what follows from it; only names that the documents have."""
+    changed = {"text": text, "n_chars": F.length(text).cast("long")}
+    return [changed.get(c, F.col("row")[c]).alias(c) for c in columns]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that they remove.
 
-    A filter would be pushed below the rules and evaluate them twice; the rows come out of an array that is empty for rejected documents instead.
+    Null and empty texts are rejected; rows with null or repeated ids are judged
+    one by one; other columns are carried through, whatever their names. A
+    filter would be pushed below the rules and evaluate them twice; the rows
+    come out of an array that is empty for rejected documents instead.
     """
-    changed = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    row = F.struct(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
-    return quality_rules.clean(docs).select(F.inline(F.filter(F.array(row), lambda _: F.col("kept"))))
+    judged = quality_rules.clean(docs.select(F.struct("*").alias("row"), F.col("text")))
+    row = F.struct(*_rows(docs.columns, F.col("clean_text")))
+    return judged.select(F.inline(F.filter(F.array(row), lambda _: F.col("kept"))))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those that had nothing else go."""
+    """Documents without repeated lines; those that had nothing else go.
+
+    Null and empty texts stay as they are; see ``line_dedup`` for null and repeated ids; other columns are carried through.
+    """
     out = line_dedup.dedup(docs)
     worded = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return _documents(worded.select("row.*", F.col("text").alias("_new")).withColumn("text", F.col("_new")), docs)
+    return worded.select(*_rows(docs.columns, F.col("text")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by word shingles: the one of smallest id."""
-    groups = ngram_join.join(docs, size=SHINGLE, percent=PERCENT)
-    first = groups.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group that is linked by word shingles: the one of smallest id, a null id being the largest.
+
+    Documents without words have no links. A row is known by hashes of its id
+    and text; of rows that are alike in both, or share the smallest id of a
+    group, one stays: the one of smallest hashes, then of smallest other columns.
+    """
+    found = cut(ngram_join.classes(docs, size=SHINGLE, percent=PERCENT))
+    worded = found.where("class IS NOT NULL")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    first = cut(worded.groupBy("class").agg(F.min(key).alias("first")).select("first.doc_id", "first.t"))
+    keep = first.union(found.where("class IS NULL").select("doc_id", "t").distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("_t"))
+
+    def kept(those: DataFrame) -> DataFrame:
+        return rows.join(those, rows["row.doc_id"].eqNullSafe(those["doc_id"]) & (rows["_t"] == those["t"]), "left_semi")
+
+    times = worded.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("times")).where("times > 1").withColumnsRenamed({"doc_id": "i", "t": "h"})
+    alike = cut(first.join(times, first["doc_id"].eqNullSafe(times["i"]) & (first["t"] == times["h"])).select("doc_id", "t"))
+    if alike.isEmpty():
+        return kept(keep).select("row.*")
+    single = keep.join(alike.withColumnsRenamed({"doc_id": "i", "t": "h"}), keep["doc_id"].eqNullSafe(F.col("i")) & (keep["t"] == F.col("h")), "left_anti")
+    one = kept(alike).groupBy("row.doc_id", "_t").agg(F.min("row").alias("row"))
+    return kept(single).select("row.*").union(one.select("row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once or more, by the weights of its source."""
-    return mixing.mix(docs, max_repeats=MAX_REPEATS).select("row.*").select(docs.columns)
+    """Every document once or more, by the weights of its source; null sources are one, null texts count as empty, repeated rows are taken each."""
+    return mixing.mix(docs, max_repeats=MAX_REPEATS).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; null texts count as empty."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -66,9 +88,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows, from ``documents`` under ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    before = None
+    for _, stage in STAGES:
+        done = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            delete(before)
+        docs = before = done
     return docs
