@@ -3,13 +3,16 @@
 A text is brought into a canonical form (ASCII letters lower-cased, copyright
 lines left out, equivalent spellings made one, punctuation and runs of blanks
 turned into one space) and its digest is joined with the digests of known
-licences and notices, made the same way. Both a document's whole text and each
-of its lines count as an entire text, so a licence file and a notice inside a
-document are found. Only DataFrame functions are used; the digests are a fixed
-broadcast table.
-
-Defined cases: null and empty texts match nothing; a line that is repeated
-counts once; repeated ids are scanned row by row; extra columns are left out.
+licences and notices, made the same way. A document's whole text, each of its
+lines, and each run of up to ``RUN`` paragraphs count as an entire text, so a
+licence file, a licence under a title or among other text, and a notice inside
+a document are found. Only DataFrame functions are used; the digests are a
+fixed broadcast table. Whole texts are known of the short licences; those of
+many pages (GPL, MPL, Creative Commons) are known by their notices.
+
+Defined cases: null and empty texts match nothing; texts may be of any length;
+a unit that is repeated counts once; rows with null or repeated ids are scanned
+one by one; an empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, literal_rows
+from .common import LOWER, UPPER, let, literal_rows
 
 #: Spellings that count as the same, first one replaced by the second; whole words, after lower-casing.
 SPELLINGS = [
@@ -43,13 +46,41 @@ _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you
 http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."""
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
 TEXTS = [
+    ("Zlib", _ZLIB), ("Unlicense", _UNLICENSE), ("Unlicense", _UNLICENSE + "\n\nFor more information, please refer to <http://unlicense.org/>"), ("Unlicense", _UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org>"),
+    ("0BSD", _ISC.replace(" provided that the above copyright notice and this permission notice appear in all copies", "").replace("granted,.", "granted.")),
+    ("GPL-3.0", _GPL.format(name="General Public License", version="3")), ("GPL-2.0", _GPL.format(name="General Public License", version="2").replace("software: you", "software; you")),
+    ("LGPL-3.0", _GPL.format(name="Lesser General Public License", version="3")), ("AGPL-3.0", _GPL.format(name="Affero General Public License", version="3")), ("MPL-2.0", _MPL),
     ("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT),
     ("ISC", _ISC), ("ISC", "ISC License\n\n" + _ISC),
     ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL), ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD_HEAD + _BSD_TAIL),
     ("BSD-3-Clause", _BSD_HEAD + _BSD_NAMES + _BSD_TAIL), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_HEAD + _BSD_NAMES + _BSD_TAIL),
     ("Apache-2.0", _APACHE),
 ]
+#: Most paragraphs of a run; runs of more than one have this many characters at least, as the known ones do.
+RUN, RUN_CHARS = 6, 400
+#: What stands between paragraphs.
+GAP = r"\n[ \t\r]*\n"
 #: Licences by the names that notices give them.
 NAMES = [
     ("MIT", "MIT License"), ("MIT", "The MIT License"), ("ISC", "ISC License"), ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache-2.0"),
@@ -84,11 +115,23 @@ def digests(spark: SparkSession) -> DataFrame:
     return rows.select(F.md5(canonical(F.col("known"))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
+def _units(text: Column) -> Column:
+    """The parts of a text that count as entire texts, each once."""
+
+    def runs(paragraphs: Column) -> Column:
+        n = F.size(paragraphs)
+        each = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(RUN))), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.struct(k.alias("k"), F.array_join(F.slice(paragraphs, i, k), "\n\n").alias("t"))))
+        long = F.filter(F.flatten(each), lambda r: (r["k"] == 1) | (F.length(r["t"]) >= RUN_CHARS))
+        return F.when(n > 1, F.transform(long, lambda r: r["t"])).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(F.array(text), F.split(text, "\n"), let(F.split(text, GAP), runs)))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, whole (licence whose text the document is, or null), licenses (sorted, of whole text and lines), n_licenses of every row."""
+    """doc_id, whole (licence whose text the document is, or null), licenses (sorted, of whole text, lines and runs of paragraphs), n_licenses of every row."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.md5(t).alias("_t"), t.alias("_text"))
-    units = rows.select("doc_id", "_t", F.explode(F.array_distinct(F.concat(F.array("_text"), F.split("_text", "\n")))).alias("unit"))
+    units = rows.select("doc_id", "_t", F.explode(_units(F.col("_text"))).alias("unit"))
     coded = units.select("doc_id", "_t", (F.md5("unit") == F.col("_t")).alias("entire"), F.md5(canonical(F.col("unit"))).alias("digest"))
     matched = coded.join(F.broadcast(digests(docs.sparkSession)), "digest")  # a few hundred digests
     # rows that are alike in id and text match alike, so a pair of these is enough to find them

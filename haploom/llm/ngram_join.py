@@ -147,6 +147,15 @@ def text_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
         i = j
 
 
+def _packed(z: zstandard.ZstdCompressor, table: np.ndarray) -> bytes:
+    """A table of 32-bit numbers, compressed by planes of bytes: the higher ones are mostly zeros."""
+    return z.compress(np.ascontiguousarray(table.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpacked(d: zstandard.ZstdDecompressor, data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(d.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+
+
 def _sketch(texts: DataFrame, size: int) -> np.ndarray:
     """Counts of the distinct shingles of all texts, by the low bits of their hash, on a scale of logarithms.
 
@@ -176,7 +185,7 @@ def _sketch(texts: DataFrame, size: int) -> np.ndarray:
             flush()
         if table.any():
             z = zstandard.ZstdCompressor(level=1)
-            parts = [(k, z.compress(table[k * chunk : (k + 1) * chunk].tobytes())) for k in range(n_chunks)]
+            parts = [(k, _packed(z, table[k * chunk : (k + 1) * chunk])) for k in range(n_chunks)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([seen % 64] * len(parts), pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["chunk", "part", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,12 +193,12 @@ def _sketch(texts: DataFrame, size: int) -> np.ndarray:
         d = zstandard.ZstdDecompressor()
         for batch in batches:
             for k, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                table = np.frombuffer(d.decompress(data), np.uint32)
+                table = _unpacked(d, data)
                 old = sums.get((k, part))
                 sums[k, part] = table if old is None else np.minimum(old.astype(np.uint64) + table, _MOST).astype(np.uint32)
         z = zstandard.ZstdCompressor(level=1)
         keys = list(sums)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([p for _, p in keys], pa.int32()), pa.array([z.compress(sums[k].tobytes()) for k in keys], pa.binary())], ["chunk", "part", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([p for _, p in keys], pa.int32()), pa.array([_packed(z, sums[k]) for k in keys], pa.binary())], ["chunk", "part", "data"])
 
     schema = "chunk int, part int, data binary"
     parts = min(n_chunks, shuffle_partitions(texts.sparkSession))
@@ -198,7 +207,7 @@ def _sketch(texts: DataFrame, size: int) -> np.ndarray:
     total = np.zeros(1 << SKETCH_BITS, np.uint16)
     d = zstandard.ZstdDecompressor()
     for k, _, data in whole.collect():  # n_chunks rows, 4 * 2^SKETCH_BITS bytes unpacked
-        total[k * chunk : (k + 1) * chunk] = np.log2(1.0 + np.frombuffer(d.decompress(data), np.uint32)) * 2047
+        total[k * chunk : (k + 1) * chunk] = np.log2(1.0 + _unpacked(d, data)) * 2047
     return total
 
 
@@ -429,7 +438,7 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "do
     table = spark.sparkContext.broadcast(_sketch(docs.select("text"), size).tobytes())
     signed = cut(_signatures(docs, table, size, up, down))
     some = signed.where("n > 0")
-    edges = cut(_chain(some.select("d", "n", "prefix"), up, down))
+    edges = _chain(some.select("d", "n", "prefix"), up, down)
     clusters = cut(components(edges).select(F.col("node").alias("d"), F.col("component").alias("cluster")))
     # one row that has the set stands for it
     nodes = some.join(clusters, "d").groupBy("d", "cluster").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("r"), F.max("n").alias("n"))

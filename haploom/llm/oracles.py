@@ -39,7 +39,7 @@ x AS (SELECT w.rid, doc_id, t, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_rep
 ln AS (SELECT rid, n_repeat_words, l, {_WORDS.format('l')} AS lw FROM (SELECT rid, n_repeat_words, unnest(string_split(t, chr(10))) AS l FROM x)),
 j AS (SELECT rid, l, len(lw) AS n, (len(lw)<=2 AND NOT contains({_text(quality_rules.ENDS)}, right(rtrim(l),1)))
  OR {_count('l', quality_rules.SYMBOLS)}*100>len(lw)*40 OR ({_count('l', quality_rules.BARS)}*100>len(lw)*30 AND {_count('l', quality_rules.BARS)}>=2) OR {_count('l', '!')}*100>len(lw)*60
- OR (n_repeat_words>=10 AND len(lw)>=12 AND len(list_distinct(lw))*4<=len(lw)) OR {furniture} AS bad FROM ln WHERE len(lw)>0),
+ OR (contains(l, {_text(quality_rules.LINK)}) AND (length(l)-length(replace(l, {_text(quality_rules.LINK)}, '')))*2>=len(lw)*{len(quality_rules.LINK)}) OR (n_repeat_words>=10 AND len(lw)>=12 AND len(list_distinct(lw))*4<=len(lw)) OR {furniture} AS bad FROM ln WHERE len(lw)>0),
 s AS (SELECT rid, count(*)-count(DISTINCT l) AS n_dup_lines, CAST(coalesce(sum(n) FILTER (NOT bad),0) AS BIGINT) AS kept_words FROM j GROUP BY rid),
 f AS (SELECT x.*, n_words<{quality_rules.MIN_WORDS} OR 100*n_repeat_words>{quality_rules.REPEAT_PERCENT}*n_words AS base_failed, coalesce(n_dup_lines,0) AS n_dup_lines, coalesce(kept_words,0) AS kept_words FROM x LEFT JOIN s ON x.rid=s.rid)
 SELECT doc_id, n_words, CAST(length(translate(t, {_BLANKS}, '')) AS BIGINT) AS word_chars, CAST({_count('t', quality_rules.SYMBOLS)} AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (n_words-kept_words)*100<=n_words*{quality_rules.MAX_LOST_PERCENT} AS kept, kept_words FROM f"""
@@ -58,7 +58,9 @@ def _license_scan() -> str:
     rows = ", ".join(f"({_text(key)}, {_text(text)})" for key, text in licenses.known())
     return f"""WITH known(license, t) AS (VALUES {rows}), k AS (SELECT md5({_canonical('t')}) AS digest, min(license) AS license FROM known GROUP BY 1),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text,'') AS t FROM documents),
-u AS (SELECT DISTINCT rid, u, u=t AS entire FROM (SELECT rid, t, unnest(list_append(string_split(t, chr(10)), t)) AS u FROM d)),
+g AS (SELECT rid, t, regexp_split_to_array(t, {_text(licenses.GAP)}) AS g FROM d),
+n AS (SELECT rid, t, array_to_string(g[i:i+k-1], chr(10)||chr(10)) AS u, k FROM (SELECT *, unnest(range(1, len(g)-k+2)) AS i FROM (SELECT *, unnest(range(1, least(len(g), {licenses.RUN})+1)) AS k FROM g WHERE len(g)>1))),
+u AS (SELECT DISTINCT rid, u, u=t AS entire FROM (SELECT rid, t, unnest(list_append(string_split(t, chr(10)), t)) AS u FROM d UNION ALL SELECT rid, t, u FROM n WHERE k=1 OR length(u)>={licenses.RUN_CHARS})),
 f AS (SELECT rid, max(license) FILTER (entire) AS whole, list_sort(list(DISTINCT license)) AS licenses FROM u JOIN k ON md5({_canonical('u')})=digest GROUP BY rid)
 SELECT doc_id, whole, coalesce(array_to_string(licenses, ','),'') AS licenses, CAST(coalesce(len(licenses),0) AS BIGINT) AS n_licenses FROM d LEFT JOIN f ON d.rid=f.rid"""
 

@@ -22,11 +22,16 @@ from .common import BLANKS, LOWER, UPPER, let, word_count, words_of
 SYMBOLS = "#*$%&|<>"
 #: What stands between the entries of a navigation bar.
 BARS = "|•»"
-#: Phrases of web page furniture, matched in lower-cased lines.
+#: Phrases of web page furniture in English, German, French and Spanish, matched in lines whose ASCII letters are lower-cased.
 BOILERPLATE = [
     "all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of use", "terms of service",
     "enable javascript", "javascript is disabled", "lorem ipsum", "sign up for our newsletter", "click here to", "share this post",
+    "alle rechte vorbehalten", "cookies akzeptieren", "nutzungsbedingungen", "newsletter abonnieren",
+    "tous droits réservés", "accepter les cookies", "politique de confidentialité", "mentions légales",
+    "todos los derechos reservados", "aceptar cookies", "política de privacidad", "términos de uso",
 ]
+#: What stands in a web address.
+LINK = "://"
 #: What a sentence may end with.
 ENDS = ".!?:;…\"'”’»)]"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -64,11 +69,11 @@ def _ratio_over(part: Column, whole: Column, percent: int) -> Column:
     return part * 100 > whole * percent
 
 
-def bad_line(line: Column, marks: Column, repeats: Column, furniture: Column) -> Column:
-    """Whether a line with words fails a rule: symbols, navigation, shouting, few kinds of words, boilerplate or a bare fragment.
+def bad_line(line: Column, marks: Column, repeats: Column, furniture: Column, links: Column) -> Column:
+    """Whether a line with words fails a rule: symbols, navigation, shouting, few kinds of words, boilerplate, links for every other word, or a bare fragment.
 
-    The last three columns tell of the whole text whether it has any mark,
-    ten words in repeated windows, or a phrase of page furniture at all; the
+    The last four columns tell of the whole text whether it has any mark,
+    ten words in repeated windows, a phrase of page furniture or a link at all; the
     rules that need one are skipped, in every line, where there is none. The
     repetition rule is so defined; for the others that changes no verdict.
     """
@@ -80,7 +85,8 @@ def bad_line(line: Column, marks: Column, repeats: Column, furniture: Column) ->
     marked = let(n, lambda k: _ratio_over(count(SYMBOLS), k, 40) | _ratio_over(count(BARS), k, 30) & (count(BARS) >= 2) | _ratio_over(count("!"), k, 60))
     few_kinds = let(words_of(line), lambda w: (F.size(w) >= 12) & (F.size(F.array_distinct(w)) * 4 <= F.size(w)))
     fragment = ~F.contains(F.lit(ENDS), F.substring(F.rtrim(line), -1, 1)) & (n <= 2)
-    return fragment | (marks & marked) | (repeats & few_kinds) | (furniture & let(F.translate(line, UPPER, LOWER), _furniture))
+    linked = (F.length(line) - F.length(F.replace(line, F.lit(LINK), F.lit("")))) * 2 >= n * len(LINK)
+    return fragment | (links & F.contains(line, F.lit(LINK)) & linked) | (marks & marked) | (repeats & few_kinds) | (furniture & let(F.translate(line, UPPER, LOWER), _furniture))
 
 
 def _furniture(low: Column) -> Column:
@@ -111,9 +117,10 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
             (F.length(F.translate(t, SYMBOLS + BARS + "!", "")) < F.length(t)).alias("marks"),
             (f["n_repeat_words"] >= 10).alias("repeats"),
             let(F.translate(t, UPPER, LOWER), _furniture).alias("furniture"),
+            F.contains(t, F.lit(LINK)).alias("links"),
             F.split(t, "\n").alias("lines"),
         )
-        return let(flags, lambda g: verdict(f, g, F.filter(g["lines"], lambda x: ~_has_word(x) | ~bad_line(x, g["marks"], g["repeats"], g["furniture"]))))
+        return let(flags, lambda g: verdict(f, g, F.filter(g["lines"], lambda x: ~_has_word(x) | ~bad_line(x, g["marks"], g["repeats"], g["furniture"], g["links"]))))
 
     def verdict(f: Column, g: Column, good: Column) -> Column:
         return let(

@@ -6,6 +6,7 @@ import time
 import zlib
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -411,6 +412,12 @@ def test_licenses(spark):
     mit = "MIT Licence\n\nCopyright (c) 2020 Someone\n\n" + licenses._MIT.upper().replace(",", " ,")
     out = licenses.scan(texts(spark, [mit, "Some words.\nReleased under the MIT License.", "Nothing."])).orderBy("doc_id").collect()
     assert [(r["whole"], r["licenses"]) for r in out] == [("MIT", "MIT"), (None, "MIT"), (None, "")]
+    inside = ["A project\n\n" + mit, "Words.\n\n" + "\n".join(licenses._UNLICENSE.split(". ")) + "\n \nMore words.", licenses._ZLIB.replace("acknowledgment", "acknowledgement"), None, "", "Head\n\n" + licenses._MPL.replace(". If", ".\nIf") + "\n\nTail"]
+    out = licenses.scan(texts(spark, inside)).orderBy("doc_id").collect()
+    assert [(r["whole"], r["licenses"]) for r in out] == [(None, "MIT"), (None, "Unlicense"), ("Zlib", "Zlib"), (None, ""), (None, ""), (None, "MPL-2.0")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT unnest(range(len(?))) AS doc_id, unnest(?) AS text", [inside, inside])
+    assert sorted(con.execute(ORACLES["op1_license_scan"]).fetchall()) == sorted((r["doc_id"], r["whole"], r["licenses"], r["n_licenses"]) for r in out)
 
 
 def test_quality_rules_lines(spark):
@@ -418,6 +425,10 @@ def test_quality_rules_lines(spark):
     out = {r["doc_id"]: r for r in quality_rules.clean(texts(spark, [good, "\n".join(["Home | About | News | Help | Login | Terms"] * 3 + [" ".join(f"w{i}" for i in range(60)) + "."]), good + "\nHome | About | News"])).collect()}
     assert out[0]["base_failed"] and not out[1]["base_failed"]
     assert "|" not in out[1]["clean_text"] and "|" not in out[2]["clean_text"]
+    links = "http://a.example/x and https://b.example/y"
+    good = "This sentence has some plain words in it, as prose does."
+    out = quality_rules.clean(texts(spark, [f"{good}\n{links}\nSee http://a.example for more of this.\nTous droits réservés par nous.\nTodos los derechos reservados."])).collect()[0]
+    assert out["clean_text"] == f"{good}\nSee http://a.example for more of this."
 
 
 def test_pipeline(spark):
