@@ -186,3 +186,9 @@ def colour(rank: Column, n: Column) -> Column:
         return F.lpad(F.lower(F.hex(F.round(a + (b - a) * (at - low)).cast("int"))), 2, "0")
 
     return F.when(rank.isNull(), F.lit(GREY)).otherwise(F.concat(F.lit("#"), channel(0), channel(1), channel(2)))
+
+
+def bases_before(gapped: Column) -> Column:
+    """For each place of an aligned sequence, the number of its bases up to there, gaps ("-") left out: the place without gaps."""
+    upto = lambda i: F.length(F.replace(F.substring(gapped, F.lit(1), i), F.lit("-"), F.lit("")))
+    return F.when(F.length(gapped) > 0, F.transform(F.sequence(F.lit(1), F.length(gapped)), upto)).otherwise(F.array().cast("array<int>"))

@@ -76,3 +76,16 @@ def gap_flags(sites: DataFrame, extents: DataFrame, key: list[str], limit: int)
     rows = gaps.join(extents, key)
     far = (F.col("widest") > limit) | (F.col("lo") - F.col("first") > limit) | (F.col("last") - F.col("hi") > limit)
     return rows.select(*key, "n_sites", "widest", F.when(F.col("n_sites") > 1, F.coalesce(far, F.lit(False))).otherwise(False).alias("gapped"))
+
+
+def rate_flags(sites: DataFrame, extents: DataFrame, key: list[str], divergence: float) -> DataFrame:
+    """key, n_sites, rate (heterozygous sites for each base of the cluster's extent), strange (a rate over ``divergence``)."""
+    counts = sites.groupBy(*key).agg(F.count(F.lit(1)).alias("n_sites"))
+    rows = extents.where("last > first").join(counts, key, "left").withColumn("n_sites", F.coalesce("n_sites", F.lit(0).cast("long")))
+    rate = F.round(F.col("n_sites") / (F.col("last") - F.col("first")), 9)
+    return rows.select(*key, "n_sites", rate.alias("rate"), (F.col("n_sites") > divergence * (F.col("last") - F.col("first"))).alias("strange"))
+
+
+def span(reads: DataFrame, key: list[str]) -> DataFrame:
+    """key, start (smallest), end (largest) of all reads."""
+    return reads.groupBy(*key).agg(F.min("s").alias("start"), F.max("e").alias("end"))

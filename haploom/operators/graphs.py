@@ -187,3 +187,32 @@ def independent_set(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         gone = both.join(winners.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).union(winners)
         free = cut(free.join(gone.distinct(), "node", "left_anti"))
     return reduce(DataFrame.union, taken) if taken else nodes.select("node").limit(0)
+
+
+def drop_uncovered(segments: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments (unitig, dp) of some depth, and the links (from_seg, to_seg) between them."""
+    gone = segments.where("dp = 0").select("unitig")
+    left = links.join(gone.withColumnRenamed("unitig", "from_seg"), "from_seg", "left_anti").join(gone.withColumnRenamed("unitig", "to_seg"), "to_seg", "left_anti")
+    return segments.where("dp IS NULL OR dp <> 0"), left
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """(node, layer) of a directed graph without circles: a node comes after all from which an edge leads to it; raises ValueError where there is a circle.
+
+    Each round takes off the nodes that no edge leads to; rounds are as many as the longest path is long.
+    """
+    left = cut(edges.select("src", "dst").distinct())
+    rest = cut(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    found, k = [], 0
+    while not rest.isEmpty():
+        free = cut(rest.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+        if free.isEmpty():
+            raise ValueError("the graph has a circle")
+        found.append(free.withColumn("layer", F.lit(k).cast("long")))
+        rest = cut(rest.join(free, "node", "left_anti"))
+        left = cut(left.join(free.withColumnRenamed("node", "src"), "src", "left_anti"))
+        k += 1
+    out = rest.withColumn("layer", F.lit(0).cast("long"))
+    for part in found:
+        out = out.union(part)
+    return out

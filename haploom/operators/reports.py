@@ -47,3 +47,11 @@ def totals(stages: dict[str, DataFrame]) -> DataFrame:
     for r in rows[1:]:
         union = union.unionByName(r)
     return n50(union, ["stage"])
+
+
+def per_unitig(phased: DataFrame) -> DataFrame:
+    """Totals, counts and medians of the new segments of each unitig, the longest total first; ``phased`` is the table of segments."""
+    out = phased.groupBy("Reference_unitig").agg(
+        F.sum("Length").alias("total"), F.count(F.lit(1)).alias("n"), F.median("Length").alias("median_length"), F.median("Coverage").alias("median_coverage"), F.median(F.col("SNP_density").cast("double")).alias("median_density")
+    )
+    return out.orderBy(F.desc("total"), "Reference_unitig")

@@ -100,7 +100,7 @@ def phase(spark: SparkSession, graph: str, sam: str, out: str, c: Config, vcf: s
     else:
         snps = formats.read_vcf(spark, vcf).select(F.col("CHROM").alias("unitig"), (F.col("POS") - 1).cast("long").alias("pos"), F.col("REF").alias("ref"), F.col("ALT").alias("alt"))
     snps = t.put("snps", snps.select("unitig", "pos", "ref", "alt").distinct())
-    formats.write_vcf(_snp_rows(snps), f"{out}/intermediate/snps.vcf")
+    formats.write_vcf(_snp_rows(snps), f"{out}/intermediate/snps.vcf", once=True)
     seen = t.put("bases", pileup.bases_at(kept, snps))
     found = clustering.phase(kept.select("unitig", "read_id", "s", "e"), seen.select("unitig", "read_id", "pos", "base"), c)
     number = F.dense_rank().over(Window.partitionBy("unitig").orderBy("cluster"))
@@ -223,8 +223,9 @@ def transform(spark: SparkSession, out: str, c: Config, link_simplify: bool = Fa
     phased, reference = statistics(t, made)
     formats.write_table(phased, f"{out}/phased_unitig_info_table")
     formats.write_table(reference, f"{out}/reference_unitig_info_table")
+    formats.write_table(reports.per_unitig(phased), f"{out}/unitig_summary_table")
     strain_report(t.put("phased", phased), t.put("reference", reference), c).write.mode("overwrite").text(f"{out}/multiplicity_stats")
-    formats.write_vcf(strain_variants(t, made), f"{out}/strain_variants.vcf")
+    formats.write_vcf(strain_variants(t, made), f"{out}/strain_variants.vcf", lengths=t.get("segments").select("unitig", "length"))
     clusters = t.get("clusters")
     renamed = clusters.join(members.select(F.col("seg"), "merged"), _name() == F.col("seg"), "left").select("unitig", "read_id", F.coalesce("merged", _name()).alias("cluster"), F.col("s").alias("start")).withColumn("cluster", F.when(F.col("cluster") == F.col("unitig"), F.lit(None)).otherwise(F.col("cluster")))
     formats.write_clusters(renamed, f"{inter}/clusters_merged")
@@ -326,10 +327,21 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--min-unitig-coverage", type=int, default=Config.min_depth)
     p.add_argument("--max-unitig-coverage", type=int, default=Config.max_depth)
     a = p.parse_args(argv)
+    if not 0 < a.allele_frequency < 1:
+        p.error("the allele frequency is a share between 0 and 1")
+    if a.cluster_divergence is not None and not 0 <= a.cluster_divergence < 1:
+        p.error("the divergence is a share between 0 and 1")
+    if a.min_unitig_length < 0 or not 0 <= a.min_unitig_coverage <= a.max_unitig_coverage:
+        p.error("lengths and depths are not negative, and the smallest depth isn't above the largest")
+    if not a.graph.endswith((".gfa", ".fa", ".fasta", ".fa.gz", ".fasta.gz")):
+        p.error("the graph is a .gfa, .fa or .fasta file")
     c = replace(
         Config.of_mode(a.mode), cluster_divergence=a.cluster_divergence, allele_frequency=a.allele_frequency, min_length=int(1000 * a.min_unitig_length), min_depth=a.min_unitig_coverage, max_depth=a.max_unitig_coverage,
     )
     spark = SparkSession.builder.appName("haploom").getOrCreate()
+    for path in filter(None, (a.graph, a.alignments, a.snp)):
+        if not formats.exists(spark, path):
+            p.error(f"there is no {path}")
     run(spark, a.graph, a.alignments, a.output, c, a.stage, a.snp, a.link_simplify)
 
 

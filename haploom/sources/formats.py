@@ -38,6 +38,14 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(head.alias("unitig"), seq.alias("seq"), F.length(seq).alias("length"))
 
 
+def lookup_fasta(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The first record of that name (unitig, seq, length); raises KeyError if there is none."""
+    found = read_fasta(spark, path).where(F.col("unitig") == name).limit(1)
+    if found.isEmpty():
+        raise KeyError(f"no sequence {name} in {path}")
+    return found
+
+
 def write_fasta(segments: DataFrame, path: str) -> None:
     segments.select(F.concat(F.lit(">"), "unitig", F.lit("\n"), "seq").alias("value")).write.mode("overwrite").text(path)
 
@@ -81,13 +89,35 @@ def read_vcf(spark: SparkSession, path: str, snps_only: bool = True) -> DataFram
     return out.where("FILTER = 'PASS' AND length(REF) = 1 AND length(ALT) = 1") if snps_only else out
 
 
-def write_vcf(variants: DataFrame, path: str, once: bool = False) -> None:
-    """Variant rows under a header; with ``once`` an existing file stays."""
-    head = variants.sparkSession.range(1).select(F.explode(F.array(F.lit("##fileformat=VCFv4.2"), F.lit("#" + "\t".join(VCF_COLUMNS)))).alias("value"))
+def write_vcf(variants: DataFrame, path: str, once: bool = False, lengths: DataFrame | None = None) -> None:
+    """Variant rows under a header, a whole one if ``lengths`` are given; with ``once`` an existing file stays."""
+    if lengths is None:
+        head = variants.sparkSession.range(1).select(F.explode(F.array(F.lit("##fileformat=VCFv4.2"), F.lit("#" + "\t".join(VCF_COLUMNS)))).alias("value"))
+    else:
+        head = vcf_header(lengths).orderBy("part", "value").select("value")
     body = variants.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in VCF_COLUMNS]).alias("value"))
     head.coalesce(1).union(body).write.mode("ignore" if once else "overwrite").text(path)
 
 
+#: What the columns of a strain variant file hold.
+VCF_META = [
+    '##FILTER=<ID=PASS,Description="All filters passed">',
+    '##INFO=<ID=ALT_HAP,Number=.,Type=String,Description="Segments with an alternative base">',
+    '##INFO=<ID=REF_HAP,Number=.,Type=String,Description="Segments with the reference base">',
+    '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
+    '##FORMAT=<ID=DV,Number=1,Type=Integer,Description="Depth of alternative bases">',
+    '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Depth">',
+]
+
+
+def vcf_header(lengths: DataFrame, sample: str = "sample") -> DataFrame:
+    """part, value: the lines before the rows of a variant file; a contig line for each of ``lengths`` (unitig, length)."""
+    spark = lengths.sparkSession
+    line = lambda part, texts: spark.range(1).select(F.lit(part).alias("part"), F.explode(F.array(*[F.lit(x) for x in texts])).alias("value"))
+    contigs = lengths.select(F.lit(1).alias("part"), F.concat(F.lit("##contig=<ID="), "unitig", F.lit(",length="), F.col("length").cast("string"), F.lit(">")).alias("value"))
+    return line(0, ["##fileformat=VCFv4.2"]).union(contigs).union(line(2, VCF_META)).union(line(3, ["#" + "\t".join([*VCF_COLUMNS[:-1], sample])]))
+
+
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """name, s, e, cov; lines that don't parse are left out."""
     f = F.split("value", "\t")
@@ -102,8 +132,16 @@ def read_mpileup(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(f[0].alias("unitig"), f[1].cast("long").alias("pos"), f[2].alias("ref"), f[3].cast("int").alias("depth"), f[4].alias("bases"), f[5].alias("quals"), f[6].alias("mapqs"), f[7].alias("names"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whichever file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
-    """unitig, read_id, cluster (null for "NA"), start from partitioned CSV."""
+    """unitig, read_id, cluster (null for "NA"), start from partitioned CSV; none where there is no file."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "unitig string, read_id string, cluster long, start int")
     df = spark.read.option("header", True).csv(path)
     return df.select("unitig", "read_id", F.col("cluster").try_cast("long").alias("cluster"), F.col("start").cast("int").alias("start"))
 
@@ -118,8 +156,8 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).option("sep", "\t").schema(schema).csv(path)
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+def write_table(df: DataFrame, path: str, append: bool = False) -> None:
+    df.write.mode("append" if append else "overwrite").option("header", True).option("sep", "\t").csv(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

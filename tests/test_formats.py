@@ -49,3 +49,37 @@ def test_fasta_vcf_bed_sam(spark, tmp_path):
     (tmp_path / "a.sam").write_text("@HD\nr1\t2064\tu1\t11\t60\t5M\t*\t0\t0\tACGTA\t*\tde:f:0.01\tSA:Z:u2,5,-,5M,60;\n")
     r = formats.read_sam(spark, str(tmp_path / "a.sam")).withColumn("x", formats.supplementary(F.col("sa"))).first()
     assert (r["ref_start"], r["is_reverse"], r["is_supplementary"], r["de"], r["x"][0]["unitig"], r["x"][0]["pos"]) == (10, True, True, 0.01, "u2", 5)
+
+
+def test_missing_and_first_records(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a.fa").write_text(">u1\nAC\n>u2\nGG\n>u2\nTTT\n")
+    assert formats.lookup_fasta(spark, str(tmp_path / "a.fa"), "u1").first()["seq"] == "AC"
+    assert formats.lookup_fasta(spark, str(tmp_path / "a.fa"), "u2").count() == 1
+    with pytest.raises(KeyError):
+        formats.lookup_fasta(spark, str(tmp_path / "a.fa"), "u3")
+    assert formats.read_clusters(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_layers_of_a_circle(spark):
+    import pytest
+
+    from haploom.operators import graphs
+
+    with pytest.raises(ValueError):
+        graphs.layers(spark.createDataFrame([(1, 2), (2, 3), (3, 2)], "src long, dst long"))
+
+
+def test_arguments_are_checked(spark, tmp_path):
+    import pytest
+
+    from haploom.plans.run import main
+
+    (tmp_path / "a.gfa").write_text("S\tu1\tACGT\n")
+    graph = ["-o", str(tmp_path / "out"), "-g", str(tmp_path / "a.gfa")]
+    for wrong in (["-b", str(tmp_path / "none.sam")], ["-b", "x", "-a", "2"], ["-b", "x", "-d", "1.5"], ["-b", "x", "--min-unitig-coverage", "9", "--max-unitig-coverage", "3"]):
+        with pytest.raises(SystemExit):
+            main([*graph, *wrong])
+    with pytest.raises(SystemExit):
+        main(["-o", "x", "-g", "graph.txt", "-b", "y"])
