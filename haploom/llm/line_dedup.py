@@ -54,7 +54,7 @@ _SHORT_BANDS = (32, 40, 52, 64)
 #: Shorter lines are compared for equality only.
 MIN_CHARS = 24
 #: Lines of one key that are paired directly; thresholds up to which larger keys are split on.
-HOT, REFINED = 64, 3
+HOT, REFINED = 256, 3
 #: Letters that are counted to sift pairs of lines; more of them cost more than they save.
 _LETTERS = "ent"
 #: How far into a segment a blank is looked for.

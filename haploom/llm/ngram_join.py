@@ -9,9 +9,10 @@
    table of counts affects the cost only.
 3. Equal sets are one node from here on. Nodes that share such a shingle and
    whose sizes allow the similarity are chained: per shingle, sorted by size,
-   neighbours get an edge if the smaller is at least t times the larger. That
-   is one edge per posting, not one per pair, and it connects every candidate
-   pair. Connected components of these edges are the blocks of the matrix.
+   neighbours belong to one run if the smaller is at least t times the larger,
+   and every node gets an edge to the first of its run. That is one edge per
+   posting, not one per pair, and it connects every candidate pair in a few
+   steps. Connected components of these edges are the blocks of the matrix.
 4. Only the documents in blocks are read again. In each block the overlap
    counts are accumulated: shingles that few documents share by adding up
    their pairs, the others by products of dense column slices; pairs below
@@ -263,10 +264,9 @@ def _chain(postings: DataFrame, up: int, down: int) -> DataFrame:
             token, n, d = token[order], n[order], d[order]
             same = np.zeros(len(token), bool)
             same[1:] = (token[1:] == token[:-1]) & (n[1:] == n[:-1])
-            edge = same.copy()
-            edge[1:] &= d[1:] != d[:-1]
-            at = np.flatnonzero(edge)
-            pairs = np.unique(np.stack([d[at - 1], d[at]], 1), axis=0) if len(at) else np.empty((0, 2), np.int64)
+            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(token)))) if len(token) else np.empty(0, np.int64)
+            at = np.flatnonzero(d[head] != d)
+            pairs = np.unique(np.stack([d[head[at]], d[at]], 1), axis=0) if len(at) else np.empty((0, 2), np.int64)
             kept = np.flatnonzero(~same)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([token[kept], pairs[:, 0] ^ pairs[:, 1]])), pa.array(np.concatenate([n[kept], np.zeros(len(pairs), np.int64)])), pa.array(np.concatenate([d[kept], pairs[:, 0]])), pa.array(np.concatenate([np.zeros(len(kept), np.int64), pairs[:, 1]])), pa.array(np.concatenate([np.zeros(len(kept), np.int8), np.ones(len(pairs), np.int8)]))],
@@ -283,11 +283,13 @@ def _chain(postings: DataFrame, up: int, down: int) -> DataFrame:
             token, n, m = token[~edges], n[~edges], d[~edges]
             if last is not None:
                 token, n, m = (np.concatenate([[x], y]) for x, y in zip(last, (token, n, m), strict=True))
+            near = (token[1:] == token[:-1]) & (down * n[:-1] >= up * n[1:])
+            first = np.concatenate([[True], ~near]) if len(token) else np.empty(0, bool)
+            head = m[np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))] if len(token) else m
             if len(token):
-                last = token[-1], n[-1], m[-1]
-            near = (token[1:] == token[:-1]) & (m[1:] != m[:-1]) & (down * n[:-1] >= up * n[1:])
-            a = np.concatenate([d[edges], m[:-1][near]])
-            b = np.concatenate([e[edges], m[1:][near]])
+                last = token[-1], n[-1], head[-1]  # the head stands for its whole run
+            a = np.concatenate([d[edges], head[head != m]])
+            b = np.concatenate([e[edges], m[head != m]])
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -439,7 +441,7 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "do
     signed = cut(_signatures(docs, table, size, up, down))
     some = signed.where("n > 0")
     edges = _chain(some.select("d", "n", "prefix"), up, down)
-    clusters = cut(components(edges).select(F.col("node").alias("d"), F.col("component").alias("cluster")))
+    clusters = components(edges).select(F.col("node").alias("d"), F.col("component").alias("cluster"))
     # one row that has the set stands for it
     nodes = some.join(clusters, "d").groupBy("d", "cluster").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("r"), F.max("n").alias("n"))
     nodes = cut(nodes.select("d", "cluster", F.col("r.doc_id").alias("rep"), F.col("r.t").alias("t"), "n"))
