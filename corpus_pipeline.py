@@ -51,22 +51,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     group, one stays: the one of smallest hashes, then of smallest other columns.
     """
     found = cut(ngram_join.classes(docs, size=SHINGLE, percent=PERCENT))
-    worded = found.where("class IS NOT NULL")
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
-    first = cut(worded.groupBy("class").agg(F.min(key).alias("first")).select("first.doc_id", "first.t"))
-    keep = first.union(found.where("class IS NULL").select("doc_id", "t").distinct())
+    alike = found.where("class IS NOT NULL").groupBy("class", "doc_id", "t").agg(F.count(F.lit(1)).alias("times"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "times")
+    first = cut(alike.groupBy("class").agg(F.min(key).alias("first")).select("first.doc_id", "first.t", "first.times"))
+    wordless = found.where("class IS NULL").select("doc_id", "t").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("_t"))
 
     def kept(those: DataFrame) -> DataFrame:
         return rows.join(those, rows["row.doc_id"].eqNullSafe(those["doc_id"]) & (rows["_t"] == those["t"]), "left_semi")
 
-    times = worded.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("times")).where("times > 1").withColumnsRenamed({"doc_id": "i", "t": "h"})
-    alike = cut(first.join(times, first["doc_id"].eqNullSafe(times["i"]) & (first["t"] == times["h"])).select("doc_id", "t"))
-    if alike.isEmpty():
-        return kept(keep).select("row.*")
-    single = keep.join(alike.withColumnsRenamed({"doc_id": "i", "t": "h"}), keep["doc_id"].eqNullSafe(F.col("i")) & (keep["t"] == F.col("h")), "left_anti")
-    one = kept(alike).groupBy("row.doc_id", "_t").agg(F.min("row").alias("row"))
-    return kept(single).select("row.*").union(one.select("row.*"))
+    out = kept(first.where("times = 1").select("doc_id", "t").union(wordless)).select("row.*")
+    repeated = first.where("times > 1")
+    if repeated.isEmpty():
+        return out
+    return out.union(kept(repeated).groupBy("row.doc_id", "_t").agg(F.min("row").alias("row")).select("row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
