@@ -21,7 +21,9 @@ would make more keys than pairs, and such lines are joined as they are.
 
 With ``BY_LENGTH`` the threshold grows with the shorter line: one edit for 40
 characters up to 200, the root of an eighth of the length beyond, so that the
-number of keys is in proportion to the text for lines of any length.
+number of keys is in proportion to the text for lines of any length. Families
+of versions of one line are then many, so lines are compared with the heads of
+their keys first and only with those of other classes after that; see ``classes``.
 
 A line counts without blanks at its ends. Only exact repeats are removed of
 lines shorter than ``MIN_CHARS`` characters, for which one edit is another word; lines
@@ -55,8 +57,10 @@ _SHORT_BANDS = (32, 40, 52, 64)
 MIN_CHARS = 24
 #: Lines of one key that are paired directly; thresholds up to which larger keys are split on.
 HOT, REFINED = 256, 3
-#: Letters that are counted to sift pairs of lines; more of them cost more than they save.
+#: Letters that are counted to sift pairs of lines; for one edit, more of them cost more than they save.
 _LETTERS = "ent"
+#: Further letters, for thresholds that grow.
+_MORE = "aisrould"
 #: How far into a segment a blank is looked for.
 _SLACK = 10
 
@@ -153,23 +157,23 @@ def _sifted(lines: DataFrame, marks: tuple[DataFrame, int]) -> DataFrame:
     return joined.withColumn("hit", bit == 1).drop("word", "bits")
 
 
-def _letters(line: Column) -> Column:
-    """A byte with the number of occurrences of each of three frequent letters."""
+def _letters(line: Column, letters: str = _LETTERS) -> Column:
+    """A byte with the number of occurrences of each of a few frequent letters."""
     out = F.lit(0).cast("long")
-    for k, letter in enumerate(_LETTERS):
+    for k, letter in enumerate(letters):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
         out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255)).cast("long"), 8 * k))
     return out
 
 
-def _may_match(x: Column, y: Column, threshold: int | Column) -> Column:
-    """Whether the letters' numbers allow the threshold: an edit changes two of them by one at most."""
+def _apart(x: Column, y: Column, letters: str = _LETTERS) -> Column:
+    """By how much the letters' numbers differ at least; an edit changes two of them by one at most."""
     apart = F.lit(0)
-    for k in range(len(_LETTERS)):
+    for k in range(len(letters)):
         one, other = (F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255)) for c in (x, y))
         gap = F.abs(one - other)
         apart = apart + F.least(gap, 256 - gap)
-    return apart <= 2 * threshold
+    return apart
 
 
 def allowed(n: Column) -> Column:
@@ -220,44 +224,80 @@ def _keys(prefix: Column, line: Column, n: Column, band: Column, places: bool) -
     return F.flatten(F.concat(left, right))
 
 
-def candidates(lines: DataFrame, threshold: int | None) -> DataFrame:
-    """Pairs (a, b), a < b, of hashes of distinct lines that share a key and whose lengths and letters allow the threshold; ``lines`` has h and line."""
+def _sign(line: Column) -> Column:
+    """Length and letters of a line in one number."""
+    return F.shiftleft(F.length(line).cast("long"), 24).bitwiseOR(_letters(line))
+
+
+def _banded(state: DataFrame, threshold: int | None) -> DataFrame:
+    """``state`` of whole lines with their own bands and those below."""
+    n = F.length("rest")
+    return state.withColumn("own", _band(n, threshold)).withColumn("below", _band(n - F.col("own.t"), threshold))
+
+
+def _whole(*more: str | Column) -> list[str | Column]:
+    """The columns of a state that are the same for all whole lines, and others."""
+    return [F.lit(0).cast("long").alias("prefix"), "h", F.lit(0).cast("long").alias("r"), F.col("line").alias("rest"), *more]
+
+
+def _keys_of(places: bool) -> Column:
+    """Keys of a row of ``banded`` in its own band and in the one below."""
     n = F.length("rest")
-    sign = F.shiftleft(F.length("line").cast("long"), 24).bitwiseOR(_letters(F.col("line")))
-    state = lines.select(F.lit(0).cast("long").alias("prefix"), "h", F.lit(0).cast("long").alias("r"), F.col("line").alias("rest"), sign.alias("sign"))
-    banded = state.withColumn("own", _band(n, threshold)).withColumn("below", _band(n - F.col("own.t"), threshold))
-    m, k = F.shiftright("x", 24).cast("int"), F.shiftright("y", 24).cast("int")
+    kind = "array<struct<key:bigint,start:int,size:int,t:int>>" if places else "array<bigint>"
+    lower = F.when(F.col("below.low") < F.col("own.low"), _keys(F.col("prefix"), F.col("rest"), n, F.col("below"), places)).otherwise(F.array().cast(kind))
+    return F.concat(_keys(F.col("prefix"), F.col("rest"), n, F.col("own"), places), lower)
+
+
+def _near(x: Column, y: Column, threshold: int | None, apart: Column | None = None) -> Column:
+    """Whether the lengths and letters of two signs allow the threshold; ``apart``: by how much further letters differ."""
+    m, k = F.shiftright(x, 24).cast("int"), F.shiftright(y, 24).cast("int")
     limit = allowed(F.least(m, k)) if threshold is BY_LENGTH else F.lit(threshold)
-    near = (F.col("a") < F.col("b")) & (F.abs(m - k) <= limit) & _may_match(F.col("x"), F.col("y"), limit)
+    return (F.abs(m - k) <= limit) & ((_apart(x, y) if apart is None else _apart(x, y) + apart) <= 2 * limit)
+
+
+def _split_on(split: DataFrame, hot: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state, banded) of the lines of hot keys without the segments that they share there."""
+    left_over = F.concat(F.expr("substring(rest, 1, start - 1)"), F.expr("substring(rest, start + size)"))
+    on = split.join(hot, "key", "left_semi").join(state, ["prefix", "h", "r"])
+    carried = [c for c in state.columns if c not in ("prefix", "r", "rest")]
+    rest = cut(on.select(F.col("key").alias("prefix"), left_over.alias("rest"), *carried, "t").distinct().withColumn("r", F.xxhash64("rest")))
+    n = F.length("rest")
+    banded = rest.withColumn("own", _rest_band(n, F.col("t"))).withColumn("below", _rest_band(F.greatest(n - F.col("t"), F.lit(0)), F.col("t")))
+    return rest.drop("t"), banded.drop("t")
 
-    def keys(places: bool) -> Column:
-        kind = "array<struct<key:bigint,start:int,size:int,t:int>>" if places else "array<bigint>"
-        lower = F.when(F.col("below.low") < F.col("own.low"), _keys(F.col("prefix"), F.col("rest"), n, F.col("below"), places)).otherwise(F.array().cast(kind))
-        return F.concat(_keys(F.col("prefix"), F.col("rest"), n, F.col("own"), places), lower)
 
+def _pairs(state: DataFrame, banded: DataFrame, carried: list[str], near: Column) -> DataFrame:
+    """Pairs (a, b) of lines that share a key and are ``near``, a condition on ``carried`` columns, of the second line with _b behind their names; hot keys are split on."""
     found = []
     while True:
-        split = banded.where(F.col("below.t") <= REFINED).select("prefix", "h", "r", F.inline(keys(True))).where((F.col("t") <= REFINED) & (F.col("size") > 0))
+        split = banded.where(F.col("below.t") <= REFINED).select("prefix", "h", "r", F.inline(_keys_of(True))).where((F.col("t") <= REFINED) & (F.col("size") > 0))
         hot = cut(split.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > HOT).select("key"))
         some = not hot.isEmpty()
-        slim = banded.select(F.explode(keys(False)).alias("key"), "h", "sign")
+        slim = banded.select(F.explode(_keys_of(False)).alias("key"), "h", *carried)
         if some:
             slim = slim.join(hot, "key", "left_anti")
-        first, second = slim.select(F.col("h").alias("a"), F.col("sign").alias("x"), "key"), slim.select(F.col("h").alias("b"), F.col("sign").alias("y"), "key")
-        found.append(cut(first.join(second, "key").where(near).select("a", "b").distinct()))
+        found.append(cut(_met(slim, carried, near)))
         if not some:
             break
-        left_over = F.concat(F.expr("substring(rest, 1, start - 1)"), F.expr("substring(rest, start + size)"))
-        on = split.join(hot, "key", "left_semi").join(state, ["prefix", "h", "r"])
-        state = cut(on.select(F.col("key").alias("prefix"), "h", left_over.alias("rest"), "sign", "t").distinct().withColumn("r", F.xxhash64("rest")))
-        banded = state.withColumn("own", _rest_band(n, F.col("t"))).withColumn("below", _rest_band(F.greatest(n - F.col("t"), F.lit(0)), F.col("t"))).drop("t")
-        state = state.drop("t")
+        state, banded = _split_on(split, hot, state)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out.distinct()
 
 
+def _met(slim: DataFrame, carried: list[str], near: Column) -> DataFrame:
+    """Pairs (a, b), a < b, of rows of one key that are ``near``."""
+    first, second = slim.select("key", F.col("h").alias("a"), *carried), slim.select("key", F.col("h").alias("b"), *[F.col(c).alias(f"{c}_b") for c in carried])
+    return first.join(second, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+
+
+def candidates(lines: DataFrame, threshold: int | None) -> DataFrame:
+    """Pairs (a, b), a < b, of hashes of distinct lines that share a key and whose lengths and letters allow the threshold; ``lines`` has h and line."""
+    state = lines.select(*_whole(_sign(F.col("line")).alias("sign")))
+    return _pairs(state, _banded(state, threshold), ["sign"], _near(F.col("sign"), F.col("sign_b"), threshold))
+
+
 def _differing(a: Column, b: Column) -> Column:
     """(x, y): the strings without most of what they have in common at both ends, which leaves their distance as it is."""
 
@@ -279,9 +319,8 @@ def _differing(a: Column, b: Column) -> Column:
     return let(let(F.struct(a.alias("x"), b.alias("y")), head), tail)
 
 
-def links(distinct: DataFrame, threshold: int | None) -> DataFrame:
-    """Pairs (a, b) of the lines within the threshold, as structs of their hashes; ``distinct`` has h, g and line of each line once."""
-    pairs = cut(candidates(distinct, threshold))
+def _verified(pairs: DataFrame, distinct: DataFrame, threshold: int | None) -> DataFrame:
+    """Those of the pairs (a, b) of hashes that are within the threshold, as structs of both hashes."""
     ends = cut(_sifted(distinct, _marks(pairs.select(F.explode(F.array("a", "b")).alias("h")))).where("hit").select("h", "g", "line"))
     x, y = (ends.select(F.col("h").alias(k), F.struct("h", "g").alias(f"node_{k}"), F.col("line").alias(f"line_{k}")) for k in "ab")
     longer = F.length("line_a") >= F.length("line_b")
@@ -297,6 +336,64 @@ def links(distinct: DataFrame, threshold: int | None) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
+def links(distinct: DataFrame, threshold: int | None) -> DataFrame:
+    """Pairs (a, b) of the lines within the threshold, as structs of their hashes; ``distinct`` has h, g and line of each line once."""
+    return _verified(cut(candidates(distinct, threshold)), distinct, threshold)
+
+
+def signed(lines: DataFrame, threshold: int | None) -> DataFrame:
+    """``lines`` (h, g, line, times) with their sign, letters and keys, as ``classes`` takes them."""
+    begun = _banded(lines.select("*", F.lit(0).cast("long").alias("prefix"), F.col("line").alias("rest")), threshold)
+    return begun.select("h", "g", "line", "times", _sign(F.col("line")).alias("sign"), _letters(F.col("line"), _MORE).alias("letters"), _keys_of(False).alias("keys"))
+
+
+def classes(distinct: DataFrame, threshold: int | None) -> DataFrame:
+    """(node, component) of the lines that are linked, directly or through others; ``distinct`` has ``signed`` lines, each once.
+
+    A family of versions of one line would meet in pairs under each key. So each
+    line is first compared with the head of each of its keys, the line that
+    stands most often, which is one row a line and key. Only keys whose lines
+    aren't one class by then go on, and only lines of different classes meet in
+    them. Where more than ``HOT`` lines stand outside a key's largest class and
+    the threshold is at most ``REFINED``, they are split on by what is left of them.
+    """
+    slim = distinct.select(F.explode("keys").alias("key"), "h")
+    often = cut(slim.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    sifted = _sifted(slim.select(F.col("key").alias("h"), F.col("h").alias("id")), _marks(often.withColumnRenamed("key", "h"))).where("hit")
+    shared = cut(sifted.select(F.col("h").alias("key"), F.col("id").alias("h")).join(often, "key", "left_semi").join(distinct.select("h", "sign", "letters", "times"), "h"))
+    rank = F.shiftleft(F.least(F.col("times"), F.lit(32767)), 48).bitwiseOR(F.shiftrightunsigned("h", 16))
+    heads = shared.groupBy("key").agg(*[F.max_by(c, rank).alias(f"{c}_head") for c in ("h", "sign", "letters")])
+    near = _near(F.col("sign"), F.col("sign_head"), threshold, _apart(F.col("letters"), F.col("letters_head"), _MORE))
+    stars = cut(shared.join(heads, "key").where((F.col("h") != F.col("h_head")) & near).select(F.col("h_head").alias("a"), F.col("h").alias("b")).distinct())
+    known = cut(components(_verified(stars, distinct, threshold)))
+    named = known.select(F.col("node.h").alias("h"), F.col("component.h").alias("class"))
+    classed = cut(shared.select("key", "h", "sign", "letters").join(named, "h", "left").withColumn("class", F.coalesce("class", "h")))
+    sizes = classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top")).where("n > top")
+    still = cut(sizes.select("key", (F.col("n") - F.col("top") > HOT).alias("hot")))
+    carried = ["sign", "letters", "class"]
+    differ = _near(F.col("sign"), F.col("sign_b"), threshold, _apart(F.col("letters"), F.col("letters_b"), _MORE)) & (F.col("class") != F.col("class_b"))
+    open_keys, hot = classed.join(still, "key", "left_semi"), still.where("hot").select("key")
+    if hot.isEmpty():
+        pairs = _met(open_keys, carried, differ)
+    else:
+        # the lines of hot keys, with their classes, and where the keys stand in them
+        members = cut(classed.join(hot, "key", "left_semi").select("h", "class").distinct())
+        whole = distinct.join(members, "h").select(*_whole(*carried))
+        few = _banded(whole, threshold).where(F.col("below.t") <= REFINED)
+        split = cut(few.select("prefix", "h", "r", F.inline(_keys_of(True))).where((F.col("t") <= REFINED) & (F.col("size") > 0)).join(hot, "key", "left_semi"))
+        refined = split.select("key").distinct()
+        pairs = cut(_met(open_keys.join(refined, "key", "left_anti"), carried, differ))
+        if not split.isEmpty():
+            pairs = pairs.union(_pairs(*_split_on(split, refined, whole), carried, differ)).distinct()
+    more = _verified(cut(pairs), distinct, threshold)
+    for end in "ab":
+        mine = known.select(F.col("node").alias(end), "component")
+        more = more.join(mine, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    merged = cut(components(more)).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    members = known.union(merged.select("was", "was")).distinct()
+    return members.join(merged, members["component"] == merged["was"], "left").select("node", F.coalesce("now", "component").alias("component"))
+
+
 def _without(lines: Column, drop: Column) -> Column:
     """The elements of an array but for those at the sorted places ``drop`` (from 0): what stands between these, in one go."""
     ends = F.concat(F.array(F.lit(-1)), drop)
@@ -313,8 +410,11 @@ def dedup(docs: DataFrame, threshold: int | None = THRESHOLD, doc_id: str = "doc
     # lines that surely stand nowhere else needn't be shuffled to be distinct
     long = lines.where(F.length("line") >= MIN_CHARS).select(F.xxhash64("line").alias("h"), "line")
     told = _sifted(long, _marks(counts.where("times > 1").select("h")))
-    distinct = stored(told.where("NOT hit").select("line").union(told.where("hit").select("line").distinct()).select(*_known(), "line"))
-    near = cut(components(links(distinct, threshold)).select("node.*", F.col("component").alias("class")))
+    once, often = told.where("NOT hit").select("line", F.lit(1).cast("long").alias("times")), told.where("hit").groupBy("line").agg(F.count(F.lit(1)).alias("times"))
+    each = once.union(often).select(*_known(), "line", "times")
+    distinct = stored(signed(each, threshold) if threshold is BY_LENGTH else each.drop("times"))
+    linked = classes(distinct, threshold) if threshold is BY_LENGTH else components(links(distinct, threshold))
+    near = cut(linked.select("node.*", F.col("component").alias("class")))
     delete(distinct)
     known = counts.join(near, ["h", "g"], "left").where("times > 1 OR class IS NOT NULL").withColumn("class", F.coalesce("class", F.struct("h", "g")))
     first = known.groupBy("class").agg(F.min("keep").alias("keep"), F.min("keep_t").alias("keep_t"), F.sum("times").alias("times")).where("times > 1")

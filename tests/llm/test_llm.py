@@ -190,6 +190,33 @@ def test_line_links_of_a_family(spark, threshold):
     assert time.time() - began < 90
 
 
+def test_line_classes_equal_those_of_all_links(spark, monkeypatch):
+    # families around a line that stands often, templates that share most of their segments, and hot keys of few and of many edits
+    from haploom.operators.components import components
+
+    monkeypatch.setattr(line_dedup, "HOT", 20)
+    rng, lines = random.Random(17), {}
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    for size in (8, 30, 60, 90):
+        base = [word() for _ in range(size)]
+        lines[" ".join(base)] = 30
+        for _ in range(60):
+            version = list(base)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(size)
+                version[at] = rng.choice([word(), version[at] + "x", version[at][1:] or "y"])
+            lines[" ".join(version)] = 1
+    for _ in range(80):  # one beginning, unlike ends
+        lines["The same words at the head of every line: " + word() + word() + word()] = 1
+    rows = [(x, n) for x, n in lines.items() if len(x) >= 24]
+    df = spark.createDataFrame(rows, "line string, times long").select(F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "line", "times")
+    signed = line_dedup.signed(df, line_dedup.BY_LENGTH)
+    got = {tuple(r) for r in line_dedup.classes(signed, line_dedup.BY_LENGTH).collect()}
+    want = {tuple(r) for r in components(line_dedup.links(df, line_dedup.BY_LENGTH)).collect()}
+    assert got == want and len(want) > 40
+    assert line_dedup.classes(signed.where("false"), line_dedup.BY_LENGTH).count() == 0
+
+
 def test_edges_without_lines():
     """Runs between the places that are dropped."""
     spark = SparkSession.getActiveSession()
