@@ -1,12 +1,16 @@
-"""Recursive clustering of the reads of one unitig, as a grouped map.
+"""Clustering of the reads of one unitig, as a grouped map.
 
-Splitting and joining depend on data at each step, so they don't fit a fixed
-plan; a unitig's reads are a bounded group (long unitigs are split and deep
-ones aren't eligible), and unitigs are independent.
+Communities of reads are found by label propagation; then clusters are split
+where they are still heterogeneous and joined where their consensus agrees, in
+a fixed schedule (``cluster_reads``). Each step depends on the one before, so
+they don't fit a fixed plan; a unitig's reads are a bounded group (long unitigs
+are split and deep ones aren't eligible), and unitigs are independent.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +18,10 @@ from pyspark.sql import functions as F
 
 from haploom.plans.config import Config
 
+#: Parts of a split cluster have more reads than this; clusters of a smaller share of the unitig's depth go while others are joined.
+_LEAST_PART, _FAINT = 2, 0.01
+
+
 def _parts(linked: np.ndarray) -> list[np.ndarray]:
     """Connected parts of a boolean matrix, by smallest member."""
     free, out = np.ones(len(linked), bool), []
@@ -41,58 +49,212 @@ def _rates(bases: np.ndarray, s: np.ndarray, e: np.ndarray, least: int) -> np.nd
     return np.where(ok, (common - alike) / np.maximum(overlap, 1), np.inf)
 
 
-def _votes(bases: np.ndarray, c: Config) -> tuple[np.ndarray, np.ndarray]:
-    """Consensus base (0: none) and whether a second one is frequent, at each site."""
-    kinds = np.unique(bases[bases > 0])
-    if not len(kinds):
-        return np.zeros(bases.shape[1], np.int8), np.zeros(bases.shape[1], bool)
-    counts = np.stack([(bases == k).sum(0) for k in kinds])
-    order = np.sort(counts, 0)[::-1]
-    n, top = counts.sum(0), order[0]
-    second = order[1] if len(kinds) > 1 else np.zeros_like(top)
-    return np.where((n >= 3) & (top > 2), kinds[counts.argmax(0)], 0), second >= np.maximum(c.min_alt, c.split_allele_frequency * n)
-
-
-def cluster_reads(bases: np.ndarray, s: np.ndarray, e: np.ndarray, c: Config) -> np.ndarray:
-    """Cluster of each read (-1: none): split by communities at half the divergence, recursively, then join and drop small ones."""
-    queue, done = [np.arange(len(bases))], []
-    first = True
-    while queue:
-        members = queue.pop()
-        sites = np.flatnonzero(_votes(bases[members], c)[1]) if not first else np.arange(bases.shape[1])
-        if not len(sites) and not first:
-            done.append(members)
-            continue
-        parts = _parts(_rates(bases[members][:, sites], s[members], e[members], c.min_overlap) <= c.cluster_divergence / 2)
-        parts = [members[p] for p in parts if len(p) > (c.min_community if first else 2)]
-        if not first and (len(parts) < 2 or sum(map(len, parts)) < len(members) // 2):
-            done.append(members)  # it doesn't come apart
+def communities(linked: np.ndarray) -> list[np.ndarray]:
+    """Communities of a boolean matrix by label propagation: in turn each node takes the label that its neighbours favour, its own or else the smallest of equals, until none changes.
+
+    A neighbour's vote counts one, and one more for each neighbour in common.
+    Every change adds to the votes inside communities, so it ends.
+    """
+    label = np.arange(len(linked))
+    linked = linked & ~np.eye(len(linked), dtype=bool)
+    votes = np.where(linked, 1 + np.rint(linked.astype(np.float32) @ linked.T.astype(np.float32)), 0)
+    near = [np.flatnonzero(row) for row in linked]
+    changed = True
+    while changed:
+        changed = False
+        for i, others in enumerate(near):
+            if len(others):
+                counts = np.bincount(label[others], votes[i, others])
+                best = np.flatnonzero(counts == counts.max())
+                if label[i] not in best:
+                    label[i], changed = best[0], True
+    return [np.flatnonzero(label == k) for k in np.unique(label)]
+
+
+def unbranched(directed: np.ndarray) -> np.ndarray:
+    """Edges of a graph without circles that no other path of two or three edges goes along, and that don't meet a fork."""
+    one = directed.astype(np.int64)
+    kept = directed & ~((one @ one + one @ one @ one) > 0)
+    return kept & (kept.sum(1) < 2)[:, None] & (kept.sum(0) < 2)[None]
+
+
+def twin_groups(linked: np.ndarray) -> list[np.ndarray]:
+    """Groups of joined nodes whose neighbours are the same, each other left out; single nodes included."""
+    closed = linked | np.eye(len(linked), dtype=bool)
+    return _parts(linked & (closed[:, None] == closed[None]).all(2))
+
+
+@dataclass(frozen=True)
+class _Cluster:
+    """What is known of a cluster: ``consensus`` (0: none), sites where it is ``mixed`` or differs from the reference (``alt``), extent, depth."""
+
+    members: np.ndarray
+    consensus: np.ndarray
+    mixed: np.ndarray
+    alt: np.ndarray
+    first: int
+    last: int
+    depth: float
+
+
+class _Unitig:
+    """Reads of a unitig; clusters are lists of their members."""
+
+    def __init__(self, bases: np.ndarray, s: np.ndarray, e: np.ndarray, c: Config, pos: np.ndarray | None, ref: np.ndarray | None, length: int | None) -> None:
+        self.bases, self.s, self.e, self.c, self.pos = bases, s, e, c, pos
+        self.kinds = np.unique(bases[bases > 0])
+        counts = np.stack([(bases == k).sum(0) for k in self.kinds])
+        self.ref = self.kinds[counts.argmax(0)] if ref is None else ref
+        self.depth = int((e - s).sum()) // max(1, length or int(e.max() - s.min()))
+
+    def look(self, members: np.ndarray) -> _Cluster:
+        c, here = self.c, self.bases[members]
+        counts = np.stack([(here == k).sum(0) for k in self.kinds])
+        n, order = counts.sum(0), np.sort(counts, 0)[::-1]
+        second = order[1] if len(self.kinds) > 1 else np.zeros_like(n)
+        other = np.where(self.kinds[:, None] != self.ref[None], counts, 0).max(0)
+        consensus = np.where((n >= 3) & (order[0] > 2), self.kinds[counts.argmax(0)], 0)
+        at = min(1, len(members) - 1)
+        first, last = int(np.sort(self.s[members])[at]), int(np.sort(self.e[members])[::-1][at])
+        depth = float((self.e[members] - self.s[members]).sum()) / (last - first) if last > first else 0.0
+        return _Cluster(members, consensus, second >= np.maximum(c.min_alt, c.split_allele_frequency * n), (n >= 3) & (other >= np.maximum(c.min_alt, c.allele_frequency * n)), first, last, depth)
+
+    def mixed(self, k: _Cluster) -> bool:
+        """Whether there are more mixed sites than the divergence allows."""
+        return k.last <= k.first or k.mixed.sum() > self.c.cluster_divergence * (k.last - k.first)
+
+    def sparse(self, k: _Cluster) -> bool:
+        """Whether the sites that differ from the reference leave a wide gap, lead or tail; one site alone tells nothing."""
+        if self.pos is None or k.alt.sum() < 2:
+            return False
+        at = self.pos[k.alt]
+        return max(np.diff(at).max(), at[0] - k.first, k.last - at[-1]) > self.c.gap_limit
+
+    def parts(self, members: np.ndarray, sites: np.ndarray, bare: bool) -> tuple[list[np.ndarray], np.ndarray]:
+        """(clusters, left over): communities of three and more by the distance at the sites; ``bare``: by overlap without a common site."""
+        bases, s, e = self.bases[members][:, sites], self.s[members], self.e[members]
+        if bare:
+            seen = (bases > 0).astype(np.int64)
+            overlap = np.minimum(e[:, None], e[None]) - np.maximum(s[:, None], s[None])
+            linked = (seen @ seen.T == 0) & (overlap > 0)
+        else:
+            linked = _rates(bases, s, e, self.c.min_overlap) <= self.c.cluster_divergence / 2
+        found = communities(linked)
+        small = [p for p in found if len(p) <= _LEAST_PART]
+        return [members[p] for p in found if len(p) > _LEAST_PART], members[np.sort(np.concatenate(small))] if small else members[:0]
+
+    def split(self, members: np.ndarray, low: bool = False) -> list[np.ndarray]:
+        """A cluster's parts, split on while they are mixed; ``low``: the first split is for sparse sites instead."""
+        out, queue = [], [(members, low)]
+        while queue:
+            members, low = queue.pop()
+            k = self.look(members)
+            if not (self.sparse(k) if low else self.mixed(k)):
+                out.append(members)
+                continue
+            parts, rest = self.parts(members, np.flatnonzero(k.alt if low else k.mixed), False)
+            if not parts:
+                out.append(members)  # it doesn't come apart
+                continue
+            others: list[np.ndarray] = []
+            if len(rest):
+                left = self.look(rest)
+                others, _ = self.parts(rest, np.flatnonzero(left.alt if low else left.mixed), True)
+            if len(parts) == 1:
+                out += parts  # what is left of it isn't split again
+                parts = []
+            for p in parts + others:
+                if len(p) < len(members):
+                    queue.append((p, False))
+                else:
+                    out.append(p)
+        return out
+
+    def near(self, a: _Cluster, b: _Cluster, strict: bool) -> bool:
+        """Whether two clusters agree; ``strict``: where both differ from the reference, else without common sites, too."""
+        overlap = min(a.last, b.last) - max(a.first, b.first)
+        common = (a.consensus > 0) & (b.consensus > 0)
+        if overlap <= self.c.min_overlap or (strict and not (a.alt & b.alt).any()):
+            return False
+        return int((a.consensus != b.consensus)[common].sum()) <= self.c.cluster_divergence * overlap
+
+    def join(self, clusters: list[np.ndarray], strict: bool = True, twins: bool = False, nested: bool = False) -> list[np.ndarray]:
+        """Clusters after joining those that agree, along unbranched edges; ``twins``: all that are connected; ``nested``: only inner ones into the one around them."""
+        if len(clusters) < 2:
+            return clusters
+        known = sorted(map(self.look, clusters), key=lambda k: (k.last, k.first, k.members[0]))
+        n = len(known)
+        directed = np.array([[i < j and self.near(known[i], known[j], strict) for j in range(n)] for i in range(n)])
+        if twins:
+            groups = twin_groups(directed | directed.T)
+            while len(groups) < n:
+                known, was = [self.look(np.sort(np.concatenate([known[i].members for i in g]))) for g in groups], directed | directed.T
+                n = len(known)
+                linked = np.array([[i != j and was[np.ix_(groups[i], groups[j])].any() for j in range(n)] for i in range(n)])
+                directed = np.triu(linked)
+                groups = twin_groups(linked)
+            linked = directed | directed.T
         else:
-            queue += parts  # every part is smaller, so this ends
-        first = False
-    done = [d for d in done if len(d)]
-    while len(done) > 1:
-        cons = np.stack([_votes(bases[d], c)[0] for d in done])
-        lo, hi = np.array([s[d].min() for d in done]), np.array([e[d].max() for d in done])
-        rates = _rates(cons, lo, hi, c.min_overlap)
-        np.fill_diagonal(rates, np.inf)
-        near = rates <= c.cluster_divergence
-        # only pairs that have no other candidate are joined
-        alone = near & (near.sum(0) == 1)[None] & (near.sum(1) == 1)[:, None]
-        if not alone.any():
-            break
-        done = [np.concatenate([done[i] for i in p]) for p in _parts(alone)]
+            kept = unbranched(directed)
+            linked = kept | kept.T
+        first, last = np.array([k.first for k in known]), np.array([k.last for k in known])
+        inside = linked & (first[None] < first[:, None]) & (last[None] > last[:, None])  # row inside column
+        apart = linked & ~inside & ~inside.T
+        if nested:
+            only = (inside.sum(1) == 1) & (apart.sum(1) == 1)
+            apart = (inside & only[:, None]) | (inside & only[:, None]).T
+        return [np.sort(np.concatenate([known[i].members for i in p])) for p in _parts(apart)]
+
+    def deep(self, clusters: list[np.ndarray], share: float) -> list[np.ndarray]:
+        """Clusters of some share of the unitig's depth."""
+        return [m for m in clusters if self.look(m).depth >= share * self.depth]
+
+
+def cluster_reads(bases: np.ndarray, s: np.ndarray, e: np.ndarray, c: Config, pos: np.ndarray | None = None, ref: np.ndarray | None = None, length: int | None = None) -> np.ndarray:
+    """Cluster of each read, its smallest member (-1: none).
+
+    ``bases`` has a row for each read and a column for each site (0: not seen),
+    ``pos`` and ``ref`` the sites' positions and reference bases (by default the
+    most frequent ones). Communities are found at half the divergence; reads of
+    none get a second chance by overlap; clusters are joined, split while mixed,
+    split where sites are sparse, then joined and pruned by depth in turn: along
+    unbranched edges, with twins, again, and inner ones into those around them.
+    """
     out = np.full(len(bases), -1, np.int64)
-    for d in sorted(done, key=lambda d: d.min()):
-        if len(d) >= c.min_final_size:
-            out[d] = d.min()
+    if not (bases > 0).any():
+        return out
+    u, every = _Unitig(bases, s, e, c, pos, ref, length), np.arange(len(bases))
+    found = communities(_rates(bases, s, e, c.min_overlap) <= c.cluster_divergence / 2)
+    clusters = [p for p in found if len(p) > c.min_community]
+    if clusters:
+        free = np.setdiff1d(every, np.concatenate(clusters))
+        if len(free):
+            clusters += u.parts(free, np.flatnonzero(u.look(free).alt), True)[0]
+        clusters = u.join(clusters)
+        for members in list(clusters):
+            parts = u.split(members)
+            if len(parts) > 1 or len(parts[0]) < len(members):
+                clusters = [m for m in clusters if m is not members] + u.join(parts, strict=False)
+        clusters = [p for m in clusters for p in u.split(m, low=True)]
+        free = np.setdiff1d(every, np.concatenate(clusters))
+        if len(free):
+            clusters += u.parts(free, np.flatnonzero(u.look(free).alt), True)[0]
+        clusters = u.join(u.deep(clusters, _FAINT))
+        clusters = u.join(u.deep(clusters, _FAINT), twins=True)
+        clusters = u.join(u.deep(clusters, _FAINT))
+        clusters = u.join(u.deep(clusters, c.min_cluster_share), strict=False, nested=True)
+        clusters = u.deep([m for m in clusters if len(m) >= c.min_final_size], c.min_cluster_share)
+    elif len(every) >= c.min_final_size:
+        clusters = [every]  # no communities: one cluster
+    for members in clusters:
+        out[members] = members.min()
     return out
 
 
 def phase(reads: DataFrame, seen: DataFrame, c: Config) -> DataFrame:
     """unitig, read_id, cluster (smallest read of the cluster; null if none) of all reads.
 
-    Unitigs and reads are known by numbers or by names. ``reads`` has unitig, read_id, s, e; ``seen`` has unitig, read_id, pos, base at SNP positions.
+    Unitigs and reads are known by numbers or by names. ``reads`` has unitig, read_id, s, e and may have the unitig's length; ``seen`` has unitig, read_id, pos, base at SNP positions and may have the reference's base, ref.
     """
 
     unitig, read = (reads.schema[name].dataType.simpleString() for name in ("unitig", "read_id"))
@@ -105,9 +267,13 @@ def phase(reads: DataFrame, seen: DataFrame, c: Config) -> DataFrame:
         for r, p, b in zip(right["r"], right["pos"], right["base"], strict=True):
             if r in row:
                 bases[row[r], at[p]] = ord(b)
-        found = cluster_reads(bases, left["s"].to_numpy(), left["e"].to_numpy(), c) if at else np.zeros(len(left), np.int64)
+        ref = None
+        if at and "ref" in right:
+            ref = right.drop_duplicates("pos").sort_values("pos")["ref"].map(ord).to_numpy()
+        length = int(left["length"].iloc[0]) if "length" in left and len(left) else None
+        found = cluster_reads(bases, left["s"].to_numpy(), left["e"].to_numpy(), c, np.array(list(at)), ref, length) if at else np.zeros(len(left), np.int64)
         ids = left["read_id"].to_numpy()
         return pd.DataFrame({"unitig": key[0], "read_id": ids, "cluster": pd.Series([ids[k] if k >= 0 else None for k in found], dtype="Int64" if read == "bigint" else object)})
 
-    sites = seen.select(F.col("unitig").alias("u"), F.col("read_id").alias("r"), "pos", "base")
+    sites = seen.select(F.col("unitig").alias("u"), F.col("read_id").alias("r"), "pos", "base", *["ref"] * ("ref" in seen.columns))
     return reads.groupBy("unitig").cogroup(sites.groupBy("u")).applyInPandas(run, f"unitig {unitig}, read_id {read}, cluster {read}")

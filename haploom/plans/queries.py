@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -142,18 +143,31 @@ def distance_edges(spark, d):
     return distances.weighted_edges(_distances(spark, d), C.cluster_divergence / 2).select("unitig", "a", "b", "w")
 
 
+#: No read's number reaches this, so numbers of nodes can't meet.
+_READS = Decimal(10) ** 19
+
+
+def _node(read: str) -> Column:
+    """A number for a unitig's read."""
+    return (F.col("unitig").cast("decimal(18,0)") * F.lit(_READS) + F.col(read)).cast("decimal(38,0)")
+
+
+def _read(node: str) -> Column:
+    return (F.col(node) % F.lit(_READS)).cast("long")
+
+
 def _nodes(spark, d):
     """Zero-distance edges of reads, nodes numbered by unitig and read."""
     e = distances.weighted_edges(_distances(spark, d), C.cluster_divergence / 2)
-    node = lambda c: (F.col("unitig") * 10_000_000 + F.col(c))
-    return e.select(node("a").alias("a"), node("b").alias("b"), "w")
+    return e.select(_node("a").alias("a"), _node("b").alias("b"), "w")
 
 
-@query(f"""WITH RECURSIVE {_DIST}, ed AS (SELECT unitig*10000000+a AS a, unitig*10000000+b AS b FROM dist WHERE d<=0), both_ AS (SELECT a,b FROM ed UNION SELECT b,a FROM ed),
+@query(f"""WITH RECURSIVE {_DIST}, ed AS (SELECT unitig::HUGEINT*10000000000000000000+a AS a, unitig::HUGEINT*10000000000000000000+b AS b FROM dist WHERE d<=0), both_ AS (SELECT a,b FROM ed UNION SELECT b,a FROM ed),
 reach(node, low) USING KEY (node) AS (SELECT DISTINCT a, a FROM both_ UNION (SELECT b, min(reach.low) FROM reach JOIN both_ ON reach.node=both_.a JOIN recurring.reach r2 ON r2.node=both_.b WHERE reach.low<r2.low GROUP BY b))
-SELECT node, low AS component FROM reach""")
+SELECT CAST(node//10000000000000000000 AS BIGINT) AS unitig, CAST(node%10000000000000000000 AS BIGINT) AS read_id, CAST(low%10000000000000000000 AS BIGINT) AS component FROM reach""")
 def read_components(spark, d):
-    return components(_nodes(spark, d))
+    unitig = F.floor((F.col("node") - _read("node")) / F.lit(_READS)).cast("long")
+    return components(_nodes(spark, d)).select(unitig.alias("unitig"), _read("node").alias("read_id"), _read("component").alias("component"))
 
 
 @query(None)
@@ -472,8 +486,7 @@ def phased_clusters(spark, d):
     aln = alignments(spark, d)
     snps = _snps(observations(aln))
     label = components(_nodes(spark, d))
-    node = (F.col("unitig") * 10_000_000 + F.col("read_id")).alias("node")
-    reads = aln.select("unitig", "read_id", "s", "e", "length", node).join(label, "node").withColumnRenamed("component", "cluster")
+    reads = aln.select("unitig", "read_id", "s", "e", "length", _node("read_id").alias("node")).join(label, "node").withColumn("cluster", _read("component")).drop("component")
     stats = alleles.extent(reads, ["unitig", "cluster"]).where(F.col("n_reads") >= C.min_final_size)
     sites = snps.groupBy("unitig").agg(F.count(F.lit(1)).alias("n_snp"))
     return stats.join(sites, "unitig", "left")
@@ -485,8 +498,8 @@ def recursive_clusters(spark, d):
 
     aln = alignments(spark, d)
     obs = observations(aln)
-    seen = obs.join(_snps(obs).select("unitig", "pos"), ["unitig", "pos"], "left_semi").select("unitig", "read_id", "pos", "base")
-    return phase(aln.select("unitig", "read_id", "s", "e"), seen, C)
+    seen = obs.join(_snps(obs).select("unitig", "pos", "ref"), ["unitig", "pos"]).select("unitig", "read_id", "pos", "base", "ref")
+    return phase(aln.select("unitig", "read_id", "s", "e", "length"), seen, C)
 
 
 @query(ORACLES["edit_distance"])

@@ -102,7 +102,8 @@ def phase(spark: SparkSession, graph: str, sam: str, out: str, c: Config, vcf: s
     snps = t.put("snps", snps.select("unitig", "pos", "ref", "alt").distinct())
     formats.write_vcf(_snp_rows(snps), f"{out}/intermediate/snps.vcf", once=True)
     seen = t.put("bases", pileup.bases_at(kept, snps))
-    found = clustering.phase(kept.select("unitig", "read_id", "s", "e"), seen.select("unitig", "read_id", "pos", "base"), c)
+    known = seen.select("unitig", "read_id", "pos", "base").join(snps.groupBy("unitig", "pos").agg(F.min("ref").alias("ref")), ["unitig", "pos"])
+    found = clustering.phase(kept.select("unitig", "read_id", "s", "e", "length"), known, c)
     number = F.dense_rank().over(Window.partitionBy("unitig").orderBy("cluster"))
     numbers = found.where("cluster IS NOT NULL").select("unitig", "cluster").distinct().withColumn("number", number.cast("long"))
     numbered = found.join(numbers, ["unitig", "cluster"], "left").select("unitig", "read_id", F.col("number").alias("cluster"))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from haploom.functions.align import align, score
-from haploom.operators.clustering import cluster_reads
+from haploom.operators.clustering import cluster_reads, communities, twin_groups, unbranched
 from haploom.plans.config import Config
 
 
@@ -23,6 +23,53 @@ def test_two_haplotypes_come_apart():
     assert len(set(zip(found.tolist(), truth, strict=True))) == len(set(found.tolist())) == 2
 
 
+def test_long_haplotypes_are_put_together():
+    # reads reach a fifth of the unitig; each haplotype differs from the reference at two sites of three
+    rng = random.Random(9)
+    pos = np.arange(150, 20000, 300)
+    haps = np.array([[b"ACG"[(j + h) % 3] for j in range(len(pos))] for h in range(3)], np.int8)
+    ref = np.full(len(pos), ord("A"))
+    truth, rows, s, e = [], [], [], []
+    for k in range(180):
+        start = rng.randrange(0, 16000)
+        truth.append(k % 3)
+        rows.append(np.where((pos > start) & (pos <= start + 4000), haps[k % 3], 0))
+        s.append(start)
+        e.append(start + 4000)
+    found = cluster_reads(np.array(rows, np.int8), np.array(s), np.array(e), Config(), pos, ref, 20000)
+    kept = [(f, t) for f, t in zip(found.tolist(), truth, strict=True) if f >= 0]
+    assert len(kept) >= 150
+    of = {}
+    for f, t in kept:
+        of.setdefault(f, set()).add(t)
+    assert all(len(t) == 1 for t in of.values()) and len(of) < 12
+
+
+def test_reads_without_communities_are_one_cluster():
+    bases = np.array([[65, 67]] * 3 + [[67, 65]] * 3 + [[0, 0]] * 2, np.int8)
+    found = cluster_reads(bases, np.zeros(8, int), np.full(8, 3000), Config())
+    assert (found == 0).all()
+    assert (cluster_reads(bases[:5], np.zeros(5, int), np.full(5, 3000), Config()) == -1).all()
+    assert (cluster_reads(np.zeros((7, 2), np.int8), np.zeros(7, int), np.full(7, 3000), Config()) == -1).all()
+
+
+def _matrix(n, edges):
+    out = np.zeros((n, n), bool)
+    for a, b in edges:
+        out[a, b] = True
+    return out
+
+
+def test_graph_steps_of_clusters():
+    cliques = _matrix(7, [(a, b) for g in ((0, 1, 2, 3), (4, 5, 6)) for a in g for b in g if a != b] + [(3, 4), (4, 3)])
+    assert sorted(map(list, communities(cliques))) == [[0, 1, 2, 3], [4, 5, 6]]
+    # 0 -> 2 goes along 0 -> 1 -> 2; 2 forks
+    kept = unbranched(_matrix(5, [(0, 1), (1, 2), (0, 2), (2, 3), (2, 4)]))
+    assert {tuple(map(int, x)) for x in np.argwhere(kept)} == {(0, 1), (1, 2)}
+    linked = _matrix(4, [(0, 1), (1, 2), (0, 2), (2, 3)])
+    assert sorted(map(list, twin_groups(linked | linked.T))) == [[0, 1], [2], [3]]
+
+
 def test_alignment_is_cheapest():
     rng = random.Random(8)
     for _ in range(60):
