@@ -557,6 +557,7 @@ SELECT x.unitig, x.cluster, md5(concat(substr(seq, 1, CAST(first AS INTEGER)), r
 def child_segments(spark, d):
     ext = alleles.extent(_clusters(spark, d), ["unitig", "cluster"]).where("n_reads > 1 AND last > first")
     seq = F.substring(F.repeat(F.lit("ACGTTGCAGGTC"), F.lit(1000)), F.lit(1), F.col("length").cast("int"))
-    rows = ext.join(unitigs(spark, d).select("unitig", seq.alias("seq")), "unitig")
+    # sequences are made after the join: by their size nobody could tell that they are too long to be broadcast
+    rows = ext.join(unitigs(spark, d).select("unitig", "length"), "unitig").withColumn("seq", seq)
     first, n = F.col("first").cast("int"), (F.col("last") - F.col("first")).cast("int")
     return rows.select("unitig", "cluster", F.md5(F.concat(F.substring("seq", F.lit(1), first), F.reverse(F.substring("seq", first + 1, n)))).alias("child"))

@@ -67,3 +67,15 @@ def test_label_propagation_goes_on_until_nothing_changes(spark):
 def test_phased_clusters(spark):
     rows = QUERIES["phased_clusters"](spark, SF).collect()
     assert rows and all(r["n_reads"] >= 6 and r["last"] > r["first"] for r in rows)
+
+
+def test_child_segments_joins_no_sequences(spark):
+    """A sequence of thousands of letters counts as 20 bytes when Spark decides on a broadcast, so joins carry lengths alone."""
+
+    def joined(plan):
+        children = [plan.children().apply(i) for i in range(plan.children().size())]
+        here = [c.output().mkString(",") for c in children] if "Join" in plan.nodeName() else []
+        return here + [x for c in children for x in joined(c)]
+
+    sides = joined(QUERIES["child_segments"](spark, SF)._jdf.queryExecution().optimizedPlan())
+    assert sides and not any("seq" in side for side in sides)
