@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haploom.plans.checkpoints import cut, shared_folder
+from haploom.plans.checkpoints import cut, delete, remove, shared_folder, stored
 
-__all__ = ["BLANKS", "LOWER", "UPPER", "cut", "delete", "let", "literal_rows", "shared_folder", "shuffle_partitions", "stored", "table", "word_count", "words_of"]
+__all__ = ["BLANKS", "LOWER", "UPPER", "cut", "delete", "let", "literal_rows", "remove", "shared_folder", "shuffle_partitions", "stored", "table", "word_count", "words_of"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -47,22 +45,3 @@ def literal_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> Da
     """A small constant table made inside the plan, without Python workers."""
     structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the shared folder; ``delete`` removes it when it has been used."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def delete(df: DataFrame) -> None:
-    """Remove the folders of a stored table."""
-    remove(df.sparkSession, *{f.rsplit("/", 1)[0] for f in df.inputFiles()})
-
-
-def remove(spark: SparkSession, *folders: str) -> None:
-    """Delete folders by Hadoop's file systems, wherever they are."""
-    for folder in folders:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

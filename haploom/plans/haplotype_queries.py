@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from haploom.functions import sequence as fn
 from haploom.operators import alleles, coverage, distances, haplotypes, pileup
-from haploom.plans.checkpoints import cut
+from haploom.plans.checkpoints import cut, dealt_once, release
 from haploom.plans.projection import alignments, links, table, unitigs
 from haploom.plans.queries import _CHAIN, _CL, _UNITIGS, C, ORACLES, _clusters, _consensus, query
 
@@ -36,7 +36,8 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
     ext = alleles.extent(cl, key).where("n_reads > 1 AND last > first")
     tails = coverage.strong_tails(cl, key, C.end_gap, C.tip_reads).drop("spans")
     at = ext.join(tails, key).join(unitigs(spark, d).select("unitig", "length"), "unitig")
-    return cut(haplotypes.roles(at, C.end_gap).withColumn("node", F.col("unitig") * 10 + F.col("cluster")))
+    with dealt_once(spark):
+        return cut(haplotypes.roles(at, C.end_gap).withColumn("node", F.col("unitig") * 10 + F.col("cluster")))
 
 
 def _edges(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
@@ -45,6 +46,11 @@ def _edges(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
     near = distances.cluster_distances(ext, cons, C.min_overlap).where(F.col("d") <= NEAR)
     known = nodes.select("node")
     e = near.select((F.col("unitig") * 10 + F.col("a")).alias("src"), (F.col("unitig") * 10 + F.col("b")).alias("dst"))
+    release(spark)
+    with dealt_once(spark):
+        e = cut(e)  # few are near; the tables that they come from aren't needed any more
+    del ext, cons, near
+    release(spark)
     return cut(e.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi"))
 
 

@@ -91,3 +91,34 @@ def test_score_counts_sites_and_inner_gaps():
     assert score("ACGTACGTAC", "ACCTACGTAC", "||.|||||||", 100, {103}) == 0
     assert score("AC------GT", "ACTTTTTTGT", "||------||", 0, set()) == 6
     assert score("------ACGT", "TTTTTTACGT", "------||||", 0, set()) == 0
+
+
+def test_components_within_groups(spark, monkeypatch):
+    """Groups in one task, in pieces and beyond what a task holds give the same as the steps over all edges."""
+    import random
+
+    import pyarrow as pa
+
+    from haploom.operators import components as parts
+
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(60 * k), rng.randrange(60 * k)) for k in range(1, 9) for _ in range(50 * k)] + [(None, 1, 2), (3, None, 1), (4, 7, 7)]
+    e = spark.createDataFrame(rows, "unitig long, a long, b long")
+    from pyspark.sql import functions as F
+
+    key = lambda c: F.struct("unitig", F.col(c).alias("n"))
+    want = {(r[0], r[1], r[2]) for r in parts.components(e.where("unitig IS NOT NULL AND a <> b").select(key("a").alias("a"), key("b").alias("b"))).select("node.unitig", "node.n", "component.n").collect()}
+    got = parts.components_within(e, "unitig").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+    # the same in one process, with room for a few edges: large groups come as edges that aren't whole
+    edges = sorted((k, a, b) for k, a, b in rows if None not in (k, a, b) and a != b)
+    for held in (1, 7, 40, 300, 10_000):
+        monkeypatch.setattr(parts, "_HELD", held)
+        batches = [pa.RecordBatch.from_pydict({n: [r[i] for r in edges[at : at + 9]] for i, n in enumerate(("key", "node", "root"))}) for at in range(0, len(edges), 9)]
+        out = [r for b in parts._joined(iter(batches)) for r in b.to_pylist()]
+        whole = {(r["key"], r["node"], r["root"]) for r in out if r["whole"]}
+        open_keys = {r["key"] for r in out if not r["whole"]}
+        assert whole == {w for w in want if w[0] not in open_keys} and not open_keys & {w[0] for w in whole}
+        late = parts._forest(*(np.array([r[c] for r in out if not r["whole"]], np.int64) for c in ("key", "node", "root")))
+        assert set(zip(*map(list, late), strict=True)) == {w for w in want if w[0] in open_keys}

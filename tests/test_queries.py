@@ -79,3 +79,17 @@ def test_child_segments_joins_no_sequences(spark):
 
     sides = joined(QUERIES["child_segments"](spark, SF)._jdf.queryExecution().optimizedPlan())
     assert sides and not any("seq" in side for side in sides)
+
+
+def test_distances_deal_the_reads_once(spark):
+    """Reads, observations and sites are dealt by unitig alone, so that nothing but the alignments is written for a shuffle."""
+    import re
+
+    from haploom.plans import queries
+    from haploom.plans.checkpoints import dealt_once
+
+    with dealt_once(spark):
+        plan = queries._distances(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+    assert keys and not any("," in key for key in keys)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
