@@ -93,3 +93,19 @@ def test_distances_deal_the_reads_once(spark):
     keys = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
     assert keys and not any("," in key for key in keys)
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_cluster_edges_are_made_where_reads_lie(spark):
+    """What the overlap graph's edges come from joins by unitig and position, and by unitig and read, without another shuffle."""
+    import re
+
+    from haploom.operators import alleles, distances
+    from haploom.plans import queries
+    from haploom.plans.checkpoints import dealt_once
+
+    with dealt_once(spark):
+        ext = alleles.extent(queries._clusters(spark, SF), ["unitig", "cluster"]).where("n_reads > 1")
+        cons = queries._consensus(spark, SF).where("alt_flag").select("unitig", "cluster", "pos", "base")
+        plan = distances.cluster_distances(ext, cons, queries.C.min_overlap)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+    assert keys and not any("," in key for key in keys)
