@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haploom.plans.checkpoints import cut, delete, remove, shared_folder, stored
+from haploom.plans.checkpoints import cut, delete, release, remove, shared_folder, stored
 
-__all__ = ["BLANKS", "LOWER", "UPPER", "cut", "delete", "let", "literal_rows", "remove", "shared_folder", "shuffle_partitions", "stored", "table", "word_count", "words_of"]
+__all__ = ["BLANKS", "LOWER", "UPPER", "cut", "delete", "let", "literal_rows", "release", "remove", "shared_folder", "shuffle_partitions", "stored", "table", "word_count", "words_of"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"

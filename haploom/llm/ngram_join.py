@@ -10,10 +10,15 @@
 3. Equal sets are one node from here on. Nodes that share such a shingle and
    whose sizes allow the similarity are chained: per shingle, sorted by size,
    neighbours belong to one run if the smaller is at least t times the larger,
-   and every node gets an edge to the first of its run. That is one edge per
-   posting, not one per pair, and it connects every candidate pair in a few
-   steps. Connected components of these edges are the blocks of the matrix.
-4. Only the documents in blocks are read again. In each block the overlap
+   and every node of a run of more than ``PAIRED`` gets an edge to its first
+   one. In a smaller run nodes are compared by their profiles, numbers of
+   shingles in ``BUCKETS`` classes modulo 16: these differ by no more than the
+   sets do, so a pair whose profiles are too far apart has no link. That keeps
+   blocks small where the table is full and rare shingles can't be told from
+   those that a few documents share. Connected components of the edges are
+   the blocks of the matrix.
+4. Only the documents in blocks are read again, found by a bitmap before they
+   are dealt, and go to their blocks as texts. In each block the overlap
    counts are accumulated: shingles that few documents share by adding up
    their pairs, the others by products of dense column slices; pairs below
    the bound that their sizes give are discarded. Large blocks are cut into
@@ -42,7 +47,8 @@ from pyspark.sql import functions as F
 
 from haploom.operators.components import components
 
-from .common import cut, shuffle_partitions
+from .common import cut, delete, release, shuffle_partitions, stored
+from .line_dedup import _marks, _sifted
 
 SKETCH_BITS = 24
 _CHUNK_BITS = 18
@@ -51,6 +57,12 @@ _MOST = (1 << 32) - 1
 SPAN = 1 << 20
 #: A tile holds at most so many documents and about so many shingles.
 TILE_DOCS, TILE_SHINGLES = 1024, 1 << 21
+#: Nodes of a run up to which their pairs are compared by profiles; of a task's nodes of equal shingle and size so many go on.
+PAIRED, ALIKE = 64, 8
+#: Classes of shingles whose numbers are a set's profile, of four bits each.
+BUCKETS = 48
+#: Rows of one shingle that a task holds.
+_HELD = 1 << 14
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -222,79 +234,153 @@ def _digest(s: np.ndarray) -> int:
     return int(_signed(_mix(np.array([h.sum(dtype=np.uint64)]) + np.uint64(len(s))))[0])
 
 
+def _profile(s: np.ndarray) -> np.ndarray:
+    """Numbers of a set's shingles in each class, modulo 16, sixteen to a word."""
+    at = ((s >> np.uint64(32)) * np.uint64(BUCKETS)) >> np.uint64(32)
+    nibbles = np.bincount(at.astype(np.int64), minlength=BUCKETS).astype(np.uint8) & 15
+    return (nibbles[0::2] | nibbles[1::2] << 4).view(np.int64)
+
+
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By how many shingles the sets of profiles (rows of words) differ at least."""
+    apart = np.zeros(len(x), np.int64)
+    a, b = (np.ascontiguousarray(p).view(np.uint8) for p in (x, y))
+    for shift in (0, 4):
+        gap = (a >> shift & 15) - (b >> shift & 15) & 15
+        apart += np.minimum(gap, 16 - gap).sum(1, dtype=np.int64)
+    return apart
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(_signed(np.concatenate(parts)) if parts else np.empty(0, np.int64), pa.int64()))
 
 
 def _signatures(docs: DataFrame, table, size: int, up: int, down: int) -> DataFrame:
-    """doc_id, t, n, d (digest, null for the empty set), prefix (the first shingles by rank); ``docs`` has doc_id, t and text."""
+    """doc_id, t, n, d (digest, null for the empty set), profile, prefix (the first shingles by rank); ``docs`` has doc_id, t and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(table.value, np.uint16)
         for batch in batches:
-            n, d, prefix = [], [], []
+            n, d, profile, prefix = [], [], [], []
             for s in text_sets(batch.column(2), size):
                 n.append(len(s))
                 d.append(_digest(s) if len(s) else None)
+                profile.append(_profile(s).tobytes())
                 keep = len(s) - (up * len(s) + down - 1) // down + 1 if len(s) else 0
                 rank = counts[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
                 prefix.append(s[np.argsort(rank, kind="stable")[:keep]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d, pa.int64()), _lists(prefix)], ["doc_id", "t", "n", "d", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(profile, pa.binary()), _lists(prefix)], ["doc_id", "t", "n", "d", "profile", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, t long, n long, d long, prefix array<bigint>")
+    return docs.mapInArrow(run, "doc_id long, t long, n long, d long, profile binary, prefix array<bigint>")
 
 
 def _chain(postings: DataFrame, up: int, down: int) -> DataFrame:
-    """Edges (a, b) between nodes that share a posting's shingle: one per posting at most.
+    """Edges (a, b) between nodes that share a posting's shingle and may be linked, or that join such nodes.
 
-    ``postings`` has d, n, prefix. A task first chains its own nodes of equal
-    shingle and size and hands one of them on, so a shingle that very many
-    nodes share costs as many rows as there are tasks and sizes.
+    ``postings`` has d, n, profile, prefix. Of more than ``ALIKE`` nodes of
+    equal shingle and size a task hands on one and joins the others to it, so a
+    shingle that very many nodes share costs as many rows as there are tasks
+    and sizes; such a node (of kind 2) stands for others, so nothing in its run
+    is told by profiles.
     """
+    words = BUCKETS // 16
+    names = ["token", "n", "d", "e", "kind", *[f"p{k}" for k in range(words)]]
+
+    def rows(token: np.ndarray, n: np.ndarray, d: np.ndarray, e: np.ndarray, kind: np.ndarray, profile: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(n), pa.array(d), pa.array(e), pa.array(kind.astype(np.int8)), *[pa.array(np.ascontiguousarray(profile[:, k])) for k in range(words)]], names)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             d, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            prefix = batch.column(2)
-            lengths = np.diff(np.asarray(prefix.offsets))
-            token = np.asarray(prefix.flatten())
-            d, n = np.repeat(d, lengths), np.repeat(n, lengths)
-            order = np.lexsort((d, n, token))
-            token, n, d = token[order], n[order], d[order]
-            same = np.zeros(len(token), bool)
-            same[1:] = (token[1:] == token[:-1]) & (n[1:] == n[:-1])
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(token)))) if len(token) else np.empty(0, np.int64)
-            at = np.flatnonzero(d[head] != d)
-            pairs = np.unique(np.stack([d[head[at]], d[at]], 1), axis=0) if len(at) else np.empty((0, 2), np.int64)
-            kept = np.flatnonzero(~same)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([token[kept], pairs[:, 0] ^ pairs[:, 1]])), pa.array(np.concatenate([n[kept], np.zeros(len(pairs), np.int64)])), pa.array(np.concatenate([d[kept], pairs[:, 0]])), pa.array(np.concatenate([np.zeros(len(kept), np.int64), pairs[:, 1]])), pa.array(np.concatenate([np.zeros(len(kept), np.int8), np.ones(len(pairs), np.int8)]))],
-                ["token", "n", "d", "e", "kind"],
-            )
+            profile = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64).reshape(-1, words)
+            lists = batch.column(3)
+            at = np.repeat(np.arange(len(d)), np.diff(np.asarray(lists.offsets)))
+            token = np.asarray(lists.flatten())
+            order = np.lexsort((d[at], n[at], token))
+            token, at = token[order], at[order]
+            n_at, d_at = n[at], d[at]
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (n_at[1:] != n_at[:-1])
+            other = new.copy()
+            other[1:] |= d_at[1:] != d_at[:-1]
+            token, at, n_at, d_at, new = token[other], at[other], n_at[other], d_at[other], new[other]
+            starts = np.flatnonzero(new)
+            sizes = np.diff(starts, append=len(token))
+            head, crowd = np.repeat(starts, sizes), np.repeat(sizes > ALIKE, sizes)
+            joined = crowd & ~new
+            on = np.flatnonzero(~joined)
+            yield rows(token[on], n_at[on], d_at[on], np.zeros(len(on), np.int64), np.where(crowd[on], 2, 0), profile[at[on]])
+            pairs = np.unique(np.stack([d_at[head[joined]], d_at[joined]], 1), axis=0)
+            if len(pairs):
+                none = np.zeros(len(pairs), np.int64)
+                yield rows(pairs[:, 0] ^ pairs[:, 1], none, pairs[:, 0], pairs[:, 1], none + 1, np.zeros((len(pairs), words), np.int64))
+
+    def joined(token: np.ndarray, n: np.ndarray, d: np.ndarray, kind: np.ndarray, profile: np.ndarray, star: int | None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ends of the edges of sorted rows, and the head of the last run; runs of the shingle ``star`` get edges to their first node whatever their length."""
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (down * n[:-1] < up * n[1:])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(starts, append=len(token))
+        run, head = np.repeat(np.arange(len(starts)), sizes), np.repeat(starts, sizes)
+        many = np.repeat((sizes > PAIRED) | np.logical_or.reduceat(kind == 2, starts), sizes)
+        if star is not None:
+            many |= token == star
+        a, b = [d[head[many & ~new]]], [d[many & ~new]]
+        few = np.flatnonzero(~many)
+        for k in range(1, PAIRED):
+            few = few[few + k < len(token)]
+            few = few[run[few] == run[few + k]]
+            if not len(few):
+                break
+            close = few[down * n[few] >= up * n[few + k]]
+            close = close[(up + down) * _far(profile[close], profile[close + k]) <= (down - up) * (n[close] + n[close + k])]
+            a.append(d[close])
+            b.append(d[close + k])
+        return np.concatenate(a), np.concatenate(b), int(head[-1])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        held, star = None, None
+
+        def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
             kind, token, n, d, e = (np.asarray(batch.column(k)) for k in ("kind", "token", "n", "d", "e"))
-            edges = kind == 1
-            token, n, m = token[~edges], n[~edges], d[~edges]
-            if last is not None:
-                token, n, m = (np.concatenate([[x], y]) for x, y in zip(last, (token, n, m), strict=True))
-            near = (token[1:] == token[:-1]) & (down * n[:-1] >= up * n[1:])
-            first = np.concatenate([[True], ~near]) if len(token) else np.empty(0, bool)
-            head = m[np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))] if len(token) else m
-            if len(token):
-                last = token[-1], n[-1], head[-1]  # the head stands for its whole run
-            a = np.concatenate([d[edges], head[head != m]])
-            b = np.concatenate([e[edges], m[head != m]])
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    rows = postings.mapInArrow(within, "token long, n long, d long, e long, kind byte")
-    dealt = rows.repartition(shuffle_partitions(postings.sparkSession), "token").sortWithinPartitions("token", "n", "d")
+            made = kind == 1
+            if made.any():
+                yield edges(d[made], e[made])
+            profile = np.stack([np.asarray(batch.column(f"p{k}")) for k in range(words)], 1)
+            part = tuple(c[~made] for c in (token, n, d, kind, profile))
+            if held is not None:
+                part = tuple(np.concatenate(x) for x in zip(held, part, strict=True))
+            token, n, d, kind, profile = part
+            if not len(token):
+                continue
+            other = np.ones(len(token), bool)
+            other[1:] = (token[1:] != token[:-1]) | (d[1:] != d[:-1]) | (kind[1:] == 2)
+            token, n, d, kind, profile = (c[other] for c in (token, n, d, kind, profile))
+            # the last shingle may go on in the next batch; what is held of it is bounded
+            before = np.flatnonzero(token != token[-1])
+            last = int(before[-1]) + 1 if len(before) else 0
+            if last:
+                a, b, _ = joined(token[:last], n[:last], d[:last], kind[:last], profile[:last], star)
+                yield edges(a, b)
+            held = tuple(c[last:] for c in (token, n, d, kind, profile))
+            if len(held[0]) > _HELD or star == token[-1]:
+                star = token[-1]
+                a, b, head = joined(*held, star)
+                yield edges(a, b)
+                # the head stands for its run, at the size that the run has reached
+                held = held[0][-1:], held[1][-1:], *(c[head : head + 1] for c in held[2:])
+        if held is not None and len(held[0]):
+            yield edges(*joined(*held, star)[:2])
+
+    dealt = postings.select("d", "n", "profile", "prefix").mapInArrow(within, "token long, n long, d long, e long, kind byte, " + ", ".join(f"p{k} long" for k in range(words)))
+    dealt = dealt.repartition(shuffle_partitions(postings.sparkSession), "token").sortWithinPartitions("token", "n", "d")
     return dealt.mapInArrow(across, "a long, b long")
 
 
@@ -390,12 +476,6 @@ def _links(docs: DataFrame, blocks: DataFrame, size: int, up: int, down: int) ->
     ``blocks`` has rep (id) and t of a row that has the set, d, cluster, own (its tile) and tiles (number of tiles).
     """
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(text_sets(batch.column(0), size))
-            same = pa.array([len(s) > 0 and _digest(s) == d for s, d in zip(found, batch.column(1).to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], _lists(found)], ["d", "cluster", "own", "tiles", "shingles"]).filter(same)
-
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, digests, found, sides = None, [], [], []
 
@@ -404,10 +484,11 @@ def _links(docs: DataFrame, blocks: DataFrame, size: int, up: int, down: int) ->
             return _tile_links([digests[k] for k in order], [found[k] for k in order], sum(1 for s in sides if s == 0) if max(sides) else 0, up, down)
 
         for batch in batches:
-            shingles = batch.column(batch.schema.get_field_index("shingles"))
-            offsets, flat = np.asarray(shingles.offsets), np.asarray(shingles.values).view(np.uint64)
+            texts = text_sets(batch.column(batch.schema.get_field_index("text")), size)
             a, b = [], []
-            for r, (c, i, j, d, own) in enumerate(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("cluster", "i", "j", "d", "own")), strict=True)):
+            for s, c, i, j, d, own in zip(texts, *(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("cluster", "i", "j", "d", "own")), strict=True):
+                if not len(s) or _digest(s) != d:  # another text of the same hash
+                    continue
                 if (c, i, j) != key:
                     if len(digests) > 1:
                         x, y = links()
@@ -416,17 +497,16 @@ def _links(docs: DataFrame, blocks: DataFrame, size: int, up: int, down: int) ->
                     key, digests, found, sides = (c, i, j), [], [], []
                 if not digests or digests[-1] != d:  # rows alike in id and text
                     digests.append(d)
-                    found.append(flat[offsets[r] : offsets[r + 1]].copy())
+                    found.append(s)
                     sides.append(int(own != i))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         if len(digests) > 1:
             a, b = links()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    chosen = docs.join(blocks, (docs["t"] == blocks["t"]) & docs["doc_id"].eqNullSafe(blocks["rep"])).select("text", "d", "cluster", "own", "tiles")
-    found = chosen.mapInArrow(sets, "d long, cluster long, own int, tiles int, shingles array<bigint>")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    tiled = found.withColumn("other", other).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "d", "own", "shingles")
+    some = _sifted(docs.withColumnRenamed("t", "h"), _marks(blocks.select(F.col("t").alias("h")))).where("hit")
+    chosen = some.join(blocks, (some["h"] == blocks["t"]) & some["doc_id"].eqNullSafe(blocks["rep"])).select("text", "d", "cluster", "own", "tiles")
+    tiled = chosen.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "d", "own", "text")
     dealt = tiled.repartition(shuffle_partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "d")
     return dealt.mapInArrow(tiles, "a long, b long")
 
@@ -438,10 +518,14 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "do
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("t"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(_sketch(docs.select("text"), size).tobytes())
-    signed = cut(_signatures(docs, table, size, up, down))
-    some = signed.where("n > 0")
-    edges = _chain(some.select("d", "n", "prefix"), up, down)
+    prefixes = stored(_signatures(docs, table, size, up, down))
+    edges = _chain(prefixes.where("n > 0"), up, down)
     clusters = components(edges).select(F.col("node").alias("d"), F.col("component").alias("cluster"))
+    signed = cut(prefixes.select("doc_id", "t", "n", "d"))
+    delete(prefixes)
+    del edges
+    release(spark)
+    some = signed.where("n > 0")
     # one row that has the set stands for it
     nodes = some.join(clusters, "d").groupBy("d", "cluster").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("r"), F.max("n").alias("n"))
     nodes = cut(nodes.select("d", "cluster", F.col("r.doc_id").alias("rep"), F.col("r.t").alias("t"), "n"))
