@@ -12,7 +12,7 @@
    neighbours belong to one run if the smaller is at least t times the larger,
    and every node of a run of more than ``PAIRED`` gets an edge to its first
    one. In a smaller run nodes are compared by their profiles, numbers of
-   shingles in ``BUCKETS`` classes modulo 16: these differ by no more than the
+   shingles in a few classes modulo 16: these differ by no more than the
    sets do, so a pair whose profiles are too far apart has no link. That keeps
    blocks small where the table is full and rare shingles can't be told from
    those that a few documents share. Connected components of the edges are
@@ -59,8 +59,8 @@ SPAN = 1 << 20
 TILE_DOCS, TILE_SHINGLES = 1024, 1 << 21
 #: Nodes of a run up to which their pairs are compared by profiles; of a task's nodes of equal shingle and size so many go on.
 PAIRED, ALIKE = 64, 8
-#: Classes of shingles whose numbers are a set's profile, of four bits each.
-BUCKETS = 48
+#: Postings are dealt in so many rounds by their shingle, so that only a part of them is on disk at once.
+ROUNDS = 4
 #: Rows of one shingle that a task holds.
 _HELD = 1 << 14
 
@@ -234,10 +234,15 @@ def _digest(s: np.ndarray) -> int:
     return int(_signed(_mix(np.array([h.sum(dtype=np.uint64)]) + np.uint64(len(s))))[0])
 
 
-def _profile(s: np.ndarray) -> np.ndarray:
+def _words(up: int, down: int) -> int:
+    """Words of a profile, of sixteen classes each; the more sets may differ, the more classes tell them apart."""
+    return 3 if 10 * up >= 9 * down else 6
+
+
+def _profile(s: np.ndarray, words: int) -> np.ndarray:
     """Numbers of a set's shingles in each class, modulo 16, sixteen to a word."""
-    at = ((s >> np.uint64(32)) * np.uint64(BUCKETS)) >> np.uint64(32)
-    nibbles = np.bincount(at.astype(np.int64), minlength=BUCKETS).astype(np.uint8) & 15
+    at = ((s >> np.uint64(32)) * np.uint64(16 * words)) >> np.uint64(32)
+    nibbles = np.bincount(at.astype(np.int64), minlength=16 * words).astype(np.uint8) & 15
     return (nibbles[0::2] | nibbles[1::2] << 4).view(np.int64)
 
 
@@ -259,6 +264,8 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def _signatures(docs: DataFrame, table, size: int, up: int, down: int) -> DataFrame:
     """doc_id, t, n, d (digest, null for the empty set), profile, prefix (the first shingles by rank); ``docs`` has doc_id, t and text."""
 
+    words = _words(up, down)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(table.value, np.uint16)
         for batch in batches:
@@ -266,7 +273,7 @@ def _signatures(docs: DataFrame, table, size: int, up: int, down: int) -> DataFr
             for s in text_sets(batch.column(2), size):
                 n.append(len(s))
                 d.append(_digest(s) if len(s) else None)
-                profile.append(_profile(s).tobytes())
+                profile.append(_profile(s, words).tobytes())
                 keep = len(s) - (up * len(s) + down - 1) // down + 1 if len(s) else 0
                 rank = counts[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
                 prefix.append(s[np.argsort(rank, kind="stable")[:keep]])
@@ -275,16 +282,17 @@ def _signatures(docs: DataFrame, table, size: int, up: int, down: int) -> DataFr
     return docs.mapInArrow(run, "doc_id long, t long, n long, d long, profile binary, prefix array<bigint>")
 
 
-def _chain(postings: DataFrame, up: int, down: int) -> DataFrame:
+def _chain(postings: DataFrame, up: int, down: int, part: int = 0, parts: int = 1) -> DataFrame:
     """Edges (a, b) between nodes that share a posting's shingle and may be linked, or that join such nodes.
 
-    ``postings`` has d, n, profile, prefix. Of more than ``ALIKE`` nodes of
+    ``postings`` has d, n, profile, prefix; only shingles that leave ``part``
+    by ``parts`` are taken. Of more than ``ALIKE`` nodes of
     equal shingle and size a task hands on one and joins the others to it, so a
     shingle that very many nodes share costs as many rows as there are tasks
     and sizes; such a node (of kind 2) stands for others, so nothing in its run
     is told by profiles.
     """
-    words = BUCKETS // 16
+    words = _words(up, down)
     names = ["token", "n", "d", "e", "kind", *[f"p{k}" for k in range(words)]]
 
     def rows(token: np.ndarray, n: np.ndarray, d: np.ndarray, e: np.ndarray, kind: np.ndarray, profile: np.ndarray) -> pa.RecordBatch:
@@ -299,6 +307,10 @@ def _chain(postings: DataFrame, up: int, down: int) -> DataFrame:
             lists = batch.column(3)
             at = np.repeat(np.arange(len(d)), np.diff(np.asarray(lists.offsets)))
             token = np.asarray(lists.flatten())
+            mine = np.flatnonzero(token % parts == part)
+            token, at = token[mine], at[mine]
+            if not len(token):
+                continue
             order = np.lexsort((d[at], n[at], token))
             token, at = token[order], at[order]
             n_at, d_at = n[at], d[at]
@@ -519,11 +531,15 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "do
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(_sketch(docs.select("text"), size).tobytes())
     prefixes = stored(_signatures(docs, table, size, up, down))
-    edges = _chain(prefixes.where("n > 0"), up, down)
+    edges = None
+    for part in range(ROUNDS):
+        found = cut(_chain(prefixes.where("n > 0"), up, down, part, ROUNDS).distinct())
+        release(spark)  # the postings of this round
+        edges = found if edges is None else edges.union(found)
     clusters = components(edges).select(F.col("node").alias("d"), F.col("component").alias("cluster"))
     signed = cut(prefixes.select("doc_id", "t", "n", "d"))
     delete(prefixes)
-    del edges
+    del edges, found
     release(spark)
     some = signed.where("n > 0")
     # one row that has the set stands for it
