@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from haploom.functions import sequence as fn
 from haploom.operators import alleles, coverage, distances, haplotypes, pileup
 from haploom.plans.checkpoints import cut, dealt_once, release
-from haploom.plans.projection import alignments, links, table, unitigs
+from haploom.plans.projection import WHOLE, Part, alignments, by_parts, links, table, unitigs
 from haploom.plans.queries import _CHAIN, _CL, _UNITIGS, C, ORACLES, _clusters, _consensus, query
 
 #: Two clusters of a unitig are neighbours up to this distance; the projected haplotypes are never alike.
@@ -31,8 +31,8 @@ bad AS (SELECT DISTINCT path FROM (SELECT path, unnest(range(1,len(path)+1)) AS
 paths AS (SELECT path FROM walk ANTI JOIN bad USING (path) WHERE path[-1] IN (SELECT node FROM alive WHERE leaf))"""
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    cl, key = _clusters(spark, d), ["unitig", "cluster"]
+def _nodes(spark: SparkSession, d: str, part: Part = WHOLE) -> DataFrame:
+    cl, key = _clusters(spark, d, part), ["unitig", "cluster"]
     ext = alleles.extent(cl, key).where("n_reads > 1 AND last > first")
     tails = coverage.strong_tails(cl, key, C.end_gap, C.tip_reads).drop("spans")
     at = ext.join(tails, key).join(unitigs(spark, d).select("unitig", "length"), "unitig")
@@ -40,9 +40,9 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
         return cut(haplotypes.roles(at, C.end_gap).withColumn("node", F.col("unitig") * 10 + F.col("cluster")))
 
 
-def _edges(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
-    ext = alleles.extent(_clusters(spark, d), ["unitig", "cluster"]).where("n_reads > 1")
-    cons = _consensus(spark, d).where("alt_flag").select("unitig", "cluster", "pos", "base")
+def _edges(spark: SparkSession, d: str, nodes: DataFrame, part: Part) -> DataFrame:
+    ext = alleles.extent(_clusters(spark, d, part), ["unitig", "cluster"]).where("n_reads > 1")
+    cons = _consensus(spark, d, part).where("alt_flag").select("unitig", "cluster", "pos", "base")
     near = distances.cluster_distances(ext, cons, C.min_overlap).where(F.col("d") <= NEAR)
     known = nodes.select("node")
     e = near.select((F.col("unitig") * 10 + F.col("a")).alias("src"), (F.col("unitig") * 10 + F.col("b")).alias("dst"))
@@ -56,8 +56,12 @@ def _edges(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
 
 def _overlap_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, nodes left, all nodes)."""
-    nodes = _nodes(spark, d)
-    return *haplotypes.overlap_graph(_edges(spark, d, nodes), nodes), nodes
+
+    def made(part: Part) -> tuple[DataFrame, DataFrame, DataFrame]:
+        nodes = _nodes(spark, d, part)
+        return *haplotypes.overlap_graph(_edges(spark, d, nodes, part), nodes), nodes
+
+    return by_parts(spark, d, made)
 
 
 @query(f'WITH {_CL}, {_ROLES} SELECT unitig, cluster, first, last, single, "full", root, leaf FROM roles')
