@@ -61,6 +61,8 @@ HOT, REFINED = 256, 3
 _LETTERS = "ent"
 #: Further letters, for thresholds that grow.
 _MORE = "aisrould"
+#: Letters of the profiles of a line's parts.
+_PROFILE = "etanoirsuldhcgmbpfwk.,ETASI"
 #: How far into a segment a blank is looked for.
 _SLACK = 10
 
@@ -342,50 +344,135 @@ def links(distinct: DataFrame, threshold: int | None) -> DataFrame:
 
 
 def signed(lines: DataFrame, threshold: int | None) -> DataFrame:
-    """``lines`` (h, g, line, times) with their sign, letters and keys, as ``classes`` takes them."""
-    begun = _banded(lines.select("*", F.lit(0).cast("long").alias("prefix"), F.col("line").alias("rest")), threshold)
-    return begun.select("h", "g", "line", "times", _sign(F.col("line")).alias("sign"), _letters(F.col("line"), _MORE).alias("letters"), _keys_of(False).alias("keys"))
+    """``lines`` (h, g, line, times) as ``classes`` takes them, which finds their keys itself."""
+    return lines.select("h", "g", "line", "times")
+
+
+def _profile(part: Column) -> list[Column]:
+    """Numbers of the occurrences of some letters and of all other characters, as seven bytes of each word; each counts modulo 128."""
+    counts = [F.octet_length(part) - F.octet_length(F.replace(part, F.lit(x), F.lit(""))) for x in _PROFILE]
+    rest = F.length(part) - sum(counts[1:], counts[0])
+    fields = [c.bitwiseAND(F.lit(127)).cast("long") for c in [*counts, rest]]
+    words = []
+    for seven in (fields[at : at + 7] for at in range(0, len(fields), 7)):
+        word = seven[0]
+        for k, c in enumerate(seven[1:], 1):
+            word = word.bitwiseOR(F.shiftleft(c, 8 * k))
+        words.append(word)
+    return words
+
+
+def _profiles(side: str) -> list[str]:
+    """Names of the words of the profile of what is before (l) or after (r) a key's place."""
+    return [f"{side}{k}" for k in range((len(_PROFILE) + 7) // 7)]
+
+
+def _bytes(value: int) -> Column:
+    """A word of seven bytes of that value."""
+    return F.lit(sum(value << 8 * k for k in range(7))).cast("long")
+
+
+def _gaps(x: Column, y: Column) -> Column:
+    """The differences of the seven bytes of two words, without their signs, as sums of two in 16 bits each."""
+    moved = x.bitwiseOR(_bytes(128)) - y
+    below = F.shiftright(moved, 6).bitwiseAND(_bytes(1))
+    gap = moved.bitwiseAND(_bytes(127)).bitwiseXOR(F.shiftleft(below, 7) - below) + below
+    even = F.lit(0x00FF00FF00FF00FF).cast("long")
+    return gap.bitwiseAND(even) + F.shiftright(gap, 8).bitwiseAND(even)
+
+
+def _meets(other: str) -> Column:
+    """Whether two lines of a key may be within the threshold, by what stands before its place in them and from there on.
+
+    Of two lines within t edits, take the first segment of a side, number i from
+    the line's end there, that is unchanged and has i edits at most between it
+    and that end. Each one before it adds an edit at least, so these are i, and
+    t - i at most are left for the other part. If no side had such a segment,
+    there would be more than t edits. An edit changes two letters' numbers by
+    one, or one of them and the length. Lines whose first segments are equal
+    meet for these, and those whose last ones are equal not for inner ones.
+    """
+    mine, its = F.col, lambda c: F.col(c + other)
+    limit = allowed(F.least(mine("n"), its("n")))
+    outer = F.when(mine("number") >= 0, mine("number")).otherwise(-1 - mine("number"))
+    sides = []
+    for side, at_end in (("l", False), ("r", True)):
+        words = [_gaps(mine(c), its(c)) for c in _profiles(side)]
+        apart = sum(words[1:], words[0]) % 65535  # the sum of the 16 bits
+        moved = F.abs(mine("before") - its("before") if not at_end else mine("n") - mine("before") - its("n") + its("before"))
+        edits = F.when((mine("number") < 0) == F.lit(at_end), outer).otherwise(limit - outer)
+        sides.append(apart + moved <= 2 * edits)
+    again = (mine("number") != 0) & (mine("begin") == its("begin")) | (mine("number") < -1) & (mine("end") == its("end"))
+    return (F.abs(mine("n") - its("n")) <= limit) & ~again & sides[0] & sides[1]
+
+
+def _places(lines: DataFrame, *more: str) -> DataFrame:
+    """h, number, size, key, before: a row for each key of ``lines`` (h, line) by length, with the size of segments and how many characters stand before its place.
+
+    The keys are those of ``_keys``, found in rows, which are compiled, instead of arrays.
+    """
+    banded = _banded(lines.select("h", *more, F.col("line").alias("rest")), BY_LENGTH).withColumn("n", F.length("rest"))
+    bands = F.when(F.col("below.low") < F.col("own.low"), F.array("own", "below")).otherwise(F.array("own"))
+    each = banded.select("h", *more, "rest", "n", F.inline(bands)).withColumn("size", (F.col("low") / (F.col("t") + 1)).cast("int"))
+    each = each.withColumn("slack", F.least(F.lit(_SLACK), (F.col("size") / 4).cast("int")))
+    each = each.select("*", F.explode(F.sequence(-1 - ((F.col("t") - 1) / 2).cast("int"), (F.col("t") / 2).cast("int"))).alias("number"))
+    left = F.col("number") >= 0
+    each = each.withColumn("i", F.when(left, F.col("number")).otherwise(-1 - F.col("number")))
+    each = each.withColumn("first", F.when(left, F.col("i") * F.col("size") - F.col("i") + 1).otherwise(F.col("n") - (F.col("i") + 1) * F.col("size") - F.col("i") + 1))
+    each = each.withColumn("s", F.expr("substring(rest, first, size + 2 * i)")).select("*", F.explode(F.sequence(F.lit(1), 2 * F.col("i") + 1)).alias("k"))
+    # a place before a blank that the next place has too gives the same key
+    each = each.where("k = 1 OR instr(substring(s, k - 1, slack + 1), ' ') <= 1")
+    each = each.withColumn("start", F.expr("if(i = 0, 1, k + greatest(instr(substring(s, k, slack + 1), ' ') - 1, 0))"))
+    text = F.expr("if(i = 0, s, substring(s, start, size - slack))")
+    key = F.xxhash64(F.lit(0).cast("long"), "low", "number", text)
+    return each.select("h", *more, "rest", "n", "number", "size", key.alias("key"), (F.col("first") + F.col("start") - 2).alias("before"))
 
 
 def classes(distinct: DataFrame, threshold: int | None) -> DataFrame:
-    """(node, component) of the lines that are linked, directly or through others; ``distinct`` has ``signed`` lines, each once.
+    """(node, component) of the lines that are linked by length, directly or through others; ``distinct`` has h, g, line and times of each line once.
 
     A family of versions of one line would meet in pairs under each key. So each
     line is first compared with the head of each of its keys, the line that
     stands most often, which is one row a line and key. Only keys whose lines
     aren't one class by then go on, and only lines of different classes meet in
-    them. Where more than ``HOT`` lines stand outside a key's largest class and
+    them, if the letters on both sides of the key allow the edits that there
+    may be; see ``_meets``. Where more than ``HOT`` lines stand outside a key's largest class and
     the threshold is at most ``REFINED``, they are split on by what is left of them.
     """
-    slim = distinct.select(F.explode("keys").alias("key"), "h")
-    often = cut(slim.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    sifted = _sifted(slim.select(F.col("key").alias("h"), F.col("h").alias("id")), _marks(often.withColumnRenamed("key", "h"))).where("hit")
-    shared = cut(sifted.select(F.col("h").alias("key"), F.col("id").alias("h")).join(often, "key", "left_semi").join(distinct.select("h", "sign", "letters", "times"), "h"))
+    often = cut(_places(distinct).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    placed = _places(distinct, "times").withColumnRenamed("h", "id").withColumnRenamed("key", "h")
+    sifted = _sifted(placed, _marks(often.withColumnRenamed("key", "h"))).where("hit").withColumnRenamed("h", "key").withColumnRenamed("id", "h")
+    before, after = F.expr("substring(rest, 1, before)"), F.expr("substring(rest, before + 1)")
+    sides = [c.alias(f"{side}{k}") for side, part in (("l", before), ("r", after)) for k, c in enumerate(_profile(part))]
+    ends = [F.xxhash64(F.expr(x)).alias(name) for name, x in (("begin", "substring(rest, 1, size)"), ("end", "substring(rest, n - size + 1, size)"))]
+    shared = cut(sifted.select("key", "h", "times", "n", "number", "before", *sides, *ends).join(often, "key", "left_semi"))
+    distinct = cut(_sifted(distinct, _marks(shared.select("h").distinct())).where("hit").drop("hit"))
     rank = F.shiftleft(F.least(F.col("times"), F.lit(32767)), 48).bitwiseOR(F.shiftrightunsigned("h", 16))
-    heads = shared.groupBy("key").agg(*[F.max_by(c, rank).alias(f"{c}_head") for c in ("h", "sign", "letters")])
-    near = _near(F.col("sign"), F.col("sign_head"), threshold, _apart(F.col("letters"), F.col("letters_head"), _MORE))
-    stars = cut(shared.join(heads, "key").where((F.col("h") != F.col("h_head")) & near).select(F.col("h_head").alias("a"), F.col("h").alias("b")).distinct())
+    carried = ["n", "number", "before", "begin", "end", *_profiles("l"), *_profiles("r")]
+    heads = shared.groupBy("key").agg(*[F.max_by(c, rank).alias(f"{c}_head") for c in ("h", *carried)])
+    stars = cut(shared.join(heads, "key").where((F.col("h") != F.col("h_head")) & _meets("_head")).select(F.col("h_head").alias("a"), F.col("h").alias("b")).distinct())
     known = cut(components(_verified(stars, distinct, threshold)))
     named = known.select(F.col("node.h").alias("h"), F.col("component.h").alias("class"))
-    classed = cut(shared.select("key", "h", "sign", "letters").join(named, "h", "left").withColumn("class", F.coalesce("class", "h")))
+    classed = cut(shared.drop("times").join(named, "h", "left").withColumn("class", F.coalesce("class", "h")))
     sizes = classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top")).where("n > top")
     still = cut(sizes.select("key", (F.col("n") - F.col("top") > HOT).alias("hot")))
-    carried = ["sign", "letters", "class"]
-    differ = _near(F.col("sign"), F.col("sign_b"), threshold, _apart(F.col("letters"), F.col("letters_b"), _MORE)) & (F.col("class") != F.col("class_b"))
+    apart = F.col("class") != F.col("class_b")
     open_keys, hot = classed.join(still, "key", "left_semi"), still.where("hot").select("key")
-    if hot.isEmpty():
-        pairs = _met(open_keys, carried, differ)
-    else:
+    pairs = None
+    if not hot.isEmpty():
         # the lines of hot keys, with their classes, and where the keys stand in them
         members = cut(classed.join(hot, "key", "left_semi").select("h", "class").distinct())
-        whole = distinct.join(members, "h").select(*_whole(*carried))
+        signs = (_sign(F.col("line")).alias("sign"), _letters(F.col("line"), _MORE).alias("letters"))
+        whole = distinct.join(members, "h").select(*_whole(*signs, "class"))
         few = _banded(whole, threshold).where(F.col("below.t") <= REFINED)
         split = cut(few.select("prefix", "h", "r", F.inline(_keys_of(True))).where((F.col("t") <= REFINED) & (F.col("size") > 0)).join(hot, "key", "left_semi"))
         refined = split.select("key").distinct()
-        pairs = cut(_met(open_keys.join(refined, "key", "left_anti"), carried, differ))
+        open_keys = open_keys.join(refined, "key", "left_anti")
         if not split.isEmpty():
-            pairs = pairs.union(_pairs(*_split_on(split, refined, whole), carried, differ)).distinct()
-    more = _verified(cut(pairs), distinct, threshold)
+            near = _near(F.col("sign"), F.col("sign_b"), threshold, _apart(F.col("letters"), F.col("letters_b"), _MORE))
+            pairs = _pairs(*_split_on(split, refined, whole), ["sign", "letters", "class"], near & apart)
+    met = _met(open_keys, [*carried, "class"], _meets("_b") & apart)
+    more = _verified(cut(met if pairs is None else met.union(pairs).distinct()), distinct, threshold)
     for end in "ab":
         mine = known.select(F.col("node").alias(end), "component")
         more = more.join(mine, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")

@@ -217,6 +217,23 @@ def test_line_classes_equal_those_of_all_links(spark, monkeypatch):
     assert line_dedup.classes(signed.where("false"), line_dedup.BY_LENGTH).count() == 0
 
 
+def test_line_versions_far_apart_are_not_paired(spark, monkeypatch):
+    # versions of a line that differ in several words meet under the segments that they share, but no pair is near
+    rng, seen, verified = random.Random(23), [], line_dedup._verified
+    odd = lambda: "".join(rng.choice("bfgkmpw") for _ in range(6))
+    base = ["".join(rng.choice("aeinorst") for _ in range(5)) for _ in range(60)]
+    lines = []
+    for _ in range(150):
+        version = list(base)
+        version[20:56:4] = [odd() for _ in range(9)]
+        lines.append(" ".join(version))
+    lines.append(lines[0].replace(base[30], base[30] + "x"))
+    df = spark.createDataFrame([(x, 1) for x in lines], "line string, times long").select(F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "line", "times")
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *more: seen.append(pairs.count()) or verified(pairs, *more))
+    assert line_dedup.classes(line_dedup.signed(df, line_dedup.BY_LENGTH), line_dedup.BY_LENGTH).count() == 2
+    assert 0 < sum(seen) < 2000 < 150 * 149 // 2
+
+
 def test_edges_without_lines():
     """Runs between the places that are dropped."""
     spark = SparkSession.getActiveSession()
