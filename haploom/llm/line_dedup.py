@@ -41,7 +41,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haploom.operators.components import components
@@ -61,7 +61,7 @@ HOT, REFINED = 256, 3
 _LETTERS = "ent"
 #: Further letters, for thresholds that grow.
 _MORE = "aisrould"
-#: Letters of the profiles of a line's parts.
+#: Letters of the profiles of lines.
 _PROFILE = "etanoirsuldhcgmbpfwk.,ETASI"
 #: How far into a segment a blank is looked for.
 _SLACK = 10
@@ -348,10 +348,10 @@ def signed(lines: DataFrame, threshold: int | None) -> DataFrame:
     return lines.select("h", "g", "line", "times")
 
 
-def _profile(part: Column) -> list[Column]:
+def _profile(line: Column) -> list[Column]:
     """Numbers of the occurrences of some letters and of all other characters, as seven bytes of each word; each counts modulo 128."""
-    counts = [F.octet_length(part) - F.octet_length(F.replace(part, F.lit(x), F.lit(""))) for x in _PROFILE]
-    rest = F.length(part) - sum(counts[1:], counts[0])
+    counts = [F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit(""))) for x in _PROFILE]
+    rest = F.length(line) - sum(counts[1:], counts[0])
     fields = [c.bitwiseAND(F.lit(127)).cast("long") for c in [*counts, rest]]
     words = []
     for seven in (fields[at : at + 7] for at in range(0, len(fields), 7)):
@@ -362,9 +362,8 @@ def _profile(part: Column) -> list[Column]:
     return words
 
 
-def _profiles(side: str) -> list[str]:
-    """Names of the words of the profile of what is before (l) or after (r) a key's place."""
-    return [f"{side}{k}" for k in range((len(_PROFILE) + 7) // 7)]
+#: Names of the words of a line's profile.
+_WORDS = [f"p{k}" for k in range((len(_PROFILE) + 7) // 7)]
 
 
 def _bytes(value: int) -> Column:
@@ -381,31 +380,70 @@ def _gaps(x: Column, y: Column) -> Column:
     return gap.bitwiseAND(even) + F.shiftright(gap, 8).bitwiseAND(even)
 
 
+def _outer() -> Column:
+    """How many segments stand between a key's and the end of the line that it is counted from."""
+    return F.when(F.col("number") >= 0, F.col("number")).otherwise(-1 - F.col("number"))
+
+
 def _meets(other: str) -> Column:
-    """Whether two lines of a key may be within the threshold, by what stands before its place in them and from there on.
+    """Whether two lines of a key may be within the threshold, by the lengths of what stands before its place in them and from there on.
 
     Of two lines within t edits, take the first segment of a side, number i from
     the line's end there, that is unchanged and has i edits at most between it
     and that end. Each one before it adds an edit at least, so these are i, and
     t - i at most are left for the other part. If no side had such a segment,
-    there would be more than t edits. An edit changes two letters' numbers by
-    one, or one of them and the length. Lines whose first segments are equal
+    there would be more than t edits. Lines whose first segments are equal
     meet for these, and those whose last ones are equal not for inner ones.
     """
     mine, its = F.col, lambda c: F.col(c + other)
-    limit = allowed(F.least(mine("n"), its("n")))
-    outer = F.when(mine("number") >= 0, mine("number")).otherwise(-1 - mine("number"))
+    limit, outer = F.least(mine("t"), its("t")), _outer()
     sides = []
-    for side, at_end in (("l", False), ("r", True)):
-        words = [_gaps(mine(c), its(c)) for c in _profiles(side)]
-        apart = sum(words[1:], words[0]) % 65535  # the sum of the 16 bits
+    for at_end in (False, True):
         moved = F.abs(mine("before") - its("before") if not at_end else mine("n") - mine("before") - its("n") + its("before"))
-        edits = F.when((mine("number") < 0) == F.lit(at_end), outer).otherwise(limit - outer)
-        sides.append(apart + moved <= 2 * edits)
+        sides.append(moved <= F.when((mine("number") < 0) == F.lit(at_end), outer).otherwise(limit - outer))
     again = (mine("number") != 0) & (mine("begin") == its("begin")) | (mine("number") < -1) & (mine("end") == its("end"))
     return (F.abs(mine("n") - its("n")) <= limit) & ~again & sides[0] & sides[1]
 
 
+def _alike(other: str) -> Column:
+    """Whether the letters of two lines allow the threshold; an edit changes two letters' numbers by one, or one of them and the length."""
+    mine, its = F.col, lambda c: F.col(c + other)
+    words = [_gaps(mine(c), its(c)) for c in _WORDS]
+    apart = sum(words[1:], words[0]) % 65535  # the sum of the 16 bits
+    return apart + F.abs(mine("n") - its("n")) <= 2 * F.least(mine("t"), its("t"))
+
+
+def _beside(rows: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` dealt by ``key``, once, and the same with _b behind the other columns' names."""
+    dealt = rows.repartition(*key)
+    return dealt, dealt.select(*key, *[F.col(c).alias(f"{c}_b") for c in rows.columns if c not in key])
+
+
+def _linked(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b), as structs of their hashes, between the lines of different classes that meet in ``rows`` (key, h, class and what ``_meets`` takes).
+
+    The lines themselves are compared in the join, so that only links leave it.
+    A key's lines are dealt to parts of some ``HOT``, and for every two parts there is a tile.
+    """
+    parts = F.ceil(F.col("size") / HOT).cast("int")
+    tile = lambda k: F.struct((F.least("part", k) * F.col("parts") + F.greatest("part", k)).alias("tile"))
+    dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("h"), "parts").cast("int"))
+    dealt = dealt.select("*", F.inline(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), tile)))
+    # two lines of one part meet in that part's own tile only, where they have -1
+    dealt = dealt.withColumn("part", F.when(F.col("tile") == F.col("part") * (F.col("parts") + 1), -1).otherwise(F.col("part")))
+    first, second = _beside(dealt.drop("size", "parts").join(texts, "h"), "key", "tile")
+    once = (F.col("part") != F.col("part_b")) | (F.col("part") == -1)
+    within = lambda x, y, limit: F.call_function("levenshtein", x, y, limit) >= 0
+    end = lambda b: F.expr(f"if(number >= 0, substring(line{b}, 1, before{b}), substring(line{b}, before{b} + 1))")
+    # what stands before the key's place, counted from its end, has as many edits as segments; this is short and leaves few lines
+    near = F.when(_outer() == 0, F.lit(True)).otherwise(within(end(""), end("_b"), _outer()))
+    longer = F.col("n") >= F.col("n_b")
+    long, short = F.when(longer, F.col("line")).otherwise(F.col("line_b")), F.when(longer, F.col("line_b")).otherwise(F.col("line"))
+    near = near & let(_differing(long, short), lambda s: within(s["x"], s["y"], F.least("t", "t_b")))
+    met = first.join(second, ["key", "tile"]).where((F.col("h") < F.col("h_b")) & (F.col("class") != F.col("class_b")) & once & _meets("_b") & _alike("_b") & near)
+    return met.select(F.struct("h", "g").alias("a"), F.struct(F.col("h_b").alias("h"), F.col("g_b").alias("g")).alias("b")).distinct()
+
+
 def _places(lines: DataFrame, *more: str) -> DataFrame:
     """h, number, size, key, before: a row for each key of ``lines`` (h, line) by length, with the size of segments and how many characters stand before its place.
 
@@ -435,29 +473,32 @@ def classes(distinct: DataFrame, threshold: int | None) -> DataFrame:
     line is first compared with the head of each of its keys, the line that
     stands most often, which is one row a line and key. Only keys whose lines
     aren't one class by then go on, and only lines of different classes meet in
-    them, if the letters on both sides of the key allow the edits that there
-    may be; see ``_meets``. Where more than ``HOT`` lines stand outside a key's largest class and
+    them, with their texts beside them where there are more than ``HOT``; see ``_linked``. Where more than ``HOT`` lines stand outside a key's largest class and
     the threshold is at most ``REFINED``, they are split on by what is left of them.
     """
-    often = cut(_places(distinct).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    placed = _places(distinct, "times").withColumnRenamed("h", "id").withColumnRenamed("key", "h")
-    sifted = _sifted(placed, _marks(often.withColumnRenamed("key", "h"))).where("hit").withColumnRenamed("h", "key").withColumnRenamed("id", "h")
-    before, after = F.expr("substring(rest, 1, before)"), F.expr("substring(rest, before + 1)")
-    sides = [c.alias(f"{side}{k}") for side, part in (("l", before), ("r", after)) for k, c in enumerate(_profile(part))]
+    times = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    # lines that share a key, by one of their hashes: few, so all else is made of these only
+    sharing = cut(_places(distinct, "g").select("key", "g").withColumn("n", times).where("n > 1").select(F.col("g").cast("long").alias("h")).distinct())
+    named = distinct.select(F.col("g").cast("long").alias("h"), F.struct("h", "g", "line", "times").alias("row"))
+    those = cut(_sifted(named, _marks(sharing)).where("hit").select("row.*"))
     ends = [F.xxhash64(F.expr(x)).alias(name) for name, x in (("begin", "substring(rest, 1, size)"), ("end", "substring(rest, n - size + 1, size)"))]
-    shared = cut(sifted.select("key", "h", "times", "n", "number", "before", *sides, *ends).join(often, "key", "left_semi"))
-    distinct = cut(_sifted(distinct, _marks(shared.select("h").distinct())).where("hit").drop("hit"))
+    shared = cut(_places(those, "times").select("key", "h", "times", "n", allowed(F.col("n")).alias("t"), "number", "before", *ends).withColumn("size", times).where("size > 1").drop("size"))
+    profile = [word.alias(name) for name, word in zip(_WORDS, _profile(F.col("line")), strict=True)]
+    distinct = cut(those.join(shared.select("h").distinct(), "h", "left_semi").select("h", "g", "line", *profile))
+    words = distinct.select("h", *_WORDS)
     rank = F.shiftleft(F.least(F.col("times"), F.lit(32767)), 48).bitwiseOR(F.shiftrightunsigned("h", 16))
-    carried = ["n", "number", "before", "begin", "end", *_profiles("l"), *_profiles("r")]
+    carried = ["n", "t", "number", "before", "begin", "end"]
     heads = shared.groupBy("key").agg(*[F.max_by(c, rank).alias(f"{c}_head") for c in ("h", *carried)])
-    stars = cut(shared.join(heads, "key").where((F.col("h") != F.col("h_head")) & _meets("_head")).select(F.col("h_head").alias("a"), F.col("h").alias("b")).distinct())
+    stars = shared.join(heads, "key").where((F.col("h") != F.col("h_head")) & _meets("_head")).select("h", "n", "t", "h_head", "n_head", "t_head").distinct()
+    head_words = words.select(*[F.col(c).alias(f"{c}_head") for c in words.columns])
+    stars = cut(stars.join(words, "h").join(head_words, "h_head").where(_alike("_head")).select(F.col("h_head").alias("a"), F.col("h").alias("b")))
     known = cut(components(_verified(stars, distinct, threshold)))
     named = known.select(F.col("node.h").alias("h"), F.col("component.h").alias("class"))
     classed = cut(shared.drop("times").join(named, "h", "left").withColumn("class", F.coalesce("class", "h")))
     sizes = classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top")).where("n > top")
-    still = cut(sizes.select("key", (F.col("n") - F.col("top") > HOT).alias("hot")))
+    still = cut(sizes.select("key", F.col("n").alias("size"), (F.col("n") - F.col("top") > HOT).alias("hot")))
     apart = F.col("class") != F.col("class_b")
-    open_keys, hot = classed.join(still, "key", "left_semi"), still.where("hot").select("key")
+    open_keys, hot = classed.join(still.drop("hot"), "key"), still.where("hot").select("key")
     pairs = None
     if not hot.isEmpty():
         # the lines of hot keys, with their classes, and where the keys stand in them
@@ -471,8 +512,14 @@ def classes(distinct: DataFrame, threshold: int | None) -> DataFrame:
         if not split.isEmpty():
             near = _near(F.col("sign"), F.col("sign_b"), threshold, _apart(F.col("letters"), F.col("letters_b"), _MORE))
             pairs = _pairs(*_split_on(split, refined, whole), ["sign", "letters", "class"], near & apart)
-    met = _met(open_keys, [*carried, "class"], _meets("_b") & apart)
+    open_keys = cut(open_keys)
+    first, second = _beside(open_keys.where(F.col("size") <= HOT).drop("size").join(words, "h"), "key")
+    met = first.join(second, "key").where((F.col("h") < F.col("h_b")) & apart & _meets("_b") & _alike("_b")).select(F.col("h").alias("a"), F.col("h_b").alias("b")).distinct()
     more = _verified(cut(met if pairs is None else met.union(pairs).distinct()), distinct, threshold)
+    large = open_keys.where(F.col("size") > HOT)
+    if not large.isEmpty():
+        more = more.union(_linked(large, distinct)).distinct()
+    more = cut(more)
     for end in "ab":
         mine = known.select(F.col("node").alias(end), "component")
         more = more.join(mine, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
