@@ -4,16 +4,18 @@
    every shingle a rank: rare ones first, by hash among equals. Counts don't
    saturate: where many shingles share a cell, frequent ones still stand out.
 2. A document's set of n shingles is reduced to a digest and the first
-   n - ceil(t n) + 1 shingles by rank. Two sets of Jaccard similarity t or more
-   share one of these (size-derived bound), whatever the ranks are, so the
-   table of counts affects the cost only.
+   n - ceil(t n) + m shingles by rank, where m grows with n. Two sets of Jaccard
+   similarity t or more share m of these, by the smaller m of both
+   (size-derived bound), whatever the ranks are, so the table of counts affects
+   the cost only.
 3. Equal sets are one node from here on. Nodes that share such a shingle and
    whose sizes allow the similarity are chained: per shingle, sorted by size,
    neighbours belong to one run if the smaller is at least t times the larger,
    and every node of a run of more than ``PAIRED`` gets an edge to its first
    one. In a smaller run nodes are compared by their profiles, numbers of
    shingles in a few classes modulo 16: these differ by no more than the
-   sets do, so a pair whose profiles are too far apart has no link. That keeps
+   sets do, so a pair whose profiles are too far apart has no link, nor has one
+   that shares fewer than m of the first shingles in all its runs. That keeps
    blocks small where the table is full and rare shingles can't be told from
    those that a few documents share. Connected components of the edges are
    the blocks of the matrix.
@@ -21,8 +23,10 @@
    are dealt, and go to their blocks as texts. In each block the overlap
    counts are accumulated: shingles that few documents share by adding up
    their pairs, the others by products of dense column slices; pairs below
-   the bound that their sizes give are discarded. Large blocks are cut into
-   tiles, and a tile pair is a task of its own.
+   the bound that their sizes give are discarded. Large blocks are cut by
+   ranges of the size, of which neighbours meet, and these into tiles, and a
+   tile pair is a task of its own. Where documents go to many tiles, tile pairs
+   are dealt in rounds, so that only one round's texts are on disk.
 5. Each task hands on a spanning forest of its links; components of these are
    the result.
 
@@ -59,6 +63,10 @@ SPAN = 1 << 20
 TILE_DOCS, TILE_SHINGLES = 1024, 1 << 21
 #: Nodes of a run up to which their pairs are compared by profiles; of a task's nodes of equal shingle and size so many go on.
 PAIRED, ALIKE = 64, 8
+#: Sets share one more of their first shingles for each so many shingles they have, up to so many; what is linked without counting counts as SURE.
+SHARED, MOST_SHARED, SURE = 256, 16, 1 << 20
+#: A round of tile pairs has about this share of all shingles.
+ROUND_SHARE = 0.5
 #: Postings are dealt in so many rounds by their shingle, so that only a part of them is on disk at once.
 ROUNDS = 4
 #: Rows of one shingle that a task holds.
@@ -256,6 +264,11 @@ def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return apart
 
 
+def _least_shared(n):
+    """How many of their first shingles two linked sets share at least, if the smaller of both has ``n`` shingles."""
+    return np.minimum(MOST_SHARED, 1 + n // SHARED)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(_signed(np.concatenate(parts)) if parts else np.empty(0, np.int64), pa.int64()))
@@ -274,7 +287,7 @@ def _signatures(docs: DataFrame, table, size: int, up: int, down: int) -> DataFr
                 n.append(len(s))
                 d.append(_digest(s) if len(s) else None)
                 profile.append(_profile(s, words).tobytes())
-                keep = len(s) - (up * len(s) + down - 1) // down + 1 if len(s) else 0
+                keep = len(s) - (up * len(s) + down - 1) // down + int(_least_shared(len(s))) if len(s) else 0
                 rank = counts[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
                 prefix.append(s[np.argsort(rank, kind="stable")[:keep]])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(profile, pa.binary()), _lists(prefix)], ["doc_id", "t", "n", "d", "profile", "prefix"])
@@ -283,7 +296,7 @@ def _signatures(docs: DataFrame, table, size: int, up: int, down: int) -> DataFr
 
 
 def _chain(postings: DataFrame, up: int, down: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """Edges (a, b) between nodes that share a posting's shingle and may be linked, or that join such nodes.
+    """Edges (a, b, shared, need) between nodes that share postings' shingles and may be linked, if ``shared`` is ``need`` in all parts together, or that join such nodes.
 
     ``postings`` has d, n, profile, prefix; only shingles that leave ``part``
     by ``parts`` are taken. Of more than ``ALIKE`` nodes of
@@ -330,8 +343,8 @@ def _chain(postings: DataFrame, up: int, down: int, part: int = 0, parts: int =
                 none = np.zeros(len(pairs), np.int64)
                 yield rows(pairs[:, 0] ^ pairs[:, 1], none, pairs[:, 0], pairs[:, 1], none + 1, np.zeros((len(pairs), words), np.int64))
 
-    def joined(token: np.ndarray, n: np.ndarray, d: np.ndarray, kind: np.ndarray, profile: np.ndarray, star: int | None) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ends of the edges of sorted rows, and the head of the last run; runs of the shingle ``star`` get edges to their first node whatever their length."""
+    def joined(token: np.ndarray, n: np.ndarray, d: np.ndarray, kind: np.ndarray, profile: np.ndarray, star: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Ends of the edges of sorted rows, how many shared shingles each needs (0: it is sure), and the head of the last run; runs of the shingle ``star`` get edges to their first node whatever their length."""
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (down * n[:-1] < up * n[1:])
         starts = np.flatnonzero(new)
@@ -341,6 +354,7 @@ def _chain(postings: DataFrame, up: int, down: int, part: int = 0, parts: int =
         if star is not None:
             many |= token == star
         a, b = [d[head[many & ~new]]], [d[many & ~new]]
+        need = [np.zeros(len(a[0]), np.int64)]
         few = np.flatnonzero(~many)
         for k in range(1, PAIRED):
             few = few[few + k < len(token)]
@@ -351,20 +365,29 @@ def _chain(postings: DataFrame, up: int, down: int, part: int = 0, parts: int =
             close = close[(up + down) * _far(profile[close], profile[close + k]) <= (down - up) * (n[close] + n[close + k])]
             a.append(d[close])
             b.append(d[close + k])
-        return np.concatenate(a), np.concatenate(b), int(head[-1])
+            need.append(_least_shared(n[close]))  # rows are sorted by size
+        return np.concatenate(a), np.concatenate(b), np.concatenate(need), int(head[-1])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, star = None, None
 
-        def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        def edges(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((high, low))
+            order = order[low[order] != high[order]]
+            low, high, need = low[order], high[order], need[order]
+            new = np.ones(len(low), bool)
+            new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            starts = np.flatnonzero(new)
+            shared = np.add.reduceat(np.where(need, 1, SURE), starts) if len(starts) else need
+            most = np.maximum.reduceat(need, starts) if len(starts) else need
+            return pa.RecordBatch.from_arrays([pa.array(low[new]), pa.array(high[new]), pa.array(shared), pa.array(most)], ["a", "b", "shared", "need"])
 
         for batch in batches:
             kind, token, n, d, e = (np.asarray(batch.column(k)) for k in ("kind", "token", "n", "d", "e"))
             made = kind == 1
             if made.any():
-                yield edges(d[made], e[made])
+                yield edges(d[made], e[made], np.zeros(int(made.sum()), np.int64))
             profile = np.stack([np.asarray(batch.column(f"p{k}")) for k in range(words)], 1)
             part = tuple(c[~made] for c in (token, n, d, kind, profile))
             if held is not None:
@@ -379,21 +402,25 @@ def _chain(postings: DataFrame, up: int, down: int, part: int = 0, parts: int =
             before = np.flatnonzero(token != token[-1])
             last = int(before[-1]) + 1 if len(before) else 0
             if last:
-                a, b, _ = joined(token[:last], n[:last], d[:last], kind[:last], profile[:last], star)
-                yield edges(a, b)
+                yield edges(*joined(token[:last], n[:last], d[:last], kind[:last], profile[:last], star)[:3])
             held = tuple(c[last:] for c in (token, n, d, kind, profile))
             if len(held[0]) > _HELD or star == token[-1]:
                 star = token[-1]
-                a, b, head = joined(*held, star)
-                yield edges(a, b)
+                a, b, need, head = joined(*held, star)
+                yield edges(a, b, need)
                 # the head stands for its run, at the size that the run has reached
                 held = held[0][-1:], held[1][-1:], *(c[head : head + 1] for c in held[2:])
         if held is not None and len(held[0]):
-            yield edges(*joined(*held, star)[:2])
+            yield edges(*joined(*held, star)[:3])
 
     dealt = postings.select("d", "n", "profile", "prefix").mapInArrow(within, "token long, n long, d long, e long, kind byte, " + ", ".join(f"p{k} long" for k in range(words)))
     dealt = dealt.repartition(shuffle_partitions(postings.sparkSession), "token").sortWithinPartitions("token", "n", "d")
-    return dealt.mapInArrow(across, "a long, b long")
+    return _added(dealt.mapInArrow(across, "a long, b long, shared long, need long"))
+
+
+def _added(edges: DataFrame) -> DataFrame:
+    """One edge for each two ends, with what they share in all."""
+    return edges.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
 
 
 def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
@@ -482,10 +509,28 @@ def _tile_links(ids: list[int], sets: list[np.ndarray], left: int, up: int, down
     return [ids[i] for i, _ in pairs], [ids[j] for _, j in pairs]
 
 
-def _links(docs: DataFrame, blocks: DataFrame, size: int, up: int, down: int) -> DataFrame:
+def _blocks(nodes: DataFrame, up: int, down: int) -> DataFrame:
+    """rep, t, d, n, cluster, own (its tile), tiles (number of tiles) of nodes (rep, t, d, n, cluster).
+
+    Clusters of more than a tile are taken apart by ranges of the size: nodes
+    that are linked are in the same range or in neighbouring ones, so that a
+    node of these clusters is in two of the new ones, with the range before and
+    with the one after its own.
+    """
+    tiles = F.greatest(F.ceil(F.count(F.lit(1)) / TILE_DOCS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles")
+    step = F.floor(F.log("n") / (max(math.log(down / up), 1e-6) * 1.000001)).cast("long")
+    ranges = F.when(F.col("tiles") > 1, F.array(step, step - 1)).otherwise(F.array(F.lit(None).cast("long")))
+    some = nodes.join(nodes.groupBy("cluster").agg(tiles), "cluster").select("rep", "t", "d", "n", F.col("cluster").alias("whole"), step.alias("step"), F.explode(ranges).alias("range"))
+    some = some.withColumn("cluster", F.when(F.col("range").isNull(), F.col("whole")).otherwise(F.xxhash64("whole", "range")))
+    # without a node in the range itself, those in the next one meet there
+    sizes = some.groupBy("cluster").agg(tiles, F.count(F.lit(1)).alias("members"), F.min(F.col("step") - F.col("range")).alias("gap")).where("members > 1 AND coalesce(gap, 0) = 0")
+    return some.join(sizes, "cluster").select("rep", "t", "d", "n", "cluster", "tiles", F.pmod(F.xxhash64("d"), F.col("tiles")).cast("int").alias("own"))
+
+
+def _links(docs: DataFrame, blocks: DataFrame, size: int, up: int, down: int, total: int) -> DataFrame:
     """Spanning forests (a, b) of the links inside each block, as digests.
 
-    ``blocks`` has rep (id) and t of a row that has the set, d, cluster, own (its tile) and tiles (number of tiles).
+    ``blocks`` has rep (id) and t of a row that has the set, d, n, cluster, own (its tile) and tiles (number of tiles); ``total`` is the number of shingles of all sets.
     """
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -516,11 +561,21 @@ def _links(docs: DataFrame, blocks: DataFrame, size: int, up: int, down: int) ->
             a, b = links()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    blocks = cut(blocks)
+    copied = blocks.agg(F.sum(F.col("n") * F.col("tiles"))).first()[0] or 0
+    rounds = max(1, math.ceil(copied / max(1.0, ROUND_SHARE * total)))
     some = _sifted(docs.withColumnRenamed("t", "h"), _marks(blocks.select(F.col("t").alias("h")))).where("hit")
-    chosen = some.join(blocks, (some["h"] == blocks["t"]) & some["doc_id"].eqNullSafe(blocks["rep"])).select("text", "d", "cluster", "own", "tiles")
-    tiled = chosen.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "d", "own", "text")
-    dealt = tiled.repartition(shuffle_partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "d")
-    return dealt.mapInArrow(tiles, "a long, b long")
+    out = None
+    for k in range(rounds):
+        chosen = some.join(blocks, (some["h"] == blocks["t"]) & some["doc_id"].eqNullSafe(blocks["rep"])).select("text", "d", "cluster", "own", "tiles")
+        tiled = chosen.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "d", "own", "text")
+        mine = tiled if rounds == 1 else tiled.where(F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(rounds)) == k)
+        dealt = mine.repartition(shuffle_partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "d")
+        found = cut(dealt.mapInArrow(tiles, "a long, b long"))
+        del chosen, tiled, mine, dealt
+        release(docs.sparkSession)  # the texts of this round
+        out = found if out is None else out.union(found)
+    return out
 
 
 def classes(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -533,10 +588,10 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "do
     prefixes = stored(_signatures(docs, table, size, up, down))
     edges = None
     for part in range(ROUNDS):
-        found = cut(_chain(prefixes.where("n > 0"), up, down, part, ROUNDS).distinct())
+        found = cut(_chain(prefixes.where("n > 0"), up, down, part, ROUNDS))
         release(spark)  # the postings of this round
         edges = found if edges is None else edges.union(found)
-    clusters = components(edges).select(F.col("node").alias("d"), F.col("component").alias("cluster"))
+    clusters = components(_added(edges).where("shared >= need")).select(F.col("node").alias("d"), F.col("component").alias("cluster"))
     signed = cut(prefixes.select("doc_id", "t", "n", "d"))
     delete(prefixes)
     del edges, found
@@ -545,9 +600,8 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "do
     # one row that has the set stands for it
     nodes = some.join(clusters, "d").groupBy("d", "cluster").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("r"), F.max("n").alias("n"))
     nodes = cut(nodes.select("d", "cluster", F.col("r.doc_id").alias("rep"), F.col("r.t").alias("t"), "n"))
-    sizes = nodes.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_DOCS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    blocks = nodes.join(sizes, "cluster").select("rep", "t", "d", "cluster", "tiles", F.pmod(F.xxhash64("d"), F.col("tiles")).cast("int").alias("own"))
-    reached = components(_links(docs, blocks, size, up, down)).select(F.col("node").alias("d"), "component")
+    links = _links(docs, _blocks(nodes, up, down), size, up, down, some.agg(F.sum("n")).first()[0] or 0)
+    reached = components(links).select(F.col("node").alias("d"), "component")
     return signed.select("doc_id", "t", "n", "d").join(reached, "d", "left").select("doc_id", "t", "n", F.coalesce("component", "d").alias("class"))
 
 
