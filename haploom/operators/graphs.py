@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from haploom.plans.checkpoints import cut
+from haploom.plans.checkpoints import cut, dealt_once, stored
 
+#: Labels go round for about so many edges of whole groups at once; a group of more than the second number goes through the rounds of ``label_propagation``.
+_TOGETHER, _LARGE = 200_000, 4_000_000
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, once."""
@@ -118,6 +123,110 @@ def label_propagation(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _state(node: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """A hash of each node with its label; sums of these tell states apart."""
+    x = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + label.astype(np.uint64) + np.uint64(1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _settled(key: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, node, label) of whole groups of edges, by the rounds of ``label_propagation`` for each group."""
+    keys, nodes, n = np.concatenate([key, key]), np.concatenate([a, b]), len(key)
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new = np.ones(2 * n, bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    number = np.empty(2 * n, np.int64)
+    number[order] = np.cumsum(new) - 1
+    keys, nodes = keys[new], nodes[new]
+    label = every = np.arange(len(nodes))  # numbers are in the order of the nodes
+    src, dst = np.concatenate([number, every]), np.concatenate([number[n:], number[:n], every])
+    w = np.concatenate([w, w, np.full(len(every), 1e-6)])
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    group = np.repeat(np.arange(len(first)), np.diff(first, append=len(keys)))
+    going = np.ones(len(first), bool)
+    known: list[dict[int, int]] = [{} for _ in first]
+    kept, states = every, []  # states of the nodes that are kept, whose groups still change
+    while True:
+        starts = np.searchsorted(group[kept], np.arange(len(first) + 1))
+        hashes = np.concatenate([[np.uint64(0)], np.cumsum(_state(kept, label[kept]))])
+        hashes = hashes[starts[1:]] - hashes[starts[:-1]]
+        label = label.copy()
+        for g in np.flatnonzero(going):
+            at, mine = int(hashes[g]), slice(starts[g], starts[g + 1])
+            if at in known[g]:
+                circle = states[known[g][at] :]
+                if len(circle) > 1:
+                    label[kept[mine]] = np.min([x[mine] for x in circle], 0)
+                    at = int(_state(kept[mine], label[kept[mine]]).sum(dtype=np.uint64))
+                if len(circle) < 2 or at in known[g]:
+                    going[g] = False
+                    continue
+            known[g][at] = len(states)
+        if not going.any():
+            return keys, nodes, nodes[label]
+        states.append(label[kept])
+        still = going[group[kept]]
+        if 2 * still.sum() < len(kept):
+            kept, states = kept[still], [x[still] for x in states]
+        mine = going[group[src]]
+        src, dst, w = src[mine], dst[mine], w[mine]
+        pair = src * len(nodes) + label[dst]
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        votes, voter, voted = np.round(np.add.reduceat(w[order], new), 9), pair[new] // len(nodes), pair[new] % len(nodes)
+        order = np.lexsort((voted, -votes, voter))
+        voter, voted = voter[order], voted[order]
+        best = np.concatenate([[True], voter[1:] != voter[:-1]])
+        label = label.copy()
+        label[voter[best]] = voted[best]
+
+
+def label_propagation_within(edges: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, node, label) like ``label_propagation`` for edges (a, b, w) between nodes of one ``key``, and the edges (key, a, b, w) of groups that are too large for a task, which aren't in it.
+
+    All but w are whole numbers. A window brings a group's edges together where
+    they lie, without a shuffle if they are dealt by the key already. Each group
+    has its own rounds.
+    """
+    shape = "key long, node long, label long, w double, whole boolean"
+    names = ["key", "node", "label", "w", "whole"]
+
+    def rows(key: np.ndarray, node: np.ndarray, label: np.ndarray, w: np.ndarray, whole: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(label), pa.array(w), pa.array(np.full(len(key), whole))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            *columns, times = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            large = times > _LARGE
+            if large.any():
+                yield rows(*(c[large] for c in columns), False)
+            held.append([c[~large] for c in columns])
+            n += int((~large).sum())
+            if n >= _TOGETHER:
+                k, a, b, w = map(np.concatenate, zip(*held, strict=True))
+                last = k == k[-1]  # it may go on in the next batch
+                if not last.all():
+                    found = _settled(k[~last], a[~last], b[~last], w[~last])
+                    yield rows(*found, np.zeros(len(found[0])), True)
+                held, n = [[x[last] for x in (k, a, b, w)]], int(last.sum())
+        if n:
+            found = _settled(*map(np.concatenate, zip(*held, strict=True)))
+            yield rows(*found, np.zeros(len(found[0])), True)
+
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    e = edges.where(F.col(key).isNotNull() & (F.col("a") != F.col("b"))).select(key, long("a", "a"), long("b", "b"), F.col("w").cast("double").alias("w"))
+    e = e.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key))).select(long(key, "key"), "a", "b", "w", "n")
+    with dealt_once(edges.sparkSession):
+        out = stored(e.mapInArrow(run, shape))
+    name = F.col("key").cast(edges.schema[key].dataType).alias(key)
+    return out.where("whole").select(name, "node", "label"), out.where("NOT whole").select(name, F.col("node").alias("a"), F.col("label").alias("b"), "w")
+
+
 def linear_chains(edges: DataFrame, components) -> DataFrame:
     """node, chain, at: order of nodes in each unbranched chain; chain is its smallest node, circles are left out."""
     kept = cut(branch_free(edges.select("src", "dst").distinct()))

@@ -162,10 +162,13 @@ def _read_components(spark, d, part):
     return components_within(distances.weighted_edges(_distances(spark, d, part), C.cluster_divergence / 2), "unitig")
 
 
-def _nodes(spark, d, part):
-    """Zero-distance edges of reads, nodes numbered by unitig and read."""
-    e = distances.weighted_edges(_distances(spark, d, part), C.cluster_divergence / 2)
-    return e.select(_node("a").alias("a"), _node("b").alias("b"), "w")
+def _labels(spark, d, part):
+    """node, label by zero-distance edges of reads, nodes numbered by unitig and read."""
+    done, rest = graphs.label_propagation_within(distances.weighted_edges(_distances(spark, d, part), C.cluster_divergence / 2), "unitig")
+    found = done.select(_node("node").alias("node"), _node("label").alias("label"))
+    if not rest.isEmpty():
+        found = found.union(graphs.label_propagation(rest.select(_node("a").alias("src"), _node("b").alias("dst"), "w")))
+    return found
 
 
 @query(f"""WITH RECURSIVE {_DIST}, ed AS (SELECT unitig::HUGEINT*10000000000000000000+a AS a, unitig::HUGEINT*10000000000000000000+b AS b FROM dist WHERE d<=0), both_ AS (SELECT a,b FROM ed UNION SELECT b,a FROM ed),
@@ -178,8 +181,8 @@ def read_components(spark, d):
 
 @query(None)
 def label_propagation(spark, d):
-    # edges are within a unitig, so that labels of one part don't reach another
-    (labels,) = by_parts(spark, d, lambda part: (graphs.label_propagation(_nodes(spark, d, part).select(F.col("a").alias("src"), F.col("b").alias("dst"), "w")),))
+    # edges are within a unitig, so that labels of one don't reach another
+    (labels,) = by_parts(spark, d, lambda part: (_labels(spark, d, part),))
     return labels
 
 
